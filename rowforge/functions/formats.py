@@ -100,10 +100,24 @@ def short_request_id() -> Column:
     return F.substring(F.uuid(), 1, 8)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """Text with a fixed number of places.
+
+    ``format_number`` rounds the binary value itself, half to even; ``format_string``
+    and ``bround`` round its shortest decimal spelling, which differs at ties.
+    """
+    return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+
+
+def round_to(value: Column, places: int) -> Column:
+    """The number nearest to ``value`` with so many places."""
+    return fixed(value, places).try_cast("double")
+
+
 def bytes_in(size: Column, unit: str) -> Column:
     """Bytes as MB or GB, two places."""
-    return F.bround(size / F.lit(BYTE_UNITS[unit]), 2)
+    return round_to(size / F.lit(BYTE_UNITS[unit]), 2)
 
 
 def money(value: Column) -> Column:
-    return F.format_string("$%.2f", value)
+    return F.concat(F.lit("$"), fixed(value, 2))

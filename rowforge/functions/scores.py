@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
+from .formats import fixed, round_to
+
 # Class names, decision threshold and confidence cut-offs.
 POSITIVE, NEGATIVE = "survived", "did_not_survive"
 THRESHOLD = 0.5
@@ -57,7 +59,7 @@ def confidence_level(confidence: Column, levels: Mapping[str, float]) -> Column:
 
 def round3(value: Column) -> Column:
     """Three places, half to even."""
-    return F.bround(value, 3)
+    return round_to(value, 3)
 
 
 def percent_whole(value: Column) -> Column:
@@ -65,7 +67,7 @@ def percent_whole(value: Column) -> Column:
 
 
 def percent_tenth(value: Column) -> Column:
-    return F.format_string("%.1f%%", value * 100)
+    return F.concat(fixed(value * 100, 1), F.lit("%"))
 
 
 def _record(first, second, confidence, level, strict, places):

@@ -58,6 +58,20 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(foreign), text)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_all(texts: pd.Series) -> pd.Series:
+    def normalize(items):
+        return [s if s is None else unicodedata.normalize("NFKC", s) for s in items]
+
+    return texts.map(normalize, na_action="ignore")
+
+
+def nfkc_all(texts: Column) -> Column:
+    """``nfkc`` of every item of an array."""
+    foreign = F.when(F.exists(texts, lambda s: s.rlike(r"[^\x00-\x7f]")), texts)
+    return F.coalesce(_nfkc_all(foreign), texts)
+
+
 def html_escape(text: Column) -> Column:
     for char, entity in HTML_ESCAPES:
         text = F.replace(text, F.lit(char), F.lit(entity))
@@ -89,19 +103,20 @@ def content_issue(text: Column) -> Column:
     )
 
 
-def clean_text(text: Column, normalize: bool = True) -> Column:
+def clean_text(text: Column) -> Column:
     """Normalise, escape and squeeze, without any check."""
-    return squeeze_whitespace(html_escape(nfkc(text) if normalize else text))
+    return squeeze_whitespace(html_escape(nfkc(text)))
 
 
-def sanitize_text(text: Column, is_text: bool = True) -> Column:
+def sanitize_text(text: Column, is_text: bool = True, normalized: Column | None = None) -> Column:
     """Struct of the cleaned value and of the first issue; one of the two is null.
 
     ``is_text=False`` marks a column that is not of string type: every value fails.
+    ``normalized`` is the NFKC form, where it is at hand already.
     """
     if not is_text:
         return F.struct(F.lit(None).cast("string").alias("value"), F.lit("type").alias("issue"))
-    cleaned = clean_text(text)
+    cleaned = clean_text(text) if normalized is None else squeeze_whitespace(html_escape(normalized))
     issue = (
         F.when(text.isNull(), "type")
         .when(content_issue(text).isNotNull(), content_issue(text))

@@ -19,7 +19,7 @@ CLAIMS = T.StructType(
 def token_payload(token: Column) -> Column:
     """JSON text of the middle part, null when the token is malformed."""
     parts = F.split(token, r"\.", -1)
-    body = F.translate(F.get(parts, F.lit(1)), "-_", "+/")
+    body = F.regexp_replace(F.translate(F.get(parts, F.lit(1)), "-_", "+/"), r"\s", "")
     padded = F.rpad(body, (F.ceil(F.length(body) / 4) * 4).cast("int"), F.lit("="))
     return F.when(
         F.size(parts) == 3,

@@ -195,10 +195,12 @@ class Preparation:
         self._require_fit()
         return self.transform(df).select(*self.feature_columns)
 
-    def single(self, spark: SparkSession, row: dict) -> DataFrame:
+    def single(
+        self, spark: SparkSession, row: dict, schema: T.StructType | None = None
+    ) -> DataFrame:
         """One request row through the same path as a batch."""
         self._require_fit()
-        return self.features(spark.createDataFrame([Row(**row)]))
+        return self.features(spark.createDataFrame([Row(**row)], schema))
 
     # -- state as tables ----------------------------------------------------
 

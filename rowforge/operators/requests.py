@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.formats import RATE_UNITS
+from ..functions.formats import RATE_UNITS, round_to
 from .ranking import HOT_GROUP_ROWS, group_row_number
 
 # Log thresholds in milliseconds and the wait after a refusal.
@@ -15,7 +15,7 @@ TAIL_FIELDS = ["timestamp", "severity", "text_payload"]
 
 def slow_requests(df: DataFrame, threshold_ms: float = SLOW_REQUEST_MS) -> DataFrame:
     slow = df.where(F.col("duration_ms") > threshold_ms)
-    return slow.withColumn("duration_ms", F.bround("duration_ms", 2))
+    return slow.withColumn("duration_ms", round_to(F.col("duration_ms"), 2))
 
 
 def slow_predictions(df: DataFrame, threshold_ms: float = SLOW_PREDICTION_MS) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.numbers import (
     in_bounds,
     in_category,
 )
-from ..functions.text import sanitize_text
+from ..functions.text import nfkc_all, sanitize_text
 
 # Field lists, anomaly limits and the messages of the web rules.
 TEXT_FIELDS = ["sex", "embarked"]
@@ -174,7 +174,10 @@ def validate_rows(df: DataFrame) -> DataFrame:
 
 def validate_params(params: Column) -> Column:
     """Sanitise every text of a parameter map; value and issue per key."""
-    return F.transform_values(params, lambda _, value: sanitize_text(value))
+    texts = F.map_values(params)
+    pairs = F.arrays_zip(texts.alias("raw"), nfkc_all(texts).alias("nfkc"))
+    checked = F.transform(pairs, lambda p: sanitize_text(p["raw"], normalized=p["nfkc"]))
+    return F.map_from_arrays(F.map_keys(params), checked)
 
 
 def anomaly_counts(df: DataFrame, anomalies: Column) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.formats import bytes_in
+
 CORRUPT = "_corrupt_record"
 
 #: Header names and types of the raw passenger file; the last six are dropped later.
@@ -106,7 +108,11 @@ def scan_json_array(
         raise ValueError(f"not a JSON array of objects: {path}")
 
     rows = reader.schema(kept).option("mode", "PERMISSIVE").json(path)
-    state = rows.agg(F.count("*").alias("n"), F.count(CORRUPT).alias("bad")).first()
+    # the reader wants one ordinary column next to the one for broken records
+    present = F.count(F.col(f"`{fields[0].name}`")) if fields else F.count("*")
+    state = rows.agg(
+        F.count("*").alias("n"), F.count(CORRUPT).alias("bad"), present.alias("present")
+    ).first()
     if state["bad"]:
         raise ValueError(f"{state['bad']} records are not valid objects: {path}")
     if not state["n"]:
@@ -158,7 +164,7 @@ def artifact_inventory(spark: SparkSession, folder: str, required: list[str]) ->
         F.col("files").isNotNull().alias("present"),
         "files",
         "size_bytes",
-        F.bround(F.col("size_bytes") / (1024.0 * 1024.0), 2).alias("size_mb"),
+        bytes_in(F.col("size_bytes"), "mb").alias("size_mb"),
         "modified",
     )
 
