@@ -104,9 +104,16 @@ def fixed(value: Column, places: int) -> Column:
     """Text with a fixed number of places.
 
     ``format_number`` rounds the binary value itself, half to even; ``format_string``
-    and ``bround`` round its shortest decimal spelling, which differs at ties.
+    and ``bround`` round its shortest decimal spelling, which differs at ties. Only half
+    a unit of the last place comes out wrong there, so it is spelled out.
     """
-    return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+    half = float(f"5e-{places + 1}")
+    text = F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+    return (
+        F.when(value == half, f"{half:.{places}f}")
+        .when(value == -half, f"{-half:.{places}f}")
+        .otherwise(text)
+    )
 
 
 def round_to(value: Column, places: int) -> Column:

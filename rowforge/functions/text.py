@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The patterns, the escapes and the length limit of the text rules.
 CONTROL_PATTERN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
@@ -117,14 +117,32 @@ def sanitize_text(text: Column, is_text: bool = True, normalized: Column | None
     if not is_text:
         return F.struct(F.lit(None).cast("string").alias("value"), F.lit("type").alias("issue"))
     cleaned = clean_text(text) if normalized is None else squeeze_whitespace(html_escape(normalized))
-    issue = (
-        F.when(text.isNull(), "type")
-        .when(content_issue(text).isNotNull(), content_issue(text))
-        .otherwise(length_issue(cleaned))
-    )
+    issue = text_issue(text, cleaned)
     return F.struct(F.when(issue.isNull(), cleaned).alias("value"), issue.alias("issue"))
 
 
+def text_issue(raw: Column, cleaned: Column) -> Column:
+    """The first issue of a text, given its cleaned form; each check runs once."""
+    return F.coalesce(F.when(raw.isNull(), "type"), content_issue(raw), length_issue(cleaned))
+
+
+def sanitize_columns(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Add ``<name>_value`` and ``<name>_issue`` per text.
+
+    As ``sanitize_text``, but the cleaned text is a column of its own first, so that
+    it is computed once and not again in every place that looks at it.
+    """
+    for name, raw in texts.items():
+        df = df.withColumn(f"{name}_value", clean_text(raw))
+    for name, raw in texts.items():
+        df = df.withColumn(f"{name}_issue", text_issue(raw, F.col(f"{name}_value")))
+    kept = {
+        f"{name}_value": F.when(F.col(f"{name}_issue").isNull(), F.col(f"{name}_value"))
+        for name in texts
+    }
+    return df.withColumns(kept)
+
+
 def words(text: Column) -> Column:
     """Lower-case words of a text, as an array."""
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")

@@ -95,19 +95,24 @@ def _wrap(tag: str, value: Column) -> Column:
     return F.to_json(F.struct(value.alias(TAGS[tag])))
 
 
+def _shortest(value: Column) -> Column:
+    """Scientific text with the fewest digits that read back to the same double."""
+    tries = [F.format_string(f"%.{places}e", value) for places in (14, 15)]
+    exact = F.format_string("%.16e", value)
+    return F.coalesce(*[F.when(t.try_cast("double") == value, t) for t in tries], exact)
+
+
 def _integral_text(value: Column) -> Column:
     """Digits of an integral double; exponent form from 1e21 on."""
-    text = value.cast("string")  # like 25.0 or 1.7976931348623157E308
+    text = _shortest(value)  # like 5.902958103587057e+20
     mantissa = F.regexp_extract(text, r"^-?([\d.]+)", 1)
-    exponent = F.regexp_extract(text, r"E(\d+)$", 1).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    sign = F.when(value < 0, "-").otherwise("")
-    padded = F.concat(sign, F.rpad(digits, exponent + 1, F.lit("0")))
-    scientific = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E", "e+")
+    exponent = F.regexp_extract(text, r"e\+(\d+)$", 1).try_cast("int")
+    digits = F.rpad(F.replace(mantissa, F.lit("."), F.lit("")), exponent + 1, F.lit("0"))
+    scientific = F.regexp_replace(text, r"\.?0+e", "e")
     magnitude = F.abs(value)
     return (
         F.when(magnitude < 2.0**53, value.try_cast("bigint").cast("string"))
-        .when(magnitude < 1e21, padded)
+        .when(magnitude < 1e21, F.concat(F.when(value < 0, "-").otherwise(""), digits))
         .otherwise(scientific)
     )
 

@@ -132,18 +132,11 @@ def best_model(accuracies: DataFrame) -> DataFrame:
 
 
 def accuracy_gate(accuracies: DataFrame, floor: float = ACCURACY_FLOOR) -> DataFrame:
-    """Status per model table: degraded when any accuracy is under the floor."""
-    low = F.count_if(F.col("accuracy") < floor)
-    # one entry per model, a fixed short list
-    names = F.array_sort(
-        F.collect_set(
-            F.when(
-                (F.col("accuracy") < floor) & F.col("model").isin(MODEL_PRIORITY), F.col("model")
-            )
-        )
-    )
-    return accuracies.agg(
-        F.when(low > 0, "degraded").otherwise("healthy").alias("status"),
-        low.alias("n_low"),
-        F.array_join(names, ",").alias("low_models"),
+    """Which models are under the floor; any of them degrades the common status."""
+    low = F.col("accuracy") < floor
+    any_low = accuracies.select(F.coalesce(F.bool_or(low), F.lit(False))).scalar()
+    return accuracies.select(
+        "model",
+        low.alias("low"),
+        F.when(any_low, "degraded").otherwise("healthy").alias("status"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Severities, startup checks, resource limits and error codes.
@@ -43,8 +46,13 @@ def missing_required(
 
 
 def diff_names(required: DataFrame, present: DataFrame) -> DataFrame:
-    """Required rows minus present rows, duplicates kept."""
-    return required.exceptAll(present)
+    """Required rows that are not among the present ones; all columns count, and the
+    present rows are made distinct before they are shuffled for the join."""
+    there = present.distinct().alias("there")
+    same = [
+        F.col(f"wanted.{name}").eqNullSafe(F.col(f"there.{name}")) for name in required.columns
+    ]
+    return required.alias("wanted").join(there, reduce(and_, same), "left_anti")
 
 
 def check_prep_state(spark: SparkSession, stats: DataFrame, required: list[str]) -> DataFrame:

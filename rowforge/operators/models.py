@@ -42,7 +42,7 @@ FEATURES = "features"
 def assemble(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """Feature vector next to the kept columns; a row with a missing feature is an error."""
     assembler = VectorAssembler(inputCols=columns, outputCol=FEATURES, handleInvalid="error")
-    return assembler.transform(df).select(*keep, *columns, FEATURES)
+    return assembler.transform(df).select(*keep, FEATURES)
 
 
 def train_logistic(data: DataFrame, label: str, rows: int) -> LogisticRegressionModel:

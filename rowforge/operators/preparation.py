@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 from ..session import durable
 from .features import derive_features, drop_columns
 from .ranking import global_index
-from .statistics import MAX_BUFFER_VALUES, approximate_medians, exact_medians, modes, value_counts
+from .statistics import (
+    MAX_BUFFER_VALUES,
+    approximate_medians,
+    median_sizes,
+    medians_of,
+    modes,
+    value_counts,
+)
 
 # Which columns get which statistic, and the names of the statistics.
 LABEL = "survived"
@@ -96,47 +103,65 @@ class Preparation:
     # -- fit ---------------------------------------------------------------
 
     def fit(self, df: DataFrame, approximate: bool = False) -> "Preparation":
+        """One pass for sizes, one for the medians (more only for very many values),
+        and one that counts the categories."""
         present = set(df.columns)
         medians = [c for c in MEDIAN_COLUMNS if c in present]
         categorical = [c for c in CATEGORICAL_COLUMNS if c in present]
-        find = approximate_medians if approximate else exact_medians
-        summary = [F.count("*").alias("rows")]
+        summary = [F.count("*").alias("rows"), *median_sizes(medians)]
         if self.label in present:
-            summary.append(F.avg(self.label).alias("rate"))
+            summary.append(F.avg(self.label).alias("label_rate"))
         totals = df.agg(*summary).first()
         self.stats = {
             "rows": float(totals["rows"]),
             "columns": float(len(df.columns)),
-            "label_rate": totals["rate"] if self.label in present else None,
+            "label_rate": totals["label_rate"] if self.label in present else None,
         }
-        self.stats.update({f"{c}_median": v for c, v in find(df, medians).items()})
+        found = (
+            approximate_medians(df, medians) if approximate else medians_of(df, medians, totals)
+        )
+        self.stats.update({f"{c}_median": v for c, v in found.items()})
+        self._fit_categories(df, categorical)
+        skipped = {self.label, *self.key_columns}
+        self.feature_columns = [c for c in self._derive(df).columns if c not in skipped]
+        return self
 
-        counts = value_counts(df, categorical) if categorical else None
-        if counts is None:
-            self.encodings = df.sparkSession.createDataFrame([], ENCODINGS)
-            self.categories = {}
+    def _fit_categories(self, df: DataFrame, columns: list[str]) -> None:
+        wanted = [c for c in MODE_COLUMNS if c in columns]
+        if not columns:
+            self._keep_small(df.sparkSession, [])
+            return
+        counts = value_counts(df, columns)
+        rows = counts.limit(MAX_SMALL_CATEGORIES + 1).collect()
+        if len(rows) <= MAX_SMALL_CATEGORIES:
+            names: dict[str, list[str]] = {c: [] for c in columns}
+            chosen: dict[str, str] = {}
+            for row in sorted(rows, key=lambda r: (-r["n"], r["category"])):
+                chosen.setdefault(row["column"], row["category"])
+                names[row["column"]].append(row["category"])
+            codes = [(c, name, i) for c in columns for i, name in enumerate(sorted(names[c]))]
+            self._keep_small(df.sparkSession, codes)
         else:
             counts = durable(counts)
             chosen = {r["column"]: r["mode"] for r in modes(counts).collect()}
-            self.stats.update(
-                {f"{c}_mode": chosen.get(c) for c in MODE_COLUMNS if c in present}
-            )
-            self._set_encodings(fit_categories(counts))
-        prepared = self._derive(df)
-        skipped = {self.label, *self.key_columns}
-        self.feature_columns = [c for c in prepared.columns if c not in skipped]
-        return self
+            self.encodings, self.categories = durable(fit_categories(counts)), None
+        self.stats.update({f"{c}_mode": chosen.get(c) for c in wanted})
+
+    def _keep_small(self, spark: SparkSession, codes: list[tuple[str, str, int]]) -> None:
+        """A short code table becomes a literal map in the plan, with no join."""
+        self.encodings = spark.createDataFrame(codes, ENCODINGS)
+        self.categories = {}
+        for column, category, _ in sorted(codes, key=lambda code: (code[0], code[2])):
+            self.categories.setdefault(column, []).append(category)
 
     def _set_encodings(self, table: DataFrame) -> None:
-        """Keep a short table as a literal map, a long one as a durable table."""
+        """Take over a stored code table, short or long."""
         rows = table.limit(MAX_SMALL_CATEGORIES + 1).collect()
-        if len(rows) > MAX_SMALL_CATEGORIES:
-            self.encodings, self.categories = durable(table), None
-            return
-        self.encodings = table.sparkSession.createDataFrame(rows, ENCODINGS)
-        self.categories = {}
-        for row in sorted(rows, key=lambda r: (r["column"], r["code"])):
-            self.categories.setdefault(row["column"], []).append(row["category"])
+        if len(rows) <= MAX_SMALL_CATEGORIES:
+            codes = [(row["column"], row["category"], row["code"]) for row in rows]
+            self._keep_small(table.sparkSession, codes)
+        else:
+            self.encodings, self.categories = table, None
 
     # -- apply -------------------------------------------------------------
 

@@ -9,6 +9,9 @@ from ..session import durable
 #: Rows of one stratum that share a hash prefix, at most roughly.
 SLICE_ROWS = 500_000
 
+#: Labels whose bounds may be broadcast.
+MAX_SMALL_LABELS = 10_000
+
 
 def split_hash(id_col: str, seed: int) -> Column:
     """Order of the split; the same for any partitioning."""
@@ -48,9 +51,7 @@ def stratified_split(
             (F.col("__want") - F.col("__through") + F.col("__n")).alias("__nth"),
         )
     )
-    # one row per label: few, and counted below before anything is broadcast
-    edges = durable(edges)
-    small = edges.count() <= 100_000
+    edges, small = _settled(edges)
     side = F.broadcast(edges) if small else edges
     same = F.col("h.__label").eqNullSafe(F.col("e.__label"))
     at_edge = hashed.alias("h").join(side.alias("e"), same & (prefix == F.col("e.__slice")))
@@ -60,7 +61,7 @@ def stratified_split(
         .where(F.col("__rn") == F.col("__nth"))
         .select(F.col("h.__label").alias("__label"), F.col("__hash").alias("__last"))
     )
-    last = durable(last)
+    last, small = _settled(last)
     bounds = F.broadcast(last) if small else last
     is_test = F.coalesce(split_hash(id_col, seed) <= F.col("__last"), F.lit(False))
     return (
@@ -68,3 +69,12 @@ def stratified_split(
         .withColumn("part", F.when(is_test, "test").otherwise("train"))
         .drop("__label", "__last")
     )
+
+
+def _settled(per_label: DataFrame) -> tuple[DataFrame, bool]:
+    """The table of one row per label as values where it is short, else written out,
+    and whether it is short enough to broadcast."""
+    rows = per_label.limit(MAX_SMALL_LABELS + 1).collect()
+    if len(rows) <= MAX_SMALL_LABELS:
+        return per_label.sparkSession.createDataFrame(rows, per_label.schema), True
+    return durable(per_label), False

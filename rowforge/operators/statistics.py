@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 #: Distinct values that one aggregation buffer may hold.
 MAX_BUFFER_VALUES = 200_000
@@ -59,13 +59,28 @@ def exact_medians(
     """
     if not columns:
         return {}
-    row = df.agg(
-        *[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(_number(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
+    sizes = df.agg(*median_sizes(columns)).first()
+    return medians_of(df, columns, sizes, max_values)
+
+
+def median_sizes(columns: list[str]) -> list[Column]:
+    """Rows and estimated distinct values per column: what a median search starts from."""
+    return [
+        measure
+        for i, c in enumerate(columns)
+        for measure in (
+            F.count(_number(c)).alias(f"rows{i}"),
+            F.approx_count_distinct(_number(c)).alias(f"distinct{i}"),
+        )
+    ]
+
+
+def medians_of(
+    df: DataFrame, columns: list[str], sizes: Row, max_values: int = MAX_BUFFER_VALUES
+) -> dict[str, float | None]:
     searches = []
     for i, column in enumerate(columns):
-        rows, distinct = row[f"n{i}"], row[f"d{i}"]
+        rows, distinct = sizes[f"rows{i}"], sizes[f"distinct{i}"]
         if rows:
             ranks = sorted({(rows - 1) // 2, rows // 2})
             searches += [_Search(column, rank, rows, distinct) for rank in ranks]

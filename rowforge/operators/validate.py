@@ -12,7 +12,7 @@ from ..functions.numbers import (
     in_bounds,
     in_category,
 )
-from ..functions.text import nfkc_all, sanitize_text
+from ..functions.text import nfkc_all, sanitize_columns, sanitize_text
 
 # Field lists, anomaly limits and the messages of the web rules.
 TEXT_FIELDS = ["sex", "embarked"]
@@ -132,30 +132,27 @@ def validate_rows(df: DataFrame) -> DataFrame:
     """
     texts = [f for f in TEXT_FIELDS if f in df.columns]
     numbers = [f for f in NUMERIC_FIELDS if f in df.columns]
-    cleaned = df.withColumns(
+    cleaned = sanitize_columns(df, {f"__{f}": _as_text(F.col(f)) for f in texts}).withColumns(
         {
-            **{f"__{f}": sanitize_text(_as_text(F.col(f))) for f in texts},
-            **{
-                f"__{f}": (coerce_int if f in INTEGER_FIELDS else coerce_float)(F.col(f))
-                for f in numbers
-            },
+            f"__{f}": (coerce_int if f in INTEGER_FIELDS else coerce_float)(F.col(f))
+            for f in numbers
         }
     )
-    checks = [_issue(f, F.col(f"__{f}.issue").isNotNull(), F.col(f"__{f}.issue")) for f in texts]
+    checks = [_issue(f, F.col(f"__{f}_issue").isNotNull(), F.col(f"__{f}_issue")) for f in texts]
     for f in numbers:
         value = F.col(f"__{f}")
         kind = "not_integer" if f in INTEGER_FIELDS else "not_numeric"
         checks.append(_issue(f, value.isNull(), kind))
         checks.append(_issue(f, value.isNotNull() & ~in_bounds(value, f), "out_of_range"))
     for f in texts:
-        value = F.col(f"__{f}.value")
+        value = F.col(f"__{f}_value")
         checks.append(_issue(f, value.isNotNull() & ~in_category(value, f), "invalid_value"))
     if "pclass" in numbers:
         value = F.col("__pclass")
         checks.append(_issue("pclass", value.isNotNull() & ~in_category(value, "pclass"), "invalid_value"))
 
     first = F.get(F.col("issues"), F.lit(0))
-    clean = {f: F.col(f"__{f}.value") for f in texts}
+    clean = {f: F.col(f"__{f}_value") for f in texts}
     clean.update(
         {f: F.col(f"__{f}").try_cast("int" if f in INTEGER_FIELDS else "double") for f in numbers}
     )
@@ -169,7 +166,9 @@ def validate_rows(df: DataFrame) -> DataFrame:
         )
     )
     anomalies = F.when(F.col("is_valid"), detect_anomalies(result, "clean_"))
-    return result.withColumn("anomalies", anomalies).drop(*[f"__{f}" for f in texts + numbers])
+    helpers = [f"__{f}" for f in numbers]
+    helpers += [f"__{f}_{part}" for f in texts for part in ("value", "issue")]
+    return result.withColumn("anomalies", anomalies).drop(*helpers)
 
 
 def validate_params(params: Column) -> Column:

@@ -326,13 +326,12 @@ def missing_required_plan(t: Tables) -> DataFrame:
 
 @query(
     "diff_names",
-    """select c_nationkey as nationkey from customer
-       except all select s_nationkey from supplier""",
+    """select c_custkey as user_id from customer
+       where c_custkey not in (select user_id from events)""",
 )
 def diff_names_plan(t: Tables) -> DataFrame:
-    customers = t["customer"].select(F.col("c_nationkey").alias("nationkey"))
-    suppliers = t["supplier"].select(F.col("s_nationkey").alias("nationkey"))
-    return diff_names(customers, suppliers)
+    customers = t["customer"].select(F.col("c_custkey").alias("user_id"))
+    return diff_names(customers, t["events"].select("user_id"))
 
 
 @query(

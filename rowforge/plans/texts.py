@@ -146,8 +146,10 @@ _CLEAN = _ESCAPED.format("text")
        select origin, id, issue, case when issue is null then cleaned end as value from checked""",
 )
 def sanitize_text_plan(t: Tables) -> DataFrame:
-    checked = all_texts(t).select("origin", "id", text.sanitize_text(F.col("text")).alias("s"))
-    return checked.select("origin", "id", "s.issue", "s.value")
+    checked = text.sanitize_columns(all_texts(t), {"text": F.col("text")})
+    return checked.select(
+        "origin", "id", F.col("text_issue").alias("issue"), F.col("text_value").alias("value")
+    )
 
 
 # ------------------------------------------------------------- names and paths

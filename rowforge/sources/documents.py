@@ -178,7 +178,8 @@ def doc_merge(
 
 def doc_delete(df: DataFrame, keys: DataFrame, id_col: str = "id") -> DataFrame:
     """The collection without the documents of these ids."""
-    return df.join(keys.select(id_col), id_col, "left_anti")
+    # distinct keys leave the map side once each, and stay where the join wants them
+    return df.join(keys.select(id_col).distinct(), id_col, "left_anti")
 
 
 def replace_collection(df: DataFrame, path: str) -> None:

@@ -98,10 +98,14 @@ def scan_json_array(
     start = F.substring(F.ltrim("value"), 1, 1)
     lines = spark.read.text(path).where(F.trim("value") != "")
     if multi_line:
-        position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-        roots = lines.groupBy(F.col("_metadata.file_path")).agg(
-            F.min_by(start, position).alias("root")
+        placed = lines.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+            start.alias("start"),
         )
+        first = F.min_by("start", F.struct("block", "line"))
+        roots = placed.groupBy("file").agg(first.alias("root"))
     else:
         roots = lines.select(start.alias("root"))
     if not roots.where(F.col("root") != "[").isEmpty():
