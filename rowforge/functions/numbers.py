@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Hard bounds, typical maxima and valid categories of the input fields.
 BOUNDS = {
@@ -18,22 +18,29 @@ CATEGORIES = {
     "pclass": [1, 2, 3],
 }
 
+_DIGITS = r"\d+(?:_\d+)*"
 _FLOAT = (
-    r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+    rf"^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"|(?i:inf|infinity|nan))\s*$"
 )
 
 
-def coerce_float(value: Column) -> Column:
-    """The number a text spells out in full, or null (``2.0f`` is not a number)."""
-    text = F.regexp_replace(value.cast("string"), r"(?<=\d)_(?=\d)", "")
-    return F.when(text.rlike(_FLOAT), F.trim(text).try_cast("double"))
+def coerce_float(value: Column, kind: T.DataType | None = None) -> Column:
+    """The number a text spells out in full, or null (``2.0f`` is not a number).
 
+    ``kind`` is the type of the column where it is known: numbers need no reading.
+    """
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return value.cast("double")
+    text = value.cast("string")
+    return F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_")).try_cast("double"))
 
-def coerce_int(value: Column) -> Column:
+
+def coerce_int(value: Column, kind: T.DataType | None = None) -> Column:
     """As ``coerce_float``, then truncated; NaN and infinity have no integer."""
-    number = coerce_float(value)
-    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
-    return F.when(finite, number.try_cast("bigint"))
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return value.cast("bigint")
+    return coerce_float(value, kind).try_cast("bigint")
 
 
 def parse_form_float(text: Column) -> Column:

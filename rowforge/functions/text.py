@@ -145,7 +145,7 @@ def sanitize_columns(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-case words of a text, as an array."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z]+"), "")
 
 
 def word_search(text: Column, terms: list[str]) -> Column:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
-
-CLAIMS = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        T.StructField("username", T.StringType()),
-        T.StructField("exp", T.LongType()),
-        T.StructField("iat", T.LongType()),
-        T.StructField("aud", T.StringType()),
-        T.StructField("iss", T.StringType()),
-    ]
-)
+from pyspark.sql import Column, DataFrame, functions as F
+
+# The claims of a token and their types.
+CLAIMS = {
+    "user_id": "string",
+    "username": "string",
+    "exp": "bigint",
+    "iat": "bigint",
+    "aud": "string",
+    "iss": "string",
+}
 
 
 def token_payload(token: Column) -> Column:
@@ -27,12 +26,21 @@ def token_payload(token: Column) -> Column:
     )
 
 
-def decode_token(token: Column) -> Column:
-    """Claims struct, null when the token is malformed."""
-    payload = token_payload(token)
-    is_object = F.get_json_object(payload, "$").startswith("{")
-    return F.when(
-        is_object & F.try_parse_json(payload).isNotNull(), F.from_json(payload, CLAIMS)
+def decode_tokens(df: DataFrame, token: str, claims: str = "claims") -> DataFrame:
+    """Add a struct of the claims, null when the token is malformed.
+
+    The payload is taken apart once, in a column of its own, and each claim is read
+    from the parsed form.
+    """
+    parsed = df.withColumn("__payload", token_payload(F.col(token))).withColumn(
+        "__json", F.try_parse_json("__payload")
+    )
+    is_object = F.ltrim("__payload").startswith("{") & F.col("__json").isNotNull()
+    values = [
+        F.try_variant_get("__json", f"$.{name}", kind).alias(name) for name, kind in CLAIMS.items()
+    ]
+    return parsed.withColumn(claims, F.when(is_object, F.struct(*values))).drop(
+        "__payload", "__json"
     )
 
 

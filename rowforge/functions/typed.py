@@ -91,8 +91,14 @@ def check_encodable(schema: T.StructType) -> None:
         check(field.dataType, field.name)
 
 
-def _wrap(tag: str, value: Column) -> Column:
-    return F.to_json(F.struct(value.alias(TAGS[tag])))
+def _wrap_text(tag: str, value: Column) -> Column:
+    """Wrapped JSON string; for plain characters, which need no escapes."""
+    return F.concat(F.lit(f'{{"{TAGS[tag]}":"'), value, F.lit('"}'))
+
+
+def _wrap_literal(tag: str, value: Column) -> Column:
+    """Wrapped JSON number or boolean."""
+    return F.concat(F.lit(f'{{"{TAGS[tag]}":'), value.cast("string"), F.lit("}"))
 
 
 def _shortest(value: Column) -> Column:
@@ -121,21 +127,21 @@ def _encode(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.NullType):
         return F.lit(NULL_JSON)
     if isinstance(kind, T.StringType):
-        body = _wrap("string", value)
+        body = F.to_json(F.struct(value.alias(TAGS["string"])))
     elif isinstance(kind, T.BooleanType):
-        body = _wrap("boolean", value)
+        body = _wrap_literal("boolean", value)
     elif isinstance(kind, T.IntegralType):
-        body = _wrap("integer", value.cast("string"))
+        body = _wrap_text("integer", value.cast("string"))
     elif isinstance(kind, T.FractionalType):
         number = value.cast("double")
         finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
         body = (
             F.when(~finite, F.lit(f'{{"{TAGS["double"]}":null}}'))
-            .when(number == F.rint(number), _wrap("integer", _integral_text(number)))
-            .otherwise(_wrap("double", number))
+            .when(number == F.rint(number), _wrap_text("integer", _integral_text(number)))
+            .otherwise(_wrap_literal("double", number))
         )
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        body = _wrap("timestamp", F.date_format(value, ISO_MILLIS))
+        body = _wrap_text("timestamp", F.date_format(value, ISO_MILLIS))
     elif isinstance(kind, T.ArrayType):
         items = F.transform(value, lambda item: _encode(item, kind.elementType))
         body = F.concat(
@@ -255,14 +261,41 @@ def _decode(value: Column, kind: T.DataType) -> Column:
 
 
 def decode_typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Documents read with ``DOCUMENT`` to plain rows of ``schema``, plus ``id``."""
-    return raw.select(
+    """Documents read with ``DOCUMENT`` to plain rows of ``schema``, plus ``id``.
+
+    The JSON of a nested map is parsed once, into a column of its own, and its fields
+    are picked from there, level by level. Fields that are null stay null.
+    """
+    level = [(f"__{i}", f.dataType) for i, f in enumerate(schema.fields)]
+    work = raw.select(
         doc_id_from_path(F.col("name")).alias("id"),
         *[
-            _decode(F.try_element_at(F.col("fields"), F.lit(f.name)), f.dataType).alias(f.name)
-            for f in schema.fields
+            F.try_element_at("fields", F.lit(f.name)).alias(column)
+            for f, (column, _) in zip(schema.fields, level)
         ],
     )
+    while opened := [(c, kind) for c, kind in level if isinstance(kind, T.StructType)]:
+        members = {f"{c}m": F.from_json(F.col(c)[TAGS["map"]], _FIELDS)["fields"] for c, _ in opened}
+        work = work.withColumns(members).withColumns(
+            {
+                f"{c}_{i}": F.try_element_at(f"{c}m", F.lit(f.name))
+                for c, kind in opened
+                for i, f in enumerate(kind.fields)
+            }
+        )
+        level = [(f"{c}_{i}", f.dataType) for c, kind in opened for i, f in enumerate(kind.fields)]
+
+    def plain(column: str, kind: T.DataType) -> Column:
+        if not isinstance(kind, T.StructType):
+            return _decode(F.col(column), kind)
+        parts = [
+            plain(f"{column}_{i}", f.dataType).alias(f.name) for i, f in enumerate(kind.fields)
+        ]
+        return F.when(F.col(f"{column}m").isNotNull(), F.struct(*parts))
+
+    return work.select(
+        "id", *[plain(f"__{i}", f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
+    )
 
 
 # ------------------------------------------- values whose shape varies by row

@@ -24,6 +24,7 @@ from ..functions.scores import (
     margin_record,
     threshold_label,
 )
+from ..sources.tables import spread
 from .evaluate import evaluate_predictors
 
 # Model settings and the accuracies shown when none are stored.
@@ -89,7 +90,7 @@ class ModelPair:
     def train(cls, df: DataFrame, feature_columns: list[str], label: str) -> "ModelPair":
         """Both fits read the same prepared rows several times, so these are kept."""
         data = assemble(df.withColumn(label, F.col(label).cast("double")), feature_columns, [label])
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             rows = data.count()
             return cls(train_logistic(data, label, rows), train_tree(data, label), feature_columns)

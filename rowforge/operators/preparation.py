@@ -10,7 +10,7 @@ from ..session import durable
 from .features import derive_features, drop_columns
 from .ranking import global_index
 from .statistics import (
-    MAX_BUFFER_VALUES,
+    MAX_TASK_VALUES,
     approximate_medians,
     median_sizes,
     medians_of,
@@ -52,7 +52,7 @@ def fit_categories(counts: DataFrame) -> DataFrame:
     """Sorted distinct values of each column to codes 0..k-1."""
     size = counts.groupBy("column").count().agg(F.max("count")).first()[0] or 0
     distinct = counts.select("column", "category")
-    if size <= MAX_BUFFER_VALUES:
+    if size <= MAX_TASK_VALUES:
         window = Window.partitionBy("column").orderBy("category")
         code = F.row_number().over(window) - 1
         return distinct.select("column", "category", code.cast("int").alias("code"))
@@ -117,9 +117,8 @@ class Preparation:
             "columns": float(len(df.columns)),
             "label_rate": totals["label_rate"] if self.label in present else None,
         }
-        found = (
-            approximate_medians(df, medians) if approximate else medians_of(df, medians, totals)
-        )
+        search = approximate_medians if approximate else medians_of
+        found = search(df, medians, totals) if medians else {}
         self.stats.update({f"{c}_median": v for c, v in found.items()})
         self._fit_categories(df, categorical)
         skipped = {self.label, *self.key_columns}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import durable
 
 #: Rows of one stratum that share a hash prefix, at most roughly.
-SLICE_ROWS = 500_000
+SLICE_ROWS = 5_000_000
 
 #: Labels whose bounds may be broadcast.
 MAX_SMALL_LABELS = 10_000

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
+from math import inf, isnan, sqrt
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-#: Distinct values that one aggregation buffer may hold.
-MAX_BUFFER_VALUES = 200_000
+#: Distinct values that one task may sort.
+MAX_TASK_VALUES = 1_000_000
 
-#: Relative accuracy of the brackets around a median.
-ACCURACY = 10_000
+#: Rows of a sample that only says where to look next.
+SAMPLE_ROWS = 500_000
+
+#: Standard errors of a sample rank on either side of a bracket.
+ERRORS = 5
 
 
 @dataclass
@@ -24,7 +31,7 @@ class _Search:
     low: float | None = None
     high: float | None = None
     below: int = 0  # rows at or under ``low``
-    margin: float = 2.0 / ACCURACY
+    widening: float = 1.0
     value: float | None = None
 
     def candidates(self) -> Column:
@@ -36,8 +43,17 @@ class _Search:
         return number
 
     @property
-    def fraction(self) -> float:
-        return (self.rank - self.below + 0.5) / self.inside
+    def target(self) -> int:
+        """0-based rank among the candidates."""
+        return self.rank - self.below
+
+    @property
+    def bracket(self) -> list[float]:
+        """Shares of a sample between which the target almost surely lies."""
+        share = (self.target + 0.5) / self.inside
+        error = 0.5 / sqrt(min(SAMPLE_ROWS, self.inside))
+        margin = ERRORS * error * self.widening
+        return [max(0.0, share - margin), min(1.0, share + margin)]
 
 
 def _number(column: str) -> Column:
@@ -47,15 +63,16 @@ def _number(column: str) -> Column:
 
 
 def exact_medians(
-    df: DataFrame, columns: list[str], max_values: int = MAX_BUFFER_VALUES
+    df: DataFrame, columns: list[str], max_values: int = MAX_TASK_VALUES
 ) -> dict[str, float | None]:
     """Median of each column (mean of the two middle values, nulls ignored).
 
-    Spark's exact percentiles keep every distinct value in one buffer. So the number
-    of distinct values is estimated first. Where it is too high, approximate
-    percentiles bracket the middle rank, the rows outside are only counted, and the
-    search goes on between the two; each round leaves less than a thousandth of the
-    rows. All columns share the passes over the data.
+    Spark's exact percentiles bring every distinct value of every task to one buffer.
+    Here the number of distinct values is estimated first. Up to ``max_values`` they
+    are counted by a shuffle, and only the counts are sorted. Beyond that, a sample
+    brackets the middle, the rows on both sides are counted exactly, and the search
+    goes on between; a bracket that missed is seen by the counts and widened. All
+    columns share the passes over the data.
     """
     if not columns:
         return {}
@@ -76,7 +93,7 @@ def median_sizes(columns: list[str]) -> list[Column]:
 
 
 def medians_of(
-    df: DataFrame, columns: list[str], sizes: Row, max_values: int = MAX_BUFFER_VALUES
+    df: DataFrame, columns: list[str], sizes: Row, max_values: int = MAX_TASK_VALUES
 ) -> dict[str, float | None]:
     searches = []
     for i, column in enumerate(columns):
@@ -84,8 +101,12 @@ def medians_of(
         if rows:
             ranks = sorted({(rows - 1) // 2, rows // 2})
             searches += [_Search(column, rank, rows, distinct) for rank in ranks]
-    while any(s.value is None for s in searches):
-        _one_round(df, [s for s in searches if s.value is None], max_values)
+    while open_searches := [s for s in searches if s.value is None]:
+        wide = [s for s in open_searches if s.distinct > max_values]
+        if wide:
+            _narrow(df, wide)
+        else:
+            _finish(df, open_searches)
 
     medians: dict[str, float | None] = dict.fromkeys(columns)
     for column in columns:
@@ -95,29 +116,57 @@ def medians_of(
     return medians
 
 
-def _one_round(df: DataFrame, searches: list[_Search], max_values: int) -> None:
-    """Find the values that fit in a buffer, and narrow the interval of the others."""
-    candidates = df.select(*[s.candidates().alias(f"v{i}") for i, s in enumerate(searches)])
-    asked = []
-    for i, s in enumerate(searches):
-        if s.distinct <= max_values:
-            exact = f"percentile_disc({s.fraction!r}) WITHIN GROUP (ORDER BY v{i})"
-            asked.append(F.expr(exact).alias(f"q{i}"))
-        else:
-            ends = [max(0.0, s.fraction - s.margin), min(1.0, s.fraction + s.margin)]
-            asked.append(F.percentile_approx(f"v{i}", ends, ACCURACY).alias(f"q{i}"))
-    answer = candidates.agg(*asked).first()
-
-    wide = []
-    for i, s in enumerate(searches):
-        if s.distinct <= max_values:
-            s.value = answer[f"q{i}"]
-        else:
-            wide.append((s, *answer[f"q{i}"]))
-    if not wide:
-        return
+def _finish(df: DataFrame, searches: list[_Search]) -> None:
+    """Count the few remaining values, and read the wanted ranks off the counts."""
+    groups: dict[tuple, list[_Search]] = defaultdict(list)
+    for s in searches:
+        groups[s.column, s.low, s.high].append(s)
+    same_values = list(groups.values())
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("id"), group[0].candidates().alias("value"))
+            for i, group in enumerate(same_values)
+        ]
+    )
+    counts = (
+        df.select(F.inline(pairs))
+        .where(F.col("value").isNotNull())
+        .groupBy("id", "value")
+        .agg(F.count("*").alias("n"))
+    )
+    through = F.sum("n").over(Window.partitionBy("id").orderBy("value"))
+    wanted = [
+        (F.col("id") == i) & (F.col("through") > s.target) & (F.col("through") - F.col("n") <= s.target)
+        for i, group in enumerate(same_values)
+        for s in group
+    ]
+    rows = counts.withColumn("through", through).where(reduce(or_, wanted)).collect()
+    for row in rows:
+        for s in same_values[row["id"]]:
+            if row["through"] - row["n"] <= s.target < row["through"]:
+                s.value = row["value"]
+
+
+def _narrow(df: DataFrame, searches: list[_Search]) -> None:
+    """Bracket each target with a sample, then count where the rows really are."""
+    samples = df.select(
+        *[
+            F.when(F.rand(i) < SAMPLE_ROWS / s.inside, s.candidates()).alias(f"v{i}")
+            for i, s in enumerate(searches)
+        ]
+    )
+    ends = samples.agg(
+        *[F.percentile(f"v{i}", s.bracket).alias(f"q{i}") for i, s in enumerate(searches)]
+    ).first()
+    found = [(s, ends[f"q{i}"]) for i, s in enumerate(searches)]
+    brackets = [
+        # between infinities of both signs the interpolated end is not a number
+        (s, -inf if isnan(ends[0]) else ends[0], inf if isnan(ends[1]) else ends[1])
+        for s, ends in found
+        if ends is not None  # a sample may be empty
+    ]
     counts = []
-    for i, (s, low, high) in enumerate(wide):
+    for i, (s, low, high) in enumerate(brackets):
         number = s.candidates()
         between = F.when((number > low) & (number < high), number)
         counts += [
@@ -127,29 +176,30 @@ def _one_round(df: DataFrame, searches: list[_Search], max_values: int) -> None:
             F.count_if(number <= high).alias(f"le_high{i}"),
             F.approx_count_distinct(between).alias(f"distinct{i}"),
         ]
-    row = df.agg(*counts).first()
-    for i, (s, low, high) in enumerate(wide):
-        rank = s.rank - s.below
+    row = df.agg(*counts).first() if counts else None
+    for i, (s, low, high) in enumerate(brackets):
         through_low = row[f"le_low{i}"]
-        if row[f"lt_low{i}"] <= rank < through_low:
+        if row[f"lt_low{i}"] <= s.target < through_low:
             s.value = low
-        elif through_low <= rank < through_low + row[f"inside{i}"]:
-            s.low, s.high, s.below = low, high, s.below + through_low
+        elif through_low <= s.target < through_low + row[f"inside{i}"]:
+            s.low, s.high, s.below, s.widening = low, high, s.below + through_low, 1.0
             s.inside, s.distinct = row[f"inside{i}"], row[f"distinct{i}"]
-        elif through_low <= rank < row[f"le_high{i}"]:
+        elif through_low <= s.target < row[f"le_high{i}"]:
             s.value = high
         else:
-            s.margin *= 4  # the bracket missed the rank: widen it and look again
+            s.widening *= 4
 
 
-def approximate_medians(
-    df: DataFrame, columns: list[str], accuracy: int = ACCURACY
-) -> dict[str, float | None]:
-    """Medians within a rank error of rows / accuracy, in one pass."""
-    row = df.agg(
-        *[F.percentile_approx(f"`{c}`", 0.5, accuracy).cast("double").alias(c) for c in columns]
-    ).first()
-    return row.asDict()
+def approximate_medians(df: DataFrame, columns: list[str], sizes: Row) -> dict[str, float | None]:
+    """Medians of a sample: at most about a third of a percent of the rows off."""
+    samples = df.select(
+        *[
+            F.when(F.rand(i) < SAMPLE_ROWS / max(sizes[f"rows{i}"], 1), _number(c)).alias(f"v{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    row = samples.agg(*[F.percentile(f"v{i}", 0.5).alias(c) for i, c in enumerate(columns)])
+    return row.first().asDict()
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

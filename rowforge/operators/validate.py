@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numbers import (
+    BOUNDS,
     CATEGORIES,
     above,
     coerce_float,
@@ -38,6 +42,8 @@ SCHEMA_RANGES = {
 }
 SCHEMA_ENUMS = {"sex": ["male", "female"], "embarked": ["C", "Q", "S"]}
 
+ISSUES = "array<struct<field:string,issue:string>>"
+
 
 def _given(df: DataFrame, name: str, prefix: str) -> Column:
     """The column, or its default where the column or the value is absent."""
@@ -101,21 +107,26 @@ def detect_anomalies(df: DataFrame, prefix: str = "") -> Column:
     age, fare, pclass, sibsp, parch = (
         _given(df, name, prefix) for name in ("age", "fare", "pclass", "sibsp", "parch")
     )
-    family = sibsp + parch + 1
-    return F.array_compact(
-        F.array(
-            F.when((age < CHILD_AGE) & above(fare, HIGH_FARE), "child_high_fare"),
-            F.when(family > LARGE_FAMILY, "large_family_size"),
-            F.when((pclass == 1) & (fare < LOW_FARE), "first_class_low_fare").when(
-                (pclass == 3) & above(fare, HIGH_FARE), "third_class_high_fare"
-            ),
-        )
+    child = (age < CHILD_AGE) & above(fare, HIGH_FARE)
+    large = sibsp + parch + 1 > LARGE_FAMILY
+    cheap = (pclass == 1) & (fare < LOW_FARE)
+    dear = (pclass == 3) & above(fare, HIGH_FARE)
+    return _named(
+        {
+            "child_high_fare": child,
+            "large_family_size": large,
+            "first_class_low_fare": cheap,
+            "third_class_high_fare": dear,
+        }
     )
 
 
-def _issue(field: str, when: Column, issue: Column | str) -> Column:
-    code = F.lit(issue) if isinstance(issue, str) else issue
-    return F.when(when, F.struct(F.lit(field).alias("field"), code.alias("issue")))
+def _named(conditions: dict[str, Column]) -> Column:
+    """Names of the conditions that hold. Most rows have none, and skip the array work."""
+    names = F.array(*[F.when(holds, name) for name, holds in conditions.items()])
+    return F.when(reduce(or_, conditions.values()), F.array_compact(names)).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def _as_text(value: Column) -> Column:
@@ -132,43 +143,60 @@ def validate_rows(df: DataFrame) -> DataFrame:
     """
     texts = [f for f in TEXT_FIELDS if f in df.columns]
     numbers = [f for f in NUMERIC_FIELDS if f in df.columns]
+    read = {
+        f: (coerce_int if f in INTEGER_FIELDS else coerce_float)(F.col(f), df.schema[f].dataType)
+        for f in numbers
+    }
     cleaned = sanitize_columns(df, {f"__{f}": _as_text(F.col(f)) for f in texts}).withColumns(
-        {
-            f"__{f}": (coerce_int if f in INTEGER_FIELDS else coerce_float)(F.col(f))
-            for f in numbers
-        }
+        {f"__{f}": value for f, value in read.items()}
     )
-    checks = [_issue(f, F.col(f"__{f}_issue").isNotNull(), F.col(f"__{f}_issue")) for f in texts]
+
+    refused: list[tuple[str, Column, Column]] = []  # field, condition, code
+    for f in texts:
+        issue = F.col(f"__{f}_issue")
+        refused.append((f, issue.isNotNull(), issue))
     for f in numbers:
         value = F.col(f"__{f}")
-        kind = "not_integer" if f in INTEGER_FIELDS else "not_numeric"
-        checks.append(_issue(f, value.isNull(), kind))
-        checks.append(_issue(f, value.isNotNull() & ~in_bounds(value, f), "out_of_range"))
-    for f in texts:
-        value = F.col(f"__{f}_value")
-        checks.append(_issue(f, value.isNotNull() & ~in_category(value, f), "invalid_value"))
-    if "pclass" in numbers:
-        value = F.col("__pclass")
-        checks.append(_issue("pclass", value.isNotNull() & ~in_category(value, "pclass"), "invalid_value"))
-
-    first = F.get(F.col("issues"), F.lit(0))
-    clean = {f: F.col(f"__{f}_value") for f in texts}
-    clean.update(
-        {f: F.col(f"__{f}").try_cast("int" if f in INTEGER_FIELDS else "double") for f in numbers}
-    )
-    result = (
-        cleaned.withColumn("issues", F.array_compact(F.array(*checks)))
-        .withColumns({f"clean_{f}": column for f, column in clean.items()})
-        .withColumn("is_valid", F.size("issues") == 0)
-        .withColumn(
-            "first_issue",
-            F.when(~F.col("is_valid"), F.concat_ws(":", first["field"], first["issue"])),
+        code = "not_integer" if f in INTEGER_FIELDS else "not_numeric"
+        refused.append((f, value.isNull(), F.lit(code)))
+        if f in BOUNDS:
+            outside = value.isNotNull() & ~in_bounds(value, f)
+            refused.append((f, outside, F.lit("out_of_range")))
+    for f in [*texts, *(f for f in numbers if f in CATEGORIES)]:
+        value = F.col(f"__{f}_value" if f in texts else f"__{f}")
+        unknown = value.isNotNull() & ~in_category(value, f)
+        refused.append((f, unknown, F.lit("invalid_value")))
+
+    invalid = reduce(or_, [condition for _, condition, _ in refused])
+    issues = F.array_compact(
+        F.array(
+            *[
+                F.when(condition, F.struct(F.lit(f).alias("field"), code.alias("issue")))
+                for f, condition, code in refused
+            ]
         )
     )
-    anomalies = F.when(F.col("is_valid"), detect_anomalies(result, "clean_"))
+    first = F.coalesce(
+        *[F.when(condition, F.concat(F.lit(f + ":"), code)) for f, condition, code in refused]
+    )
+    clean = {f"clean_{f}": F.col(f"__{f}_value") for f in texts}
+    clean.update(
+        {
+            f"clean_{f}": F.col(f"__{f}").try_cast("int" if f in INTEGER_FIELDS else "double")
+            for f in numbers
+        }
+    )
+    result = cleaned.withColumns({**clean, "is_valid": ~invalid})
+    good = F.col("is_valid")
     helpers = [f"__{f}" for f in numbers]
     helpers += [f"__{f}_{part}" for f in texts for part in ("value", "issue")]
-    return result.withColumn("anomalies", anomalies).drop(*helpers)
+    return result.withColumns(
+        {
+            "issues": F.when(good, F.array().cast(ISSUES)).otherwise(issues),
+            "first_issue": F.when(~good, first),
+            "anomalies": F.when(good, detect_anomalies(result, "clean_")),
+        }
+    ).drop(*helpers)
 
 
 def validate_params(params: Column) -> Column:

@@ -72,7 +72,7 @@ def test_rows(t: Tables, preparation: Preparation) -> DataFrame:
 
 
 def word_documents(t: Tables) -> DataFrame:
-    return t["documents"].select(
+    return t.spread["documents"].select(
         F.col("doc_id").cast("string").alias("id"), "doc_id", words(F.col("text")).alias("words")
     )
 

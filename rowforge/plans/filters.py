@@ -144,7 +144,7 @@ def where_array_contains_any_plan(t: Tables) -> DataFrame:
 def word_search_plan(t: Tables) -> DataFrame:
     from ..functions.text import word_search
 
-    return t["documents"].where(word_search(F.col("text"), ["that", "EIN"])).select("doc_id")
+    return t.spread["documents"].where(word_search(F.col("text"), ["that", "EIN"])).select("doc_id")
 
 
 @query(

@@ -20,7 +20,7 @@ from .registry import query
 )
 def redact_keys_plan(t: Tables) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
-    secretive = t["events"].select(
+    secretive = t.spread["events"].select(
         "event_id",
         F.col("props").alias("session_token"),
         F.struct(kind.alias("kind"), F.col("value").alias("Client_Secret")).alias("nested"),
@@ -49,7 +49,7 @@ def redact_keys_plan(t: Tables) -> DataFrame:
 )
 def to_sorted_json_plan(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    rows = t["events"].select(
+    rows = t.spread["events"].select(
         F.col("event_id").alias("request_id"),
         F.struct(F.col("user_id").alias("user"), k.alias("k")).alias("nested"),
         F.col("event_type").alias("endpoint"),
@@ -77,7 +77,7 @@ def serialize_nested_plan(t: Tables) -> DataFrame:
         error.alias("error"),
         F.array("user_id").alias("users"),
     )
-    return t["events"].select("event_id", redaction.serialize_nested(value).alias("line"))
+    return t.spread["events"].select("event_id", redaction.serialize_nested(value).alias("line"))
 
 
 # ------------------------------------------------------------- typed documents
@@ -86,7 +86,7 @@ def serialize_nested_plan(t: Tables) -> DataFrame:
 def _orders(t: Tables) -> DataFrame:
     """Orders as nested documents with every kind of value."""
     price = F.col("o_totalprice")
-    return t["orders"].select(
+    return t.spread["orders"].select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_custkey").alias("customer"),
         price.alias("total"),
@@ -191,7 +191,7 @@ def decode_variant_plan(t: Tables) -> DataFrame:
     mixed = F.concat(
         F.lit('["'), F.col("event_type"), F.lit('",'), F.col("user_id"), F.lit("]")
     )
-    events = t["events"].select(
+    events = t.spread["events"].select(
         F.col("event_id").cast("string").alias("id"),
         F.parse_json("props").alias("props"),
         F.parse_json(mixed).alias("mixed"),
@@ -238,7 +238,7 @@ def _tokens(t: Tables) -> DataFrame:
     token = F.concat_ws(
         ".", _base64url(head), _base64url(claims), F.when(kind != "error", F.lit("sig"))
     )
-    return t["events"].select("event_id", token.alias("token"))
+    return t.spread["events"].select("event_id", token.alias("token"))
 
 
 _CLAIMS = """
@@ -258,7 +258,7 @@ with claims as (
        case when ok then iat end as iat from claims""",
 )
 def decode_token_plan(t: Tables) -> DataFrame:
-    decoded = _tokens(t).select("event_id", tokens.decode_token(F.col("token")).alias("c"))
+    decoded = tokens.decode_tokens(_tokens(t), "token", "c")
     return decoded.select("event_id", "c.user_id", "c.username", "c.exp", "c.iat")
 
 
@@ -267,10 +267,9 @@ def decode_token_plan(t: Tables) -> DataFrame:
     _CLAIMS + f"select event_id, not ok or iat + 3600 < {NOW} as expired from claims",
 )
 def token_expired_plan(t: Tables) -> DataFrame:
-    claims = tokens.decode_token(F.col("token"))
-    return _tokens(t).select(
-        "event_id", tokens.token_expired(claims["exp"], F.lit(NOW)).alias("expired")
-    )
+    decoded = tokens.decode_tokens(_tokens(t), "token")
+    expired = tokens.token_expired(F.col("claims.exp"), F.lit(NOW))
+    return decoded.select("event_id", expired.alias("expired"))
 
 
 @query(
@@ -281,6 +280,6 @@ def token_expired_plan(t: Tables) -> DataFrame:
          when user_id is null then 'missing_user_id' end as issue from claims""",
 )
 def token_claims_check_plan(t: Tables) -> DataFrame:
-    decoded = _tokens(t).select("event_id", tokens.decode_token(F.col("token")).alias("c"))
+    decoded = tokens.decode_tokens(_tokens(t), "token", "c")
     issue = tokens.claims_issue(F.col("c"), "ml-service", "gateway", F.lit(NOW))
     return decoded.select("event_id", issue.alias("issue"))

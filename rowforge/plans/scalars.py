@@ -166,7 +166,7 @@ _RAW = (
 def _raw(t: Tables) -> DataFrame:
     """Passengers with values that break rules: sexes, ages over 120, negative fares."""
     sibsp, fare = F.col("sibsp"), F.col("fare")
-    return t.passengers.withColumns(
+    return t.spread.passengers.withColumns(
         {
             "sex": F.when(sibsp == 3, "other").otherwise(F.col("sex")),
             "age": F.when(F.col("parch") == 2, F.col("age") * 2).otherwise(F.col("age")),

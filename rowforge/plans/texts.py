@@ -31,18 +31,19 @@ def _quoted(pattern: str) -> str:
 
 def all_texts(t: Tables) -> DataFrame:
     conversation = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
+    rows = t.spread
     return (
-        t["documents"]
+        rows["documents"]
         .select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
         .unionByName(
-            t["pages"].select(
+            rows["pages"].select(
                 F.lit("pages").alias("origin"),
                 F.col("page_id").alias("id"),
                 F.col("html").alias("text"),
             )
         )
         .unionByName(
-            t["conversations"].select(F.lit("conversations").alias("origin"), conversation, "text")
+            rows["conversations"].select(F.lit("conversations").alias("origin"), conversation, "text")
         )
     )
 

@@ -7,15 +7,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PASSENGER_FIELDS = ["pclass", "sex", "age", "sibsp", "parch", "fare", "embarked"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores, over all cores.
+
+    For work that costs far more than moving rows. Spark cuts any input of more than a
+    few megabytes per core into at least as many splits as cores, so a large input is
+    never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to ``<root>/<name>.parquet``."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, spread_rows: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.spread_rows = spread_rows
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return spread(df) if self.spread_rows else df
+
+    @property
+    def spread(self) -> "Tables":
+        """The same tables, small ones spread over all cores."""
+        return Tables(self.spark, self.root, spread_rows=True)
 
     @property
     def passengers(self) -> DataFrame:

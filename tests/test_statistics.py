@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from rowforge.operators import preparation as prep
 from rowforge.operators.preparation import Preparation, encode_lookup, fit_categories
+from rowforge.operators import statistics
 from rowforge.operators.statistics import (
     approximate_medians,
     exact_medians,
+    median_sizes,
     modes,
     value_counts,
 )
@@ -32,9 +34,10 @@ def lists(rng, n):
     }
 
 
-@pytest.mark.parametrize("n", [1, 2, 5000, 5001])
-@pytest.mark.parametrize("max_values", [1, 50, 200_000])
-def test_exact_median_equals_numpy(spark, n, max_values):
+@pytest.mark.parametrize("n", [1, 2, 3001])
+@pytest.mark.parametrize("max_values, sample", [(1, 1000), (50, 100), (50, 10**6), (200_000, 1)])
+def test_exact_median_equals_numpy(spark, monkeypatch, n, max_values, sample):
+    monkeypatch.setattr(statistics, "SAMPLE_ROWS", sample)
     values = lists(np.random.default_rng(n), n)
     values["sliver"][: n // 10] = np.linspace(0.2, 0.8, n // 10).tolist()
     found = exact_medians(frame(spark, **values), list(values), max_values)
@@ -47,9 +50,16 @@ def test_median_ignores_null_and_nan(spark):
     assert exact_medians(df.where("false"), ["a"]) == {"a": None}
 
 
+def test_median_between_infinities(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "SAMPLE_ROWS", 20)
+    values = [-np.inf] * 40 + [float(i) for i in range(30)] + [np.inf] * 40
+    assert exact_medians(frame(spark, a=values), ["a"], 2) == {"a": 14.5}
+
+
 def test_approximate_median_is_close(spark):
     values = np.random.default_rng(3).random(2000).tolist()
-    found = approximate_medians(frame(spark, a=values), ["a"])
+    df = frame(spark, a=values)
+    found = approximate_medians(df, ["a"], df.agg(*median_sizes(["a"])).first())
     assert abs(found["a"] - np.median(values)) < 0.01
 
 
@@ -59,7 +69,7 @@ def test_mode_takes_the_smallest_of_equals(spark):
 
 
 def test_many_categories_are_coded_without_one_big_window(spark, monkeypatch):
-    monkeypatch.setattr(prep, "MAX_BUFFER_VALUES", 3)
+    monkeypatch.setattr(prep, "MAX_TASK_VALUES", 3)
     df = spark.range(50).select(
         F.format_string("c%02d", F.col("id") % 20).alias("x"), (F.col("id") % 2).alias("y")
     )

@@ -26,6 +26,12 @@ def found(spark, texts, build):
     return [r["x"] for r in rows]
 
 
+def claims_of(spark, texts, build=lambda c: c):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = tokens.decode_tokens(df, "t", "c").select("i", build(F.col("c")).alias("x"))
+    return [r["x"] for r in rows.orderBy("i").collect()]
+
+
 def test_claims(spark):
     texts = [
         token(GOOD),
@@ -39,7 +45,7 @@ def test_claims(spark):
         None,
         token({"exp": 1, "new": True}),
     ]
-    claims = found(spark, texts, tokens.decode_token)
+    claims = claims_of(spark, texts)
     assert tuple(claims[0]) == ("7", "ünï", NOW + 1, NOW, "svc", "me")
     assert claims[1:9] == [None] * 8
     assert claims[9]["exp"] == 1 and claims[9]["user_id"] is None
@@ -47,9 +53,7 @@ def test_claims(spark):
 
 def test_expiry(spark):
     texts = [token({**GOOD, "exp": e}) for e in (NOW - 1, NOW, NOW + 1, 0, None)] + ["bad", None]
-    expired = found(
-        spark, texts, lambda t: tokens.token_expired(tokens.decode_token(t)["exp"], F.lit(NOW))
-    )
+    expired = claims_of(spark, texts, lambda c: tokens.token_expired(c["exp"], F.lit(NOW)))
     assert expired == [True, False, False, True, True, True, True]
 
 
@@ -64,8 +68,8 @@ def test_expiry(spark):
     ],
 )
 def test_claims_check(spark, change, issue):
-    check = lambda t: tokens.claims_issue(tokens.decode_token(t), "svc", "me", F.lit(NOW))
-    assert found(spark, [token({**GOOD, **change}), "x"], check) == [issue, "malformed"]
+    check = lambda c: tokens.claims_issue(c, "svc", "me", F.lit(NOW))
+    assert claims_of(spark, [token({**GOOD, **change}), "x"], check) == [issue, "malformed"]
 
 
 def test_collection_names(spark):
