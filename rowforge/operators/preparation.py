@@ -25,8 +25,9 @@ MODE_COLUMNS = ["embarked"]
 CATEGORICAL_COLUMNS = ["sex", "embarked"]
 REQUIRED_STATS = ["age_median", "embarked_mode", "fare_median"]
 
-#: Categories that may be turned into a literal map or broadcast.
-MAX_SMALL_CATEGORIES = 10_000
+#: Categories that fit in a literal map of the plan, and those that may be broadcast.
+MAX_LITERAL_CATEGORIES = 200
+MAX_SMALL_CATEGORIES = 100_000
 
 ENCODINGS = T.StructType(
     [
@@ -88,6 +89,7 @@ class Preparation:
     stats: dict[str, float | str | None] = field(default_factory=dict)
     encodings: DataFrame | None = None
     categories: dict[str, list[str]] | None = None
+    small: bool = True
     feature_columns: list[str] = field(default_factory=list)
     label: str = LABEL
     key_columns: tuple[str, ...] = ("passenger_id",)
@@ -131,8 +133,8 @@ class Preparation:
             self._keep_small(df.sparkSession, [])
             return
         counts = value_counts(df, columns)
-        rows = counts.limit(MAX_SMALL_CATEGORIES + 1).collect()
-        if len(rows) <= MAX_SMALL_CATEGORIES:
+        rows = counts.limit(MAX_LITERAL_CATEGORIES + 1).collect()
+        if len(rows) <= MAX_LITERAL_CATEGORIES:
             names: dict[str, list[str]] = {c: [] for c in columns}
             chosen: dict[str, str] = {}
             for row in sorted(rows, key=lambda r: (-r["n"], r["category"])):
@@ -143,7 +145,7 @@ class Preparation:
         else:
             counts = durable(counts)
             chosen = {r["column"]: r["mode"] for r in modes(counts).collect()}
-            self.encodings, self.categories = durable(fit_categories(counts)), None
+            self._keep_large(durable(fit_categories(counts)))
         self.stats.update({f"{c}_mode": chosen.get(c) for c in wanted})
 
     def _keep_small(self, spark: SparkSession, codes: list[tuple[str, str, int]]) -> None:
@@ -153,14 +155,19 @@ class Preparation:
         for column, category, _ in sorted(codes, key=lambda code: (code[0], code[2])):
             self.categories.setdefault(column, []).append(category)
 
+    def _keep_large(self, table: DataFrame) -> None:
+        """A longer one is joined, by broadcast as long as its size allows that."""
+        self.encodings, self.categories = table, None
+        self.small = table.count() <= MAX_SMALL_CATEGORIES
+
     def _set_encodings(self, table: DataFrame) -> None:
         """Take over a stored code table, short or long."""
-        rows = table.limit(MAX_SMALL_CATEGORIES + 1).collect()
-        if len(rows) <= MAX_SMALL_CATEGORIES:
+        rows = table.limit(MAX_LITERAL_CATEGORIES + 1).collect()
+        if len(rows) <= MAX_LITERAL_CATEGORIES:
             codes = [(row["column"], row["category"], row["code"]) for row in rows]
             self._keep_small(table.sparkSession, codes)
         else:
-            self.encodings, self.categories = table, None
+            self._keep_large(table)
 
     # -- apply -------------------------------------------------------------
 
@@ -198,7 +205,7 @@ class Preparation:
                 if column in self.categories:
                     df = df.withColumn(column, self._code(column, unseen_to_first))
             else:
-                df = encode_lookup(df, self.encodings, column, unseen_to_first, small=False)
+                df = encode_lookup(df, self.encodings, column, unseen_to_first, self.small)
         return df
 
     def transform(self, df: DataFrame, on_unbinned: str = "null") -> DataFrame:

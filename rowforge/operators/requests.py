@@ -88,6 +88,7 @@ def rate_limit_headers(
     return decided.withColumns(
         {
             "limit": F.lit(limit),
+            "policy": F.lit(f"{limit};w={RATE_UNITS[unit]}"),
             "remaining": F.when(refused, F.lit(0)).otherwise(limit - F.col("nth")).cast("long"),
             "retry_after": F.when(refused, F.lit(RETRY_AFTER_SECONDS)),
             "reset": F.when(refused, epoch + RETRY_AFTER_SECONDS).otherwise(window_end),

@@ -19,6 +19,7 @@ from ..operators.requests import (
     user_activity,
 )
 from ..operators.statistics import exact_medians, modes, value_counts
+from ..operators.training import split_rows
 from ..operators.validate import (
     anomaly_counts,
     detect_anomalies,
@@ -26,7 +27,7 @@ from ..operators.validate import (
     validate_rows,
 )
 from ..sources.tables import Tables
-from .common import linear_scores, split_passengers
+from .common import linear_scores
 from .registry import AGE_GROUP, FITTED, PASSENGERS, REQUESTS, SCORED, query
 
 
@@ -79,7 +80,7 @@ def shape_plan(t: Tables) -> DataFrame:
 )
 def label_rate_plan(t: Tables) -> DataFrame:
     passengers = t.passengers.select("passenger_id", "survived")
-    parts = label_rate(split_passengers(t, passengers), "survived", "part")
+    parts = label_rate(split_rows(passengers), "survived", "part")
     whole = label_rate(passengers, "survived").select(F.lit("all").alias("part"), "*")
     return whole.unionByName(parts).withColumn("label_rate", F.round("label_rate", 6))
 
@@ -448,7 +449,7 @@ def rate_limit_decide_plan(t: Tables) -> DataFrame:
 @query(
     "rate_limit_headers",
     _DECIDED
-    + """select request_id, nth <= 3 as allowed, 3 as "limit",
+    + """select request_id, nth <= 3 as allowed, 3 as "limit", '3;w=86400' as policy,
          cast(case when nth <= 3 then 3 - nth else 0 end as bigint) as remaining,
          case when nth > 3 then 60 end as retry_after,
          case when nth > 3 then cast(floor(epoch(ts)) as bigint) + 60
@@ -459,7 +460,7 @@ def rate_limit_headers_plan(t: Tables) -> DataFrame:
     requests = t.requests.select("request_id", "ts", "user_id")
     decided = rate_limit_decide(requests, "user_id", 3, "day")
     return rate_limit_headers(decided, 3, "day").select(
-        "request_id", "allowed", "limit", "remaining", "retry_after", "reset"
+        "request_id", "allowed", "limit", "policy", "remaining", "retry_after", "reset"
     )
 
 
@@ -472,4 +473,4 @@ def rate_limit_headers_plan(t: Tables) -> DataFrame:
        from passengers""",
 )
 def stratified_split_plan(t: Tables) -> DataFrame:
-    return split_passengers(t, t.passengers.select("passenger_id", "survived"))
+    return split_rows(t.passengers.select("passenger_id", "survived"))

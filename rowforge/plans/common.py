@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scores import ensemble_mean, linear_score
 from ..functions.text import words
-from ..operators.models import SEED, TEST_SHARE, ModelPair
 from ..operators.preparation import Preparation
-from ..operators.split import stratified_split
+from ..operators.training import TrainingRun, split_rows, train
 from ..sources.tables import Tables
 from .registry import FIRST_INTERCEPT, FIRST_MODEL, SECOND_INTERCEPT, SECOND_MODEL
 
@@ -27,7 +26,7 @@ CODED = [
     "age_group",
 ]
 
-_FITTED: dict[tuple[str, str], tuple[Preparation, ModelPair]] = {}
+_TRAINED: dict[tuple[str, str], TrainingRun] = {}
 
 
 def prepared(t: Tables) -> DataFrame:
@@ -45,30 +44,18 @@ def linear_scores(t: Tables) -> DataFrame:
     )
 
 
-def split_passengers(t: Tables, df: DataFrame) -> DataFrame:
-    return stratified_split(df, "survived", "passenger_id", TEST_SHARE, SEED)
-
-
-def trained(t: Tables) -> tuple[Preparation, ModelPair]:
-    """Preparation and models of this folder, trained once per application."""
+def trained(t: Tables) -> TrainingRun:
+    """The training run of this folder, done once per application."""
     key = (t.spark.sparkContext.applicationId, t.root)
-    if key not in _FITTED:
-        _FITTED[key] = train(t)
-    return _FITTED[key]
-
-
-def train(t: Tables) -> tuple[Preparation, ModelPair]:
-    """Fit on everything (as the source of the semantics does), train on the train part."""
-    passengers = t.passengers
-    preparation = Preparation().fit(passengers)
-    parts = split_passengers(t, preparation.transform(passengers))
-    rows = parts.where(F.col("part") == "train")
-    return preparation, ModelPair.train(rows, preparation.feature_columns, "survived")
+    if key not in _TRAINED:
+        _TRAINED[key] = train(t.passengers)
+    return _TRAINED[key]
 
 
-def test_rows(t: Tables, preparation: Preparation) -> DataFrame:
-    parts = split_passengers(t, preparation.transform(t.passengers))
-    return parts.where(F.col("part") == "test").drop("part")
+def held_out(t: Tables, preparation: Preparation) -> DataFrame:
+    """The prepared rows that no model was trained on."""
+    parts = split_rows(t.passengers)
+    return preparation.transform(parts.where(F.col("part") == "test").drop("part"))
 
 
 def word_documents(t: Tables) -> DataFrame:

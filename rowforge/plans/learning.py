@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scores import agreement_record, margin_record
 from ..operators.preparation import Preparation
 from ..sources.tables import PASSENGER_FIELDS, Tables
-from .common import CODED, linear_scores, prepared, test_rows, trained
+from .common import CODED, held_out, linear_scores, prepared, trained
 from .registry import PREPARED, SCORED, query
 
 
@@ -44,18 +44,18 @@ def prep_single_plan(t: Tables) -> DataFrame:
 
 @query("train_logistic")
 def train_logistic_plan(t: Tables) -> DataFrame:
-    return trained(t)[1].coefficients(t.spark)
+    return trained(t).models.coefficients(t.spark)
 
 
 @query("train_tree")
 def train_tree_plan(t: Tables) -> DataFrame:
-    info = trained(t)[1].info(t.spark)
+    info = trained(t).models.info(t.spark)
     return info.where(F.col("name").startswith("tree"))
 
 
 def _test_scores(t: Tables) -> DataFrame:
-    preparation, models = trained(t)
-    return models.ensemble(test_rows(t, preparation))
+    run = trained(t)
+    return run.models.ensemble(held_out(t, run.preparation))
 
 
 @query("predict_proba")
@@ -91,14 +91,12 @@ def _flat(scored: DataFrame) -> DataFrame:
 
 @query("score_batch")
 def score_batch_plan(t: Tables) -> DataFrame:
-    preparation, models = trained(t)
-    return _flat(models.score(preparation.transform(t.passengers), served=False))
+    return _flat(trained(t).score(t.spread.passengers, served=False))
 
 
 @query("score_batch_served")
 def score_batch_served_plan(t: Tables) -> DataFrame:
-    preparation, models = trained(t)
-    return _flat(models.score(preparation.transform(t.passengers)))
+    return _flat(trained(t).score(t.spread.passengers))
 
 
 @query(
@@ -143,12 +141,11 @@ def agreement_record_plan(t: Tables) -> DataFrame:
 
 @query("evaluate_models")
 def evaluate_models_plan(t: Tables) -> DataFrame:
-    preparation, models = trained(t)
-    return models.evaluate(test_rows(t, preparation), "survived")
+    run = trained(t)
+    return run.models.evaluate(held_out(t, run.preparation), "survived")
 
 
 @query("model_info")
 def model_info_plan(t: Tables) -> DataFrame:
-    preparation, models = trained(t)
-    rows = models.evaluate(test_rows(t, preparation), "survived").collect()
-    return models.info(t.spark, {row["model"]: row["accuracy"] for row in rows})
+    run = trained(t)
+    return run.models.info(t.spark, run.accuracies)

@@ -519,9 +519,11 @@ def parse_duration_plan(t: Tables) -> DataFrame:
     return t["events"].select("event_id", formats.parse_duration(text).alias("seconds"))
 
 
-@query("short_request_id")
+@query("short_request_id", "select event_id, true as well_formed from events")
 def short_request_id_plan(t: Tables) -> DataFrame:
-    return t["events"].select("event_id", formats.short_request_id().alias("short_id"))
+    """The ids are random, so only their form can be compared."""
+    ids = t["events"].select("event_id", formats.short_request_id().alias("short_id"))
+    return ids.select("event_id", F.col("short_id").rlike("^[0-9a-f]{8}$").alias("well_formed"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.typed import encode_typed
 from ..operators.docquery import preview
 from ..operators.preparation import REQUIRED_STATS, Preparation
+from ..operators.training import TrainingRun
 from ..session import scratch_path
 from ..sources import documents as docs
 from ..sources.files import PASSENGER_CSV, artifact_inventory, scan_csv, scan_json_array, scan_log
@@ -296,29 +297,25 @@ def load_prep_state_plan(t: Tables) -> DataFrame:
     return Preparation.load(t.spark, path).transform(t.passengers).select(*CODED)
 
 
-def _save_models(t: Tables) -> str:
+def _saved_run(t: Tables) -> str:
     path = scratch_path(t.spark, "models")
-    preparation, models = trained(t)
-    models.save(t.spark, path, models.evaluate(preparation.transform(t.passengers), "survived"))
+    trained(t).save(t.spark, path)
     return path
 
 
 @query("save_models")
 def save_models_plan(t: Tables) -> DataFrame:
-    return t.spark.read.parquet(f"{_save_models(t)}/evaluation_results")
+    return t.spark.read.parquet(f"{_saved_run(t)}/evaluation_results")
 
 
 @query("load_models", PASSENGERS + "select passenger_id, true as same_scores from passengers")
 def load_models_plan(t: Tables) -> DataFrame:
-    from ..operators.models import ModelPair
-
-    preparation, models = trained(t)
-    loaded = ModelPair.load(t.spark, _save_models(t))
-    rows = models.predict_proba(preparation.transform(t.passengers))
-    first = rows.withColumnsRenamed({"lr_prob": "lr_before", "dt_prob": "dt_before"})
-    again = loaded.predict_proba(first.drop("lr_label", "dt_label"))
+    first, again = trained(t), TrainingRun.load(t.spark, _saved_run(t))
+    before = first.models.predict_proba(first.preparation.transform(t.passengers))
+    renamed = before.withColumnsRenamed({"lr_prob": "lr_before", "dt_prob": "dt_before"})
+    after = again.models.predict_proba(renamed.drop("lr_label", "dt_label"))
     same = (F.col("lr_before") == F.col("lr_prob")) & (F.col("dt_before") == F.col("dt_prob"))
-    return again.select("passenger_id", same.alias("same_scores"))
+    return after.select("passenger_id", same.alias("same_scores"))
 
 
 @query(

@@ -49,14 +49,14 @@ def stream_validate_plan(t: Tables) -> DataFrame:
 @query("stream_score", PASSENGERS + "select passenger_id, true as same_score from passengers")
 def stream_score_plan(t: Tables) -> DataFrame:
     """Scores of the stream against those of the batch."""
-    preparation, models = trained(t)
+    run = trained(t)
     stream = _as_stream(t, t.passengers, "score", "passenger_id")
     done = _run(
         t,
         "score",
-        lambda out, state: jobs.stream_score(stream, preparation, models, out, state),
+        lambda out, state: jobs.stream_score(stream, run, out, state),
     )
-    batch = models.score(preparation.transform(t.passengers)).select(
+    batch = run.score(t.passengers).select(
         "passenger_id", F.col("score.ensemble_result").alias("expected")
     )
     return done.join(batch, "passenger_id").select(

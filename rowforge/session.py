@@ -13,12 +13,15 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # windows of many keys outgrow the heap; this store keeps them on local disk
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 #: Settings that only a new session can take.
 STATIC_CONF = {
     "spark.ui.enabled": "false",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
@@ -73,10 +76,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors only re-read it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = shared_dir(spark)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table in the shared folder, so that lost executors only
+    cost a second read. Written as columns, so later steps read just what they need."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

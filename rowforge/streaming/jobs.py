@@ -7,9 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.formats import normalize_level
 from ..functions.redaction import redact_keys
-from ..operators.models import ModelPair
-from ..operators.preparation import Preparation
 from ..operators.requests import log_tail_filter, request_measures
+from ..operators.training import TrainingRun
 from ..operators.validate import validate_rows
 
 GOOD, QUARANTINE = "good", "quarantine"
@@ -42,16 +41,10 @@ def stream_validate(stream: DataFrame, path: str, checkpoint: str, **trigger) ->
 
 
 def stream_score(
-    stream: DataFrame,
-    preparation: Preparation,
-    models: ModelPair,
-    path: str,
-    checkpoint: str,
-    **trigger,
+    stream: DataFrame, run: TrainingRun, path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Prepare and score arriving rows; no state, no shuffle."""
-    scored = models.score(preparation.transform(stream))
-    return write_files(scored, path, checkpoint, **trigger)
+    return write_files(run.score(stream), path, checkpoint, **trigger)
 
 
 def windowed(

@@ -1,17 +1,19 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rowforge.operators.models import FALLBACK_ACCURACY, ModelPair, load_accuracies
 from rowforge.operators.preparation import NotFittedError, Preparation
-from rowforge.plans.common import test_rows as held_out
-from rowforge.plans.common import trained
+from rowforge.operators.training import TrainingRun, split_rows, train
+from rowforge.plans.common import held_out, trained
 
 
 @pytest.fixture(scope="module")
 def fitted(tables):
-    return trained(tables)
+    run = trained(tables)
+    return run.preparation, run.models
 
 
 def test_feature_order(fitted):
@@ -39,6 +41,34 @@ def test_probabilities(tables, fitted):
         assert row["ensemble_label"] == int(row["ensemble_prob"] >= 0.5)
 
 
+def test_logistic_is_the_optimum(tables, fitted):
+    """Compare with Newton's method on the same penalised loss."""
+    preparation, models = fitted
+    rows = split_rows(tables.passengers).where("part = 'train'").drop("part")
+    pdf = preparation.transform(rows).toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf[preparation.feature_columns].to_numpy(float)])
+    y = pdf["survived"].to_numpy(float)
+    penalty = np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        gradient = x.T @ (p - y) + penalty @ w
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, gradient)
+    found = np.array([models.logistic.intercept, *models.logistic.coefficients])
+    assert np.allclose(1 / (1 + np.exp(-x @ found)), 1 / (1 + np.exp(-x @ w)), atol=2e-3)
+
+
+def test_run_is_stored_and_fits_on_request_only_the_train_part(spark, tables, tmp_path):
+    run = train(tables.passengers, fit_on="train")
+    assert run.preparation.stats["rows"] == 1200.0
+    assert trained(tables).preparation.stats["rows"] == 1500.0
+    run.save(spark, str(tmp_path / "run"))
+    again = TrainingRun.load(spark, str(tmp_path / "run"))
+    assert again.accuracies == run.accuracies
+    with pytest.raises(ValueError, match="fit_on"):
+        train(tables.passengers, fit_on="test")
+
+
 def test_better_than_the_majority(tables, fitted):
     preparation, models = fitted
     rows = held_out(tables, preparation)

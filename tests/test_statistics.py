@@ -87,12 +87,15 @@ def test_long_category_lists_are_joined(spark, monkeypatch):
         [("male", "S"), ("female", "C"), ("male", None), ("male", "S")], "sex string, embarked string"
     )
     short = Preparation().fit(df)
-    monkeypatch.setattr(prep, "MAX_SMALL_CATEGORIES", 1)
+    monkeypatch.setattr(prep, "MAX_LITERAL_CATEGORIES", 1)
     long = Preparation().fit(df)
-    assert short.categories is not None and long.categories is None
-    assert short.stats == long.stats
+    monkeypatch.setattr(prep, "MAX_SMALL_CATEGORIES", 1)
+    longer = Preparation().fit(df)
+    assert short.categories is not None and long.categories is None and longer.categories is None
+    assert long.small and not longer.small
+    assert short.stats == long.stats == longer.stats
     new = spark.createDataFrame([("male", "C"), ("x", "S"), (None, None)], df.schema)
-    for fitted in (short, long):
+    for fitted in (short, long, longer):
         assert sorted(tuple(r) for r in fitted.transform(new).collect()) == [(0, 1), (0, 1), (1, 0)]
 
 
