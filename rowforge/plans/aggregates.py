@@ -28,7 +28,7 @@ from ..operators.validate import (
 )
 from ..sources.tables import Tables
 from .common import linear_scores
-from .registry import AGE_GROUP, FITTED, PASSENGERS, REQUESTS, SCORED, query
+from .registry import AGE_GROUP, FITTED, OFF_TIE, PASSENGERS, REQUESTS, SCORED, query
 
 
 @query(
@@ -380,7 +380,7 @@ def issue_counts_plan(t: Tables) -> DataFrame:
 @query(
     "request_metrics",
     REQUESTS
-    + """select endpoint, count(*) as n, round(avg(duration_ms), 6) as mean_ms,
+    + f"""select endpoint, count(*) as n, round(avg(duration_ms) + {OFF_TIE}, 6) as mean_ms,
        max(duration_ms) as max_ms,
        round(avg(case when status_code >= 400 then 1 else 0 end), 6) as error_rate
        from requests group by endpoint""",
@@ -389,7 +389,7 @@ def request_metrics_plan(t: Tables) -> DataFrame:
     return request_metrics(t.requests).select(
         "endpoint",
         "n",
-        F.round("mean_ms", 6).alias("mean_ms"),
+        F.round(F.col("mean_ms") + OFF_TIE, 6).alias("mean_ms"),
         "max_ms",
         F.round("error_rate", 6).alias("error_rate"),
     )

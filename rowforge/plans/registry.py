@@ -144,4 +144,8 @@ with requests as (
   from events
 )"""
 
+# Means of values with two places can lie exactly between two rounded results. Both
+# sides add this, so that the last bit of a sum does not decide.
+OFF_TIE = 1e-9
+
 WORDS = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '')"

@@ -13,7 +13,7 @@ from ..sources.tables import Tables
 from ..streaming import jobs
 from .common import trained
 from .filters import log_lines
-from .registry import PASSENGERS, REQUESTS, query
+from .registry import OFF_TIE, PASSENGERS, REQUESTS, query
 from .scalars import _RAW, _raw
 
 FILES = 4
@@ -93,8 +93,8 @@ def stream_rate_counts_plan(t: Tables) -> DataFrame:
 @query(
     "stream_request_metrics",
     REQUESTS
-    + """, w as (select endpoint, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as start,
-         count(*) as n, round(avg(duration_ms), 6) as mean_ms, max(duration_ms) as max_ms,
+    + f""", w as (select endpoint, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as start,
+         count(*) as n, round(avg(duration_ms) + {OFF_TIE}, 6) as mean_ms, max(duration_ms) as max_ms,
          round(avg(case when status_code >= 400 then 1 else 0 end), 6) as error_rate
          from requests group by 1, 2)
        select endpoint, strftime(start, '%Y-%m-%d %H:%M') as window_start, n, mean_ms, max_ms,
@@ -112,7 +112,7 @@ def stream_request_metrics_plan(t: Tables) -> DataFrame:
         "endpoint",
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
         "n",
-        F.round("mean_ms", 6).alias("mean_ms"),
+        F.round(F.col("mean_ms") + OFF_TIE, 6).alias("mean_ms"),
         "max_ms",
         F.round("error_rate", 6).alias("error_rate"),
     )
