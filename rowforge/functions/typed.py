@@ -261,8 +261,9 @@ def _decode(value: Column, kind: T.DataType) -> Column:
 
 
 def decode_typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Documents read with ``DOCUMENT`` to plain rows of ``schema``, plus ``id``.
+    """Documents of any fields, read with ``DOCUMENT``, to plain rows plus ``id``.
 
+    ``unwrap_documents`` is cheaper where the schema is known before the scan.
     The JSON of a nested map is parsed once, into a column of its own, and its fields
     are picked from there, level by level. Fields that are null stay null.
     """
@@ -298,6 +299,67 @@ def decode_typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def wrapped_type(kind: T.DataType) -> T.DataType:
+    """Type of the wrapped form of a known type, with just the members it can have."""
+
+    def one(**members: T.DataType) -> T.StructType:
+        return T.StructType([T.StructField(TAGS[k], t) for k, t in members.items()])
+
+    if isinstance(kind, T.BooleanType):
+        return one(boolean=kind)
+    if isinstance(kind, T.IntegralType):
+        return one(integer=T.StringType())
+    if isinstance(kind, T.FractionalType):
+        return one(double=T.DoubleType(), integer=T.StringType())
+    if isinstance(kind, T.TimestampType):
+        return one(timestamp=T.StringType())
+    if isinstance(kind, T.ArrayType):
+        items = T.ArrayType(wrapped_type(kind.elementType))
+        return one(array=T.StructType([T.StructField("values", items)]))
+    if isinstance(kind, T.MapType):
+        members = T.MapType(T.StringType(), wrapped_type(kind.valueType))
+        return one(map=T.StructType([T.StructField("fields", members)]))
+    if isinstance(kind, T.StructType):
+        fields = T.StructType([T.StructField(f.name, wrapped_type(f.dataType)) for f in kind.fields])
+        return one(map=T.StructType([T.StructField("fields", fields)]))
+    if isinstance(kind, T.VariantType):
+        return T.StringType()  # the JSON text of the wrapped value
+    return one(string=T.StringType())
+
+
+def document_type(schema: T.StructType) -> T.StructType:
+    """Type of the documents whose plain rows have this schema."""
+    fields = [T.StructField(f.name, wrapped_type(f.dataType)) for f in schema.fields]
+    return T.StructType(
+        [T.StructField("name", T.StringType()), T.StructField("fields", T.StructType(fields))]
+    )
+
+
+def _unwrap(value: Column, kind: T.DataType) -> Column:
+    """The plain value of a wrapped one that was parsed with its own type."""
+    if isinstance(kind, T.ArrayType):
+        items = value[TAGS["array"]]["values"]
+        return F.transform(items, lambda item: _unwrap(item, kind.elementType))
+    if isinstance(kind, T.MapType):
+        members = value[TAGS["map"]]["fields"]
+        return F.transform_values(members, lambda _, item: _unwrap(item, kind.valueType))
+    if isinstance(kind, T.StructType):
+        members = value[TAGS["map"]]["fields"]
+        plain = [_unwrap(members[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(members.isNotNull(), F.struct(*plain))
+    if isinstance(kind, T.VariantType):
+        return F.try_parse_json(decode_json(value))
+    return _decode(value, kind)
+
+
+def unwrap_documents(documents: DataFrame, schema: T.StructType) -> DataFrame:
+    """Documents read with ``document_type(schema)`` to plain rows, plus ``id``."""
+    return documents.select(
+        doc_id_from_path(F.col("name")).alias("id"),
+        *[_unwrap(F.col("fields")[f.name], f.dataType).alias(f.name) for f in schema.fields],
+    )
+
+
 # ------------------------------------------- values whose shape varies by row
 
 

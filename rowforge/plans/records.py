@@ -150,22 +150,21 @@ def ensure_typed_plan(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "decode_typed",
-    """select cast(o_orderkey as varchar) as id, o_custkey as customer, o_totalprice as total,
+_DECODED = """select cast(o_orderkey as varchar) as id, o_custkey as customer, o_totalprice as total,
          floor(o_totalprice) as whole, o_orderstatus = 'F' as closed,
          case when o_orderstatus <> 'P' then o_orderpriority end as priority,
          strftime(o_orderdate, '%Y-%m-%d') as ordered, o_orderstatus as first_tag,
          2 as n_tags, o_custkey as buyer_key, o_totalprice + 1 as price_sum,
-         o_custkey as status_value from orders""",
-)
-def decode_typed_plan(t: Tables) -> DataFrame:
+         o_custkey as status_value from orders"""
+
+
+def _plain_orders(t: Tables, name: str, read) -> DataFrame:
+    """Write the orders as typed documents, read them back, and show their parts."""
     orders = _orders(t)
-    path = scratch_path(t.spark, "orders-typed")
+    path = scratch_path(t.spark, name)
     docs.write_typed(typed.encode_typed(orders, "id", "orders"), path)
     target = T.StructType([f for f in orders.schema.fields if f.name != "id"])
-    plain = typed.decode_typed(docs.scan_collection_raw(t.spark, path), target)
-    return plain.select(
+    return read(path, target).select(
         "id",
         "customer",
         "total",
@@ -181,6 +180,23 @@ def decode_typed_plan(t: Tables) -> DataFrame:
     )
 
 
+@query("decode_typed", _DECODED)
+def decode_typed_plan(t: Tables) -> DataFrame:
+    return _plain_orders(
+        t, "orders-typed", lambda path, schema: docs.scan_collection_typed(t.spark, path, schema)
+    )
+
+
+@query("decode_raw", _DECODED)
+def decode_raw_plan(t: Tables) -> DataFrame:
+    """The same from documents that were scanned without a schema of their fields."""
+    return _plain_orders(
+        t,
+        "orders-raw",
+        lambda path, schema: typed.decode_typed(docs.scan_collection_raw(t.spark, path), schema),
+    )
+
+
 @query(
     "decode_variant",
     """select cast(event_id as varchar) as id, cast(json_extract_string(props, '$.k') as int) as k,

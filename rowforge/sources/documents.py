@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.typed import DOCUMENT
+from ..functions.typed import DOCUMENT, document_type, unwrap_documents
 from ..operators.ranking import global_index
 
 # Fixed value: rows of one import batch.
@@ -46,6 +46,12 @@ def scan_collection_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).json(path)
 
 
+def scan_collection_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Plain rows of typed documents: each line is parsed once, and only the fields of
+    ``schema`` are taken from it."""
+    return unwrap_documents(spark.read.schema(document_type(schema)).json(path), schema)
+
+
 def get_document_raw(raw: DataFrame, name: str) -> DataFrame:
     return point_lookup(raw, name, "name")
 

@@ -88,6 +88,11 @@ def test_mixed_values_through_variant(spark):
         {"integerValue": "3"},
         {"mapValue": {"fields": {"x": {"arrayValue": {"values": []}}}}},
     ]
+    schema = T._parse_datatype_string("v variant")
+    lines = typed.encode_typed(df, "id", "c")
+    parsed = lines.select(F.from_json("value", typed.document_type(schema)).alias("d")).select("d.*")
+    back = typed.unwrap_documents(parsed, schema).select(F.to_json("v").alias("v")).first()["v"]
+    assert json.loads(back) == json.loads(text)
     assert typed.unwrap_value(typed.wrap_value(json.loads(text))) == json.loads(text)
 
 
@@ -126,6 +131,8 @@ def test_round_trip(spark, tmp_path):
     assert docs.get_document_raw(raw, "c/2").count() == 1
     target = T.StructType(schema.fields[1:])
     assert sorted(typed.decode_typed(raw, target).collect()) == sorted(df.collect())
+    again = docs.scan_collection_typed(spark, path, target)
+    assert again.dtypes == df.dtypes and sorted(again.collect()) == sorted(df.collect())
 
 
 def test_decoding_of_absent_members(spark):
@@ -138,6 +145,9 @@ def test_decoding_of_absent_members(spark):
     target = "a array<string>, m struct<x:string>, i bigint"
     rows = typed.decode_typed(raw, T._parse_datatype_string(target)).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [("1", None, None, 12), ("2", None, None, None)]
+    schema = T._parse_datatype_string(target)
+    parsed = df.select(F.from_json("value", typed.document_type(schema)).alias("d")).select("d.*")
+    assert sorted(typed.unwrap_documents(parsed, schema).collect()) == sorted(rows)
 
 
 def test_typed_rows_pass_through(spark):
