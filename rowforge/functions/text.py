@@ -129,18 +129,28 @@ def text_issue(raw: Column, cleaned: Column) -> Column:
 def sanitize_columns(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     """Add ``<name>_value`` and ``<name>_issue`` per text.
 
-    As ``sanitize_text``, but the cleaned text is a column of its own first, so that
-    it is computed once and not again in every place that looks at it.
+    As ``sanitize_text``, but in steps of their own columns: each check runs once, and
+    only texts with acceptable content are cleaned at all.
     """
-    for name, raw in texts.items():
-        df = df.withColumn(f"{name}_value", clean_text(raw))
-    for name, raw in texts.items():
-        df = df.withColumn(f"{name}_issue", text_issue(raw, F.col(f"{name}_value")))
-    kept = {
-        f"{name}_value": F.when(F.col(f"{name}_issue").isNull(), F.col(f"{name}_value"))
-        for name in texts
-    }
-    return df.withColumns(kept)
+    issue, value = "{}_issue".format, "{}_value".format
+    checked = df.withColumns({issue(name): content_issue(raw) for name, raw in texts.items()})
+    cleaned = checked.withColumns(
+        {
+            value(name): clean_text(F.when(F.col(issue(name)).isNull(), raw))
+            for name, raw in texts.items()
+        }
+    )
+    judged = cleaned.withColumns(
+        {
+            issue(name): F.coalesce(
+                F.when(raw.isNull(), "type"), F.col(issue(name)), length_issue(F.col(value(name)))
+            )
+            for name, raw in texts.items()
+        }
+    )
+    return judged.withColumns(
+        {value(name): F.when(F.col(issue(name)).isNull(), F.col(value(name))) for name in texts}
+    )
 
 
 def words(text: Column) -> Column:
