@@ -68,9 +68,9 @@ def _sorted(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda item: _sorted(item, kind.elementType))
     if isinstance(kind, T.MapType):
-        entries = F.array_sort(F.map_entries(value), lambda a, b: F.when(a.key < b.key, -1).when(a.key > b.key, 1).otherwise(0))
-        return F.transform_values(
-            F.map_from_entries(entries), lambda _, item: _sorted(item, kind.valueType)
+        keys = F.array_sort(F.map_keys(value))
+        return F.map_from_arrays(
+            keys, F.transform(keys, lambda key: _sorted(value[key], kind.valueType))
         )
     return value
 

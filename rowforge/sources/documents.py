@@ -1,7 +1,8 @@
 """Collections of documents: scans, lookups, imports and changes.
 
 A collection is a parquet folder. Changes return the new state of a collection as a
-DataFrame; ``replace_collection`` writes it to a new version and then points to it.
+DataFrame, which ``replace_collection`` writes to another folder: Spark cannot overwrite
+the files it is reading.
 """
 
 from __future__ import annotations

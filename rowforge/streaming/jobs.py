@@ -87,11 +87,9 @@ def metrics_per_window(
     stream: DataFrame, window: str, lateness: str, ts: str = "ts"
 ) -> DataFrame:
     """Latency and error rate per endpoint and closed window."""
-    return (
-        windowed(stream, ["endpoint"], ts, window, lateness)
-        .agg(*request_measures())
-        .select("endpoint", F.col("window.start").alias("window_start"), "n", "mean_ms", "max_ms", "error_rate")
-    )
+    measured = windowed(stream, ["endpoint"], ts, window, lateness).agg(*request_measures())
+    start = F.col("window.start").alias("window_start")
+    return measured.select("endpoint", start, "n", "mean_ms", "max_ms", "error_rate")
 
 
 def stream_request_metrics(

@@ -47,10 +47,6 @@ def _plain(value):
     return value
 
 
-def _key(row):
-    return tuple((value is not None, str(type(value)), value) if value is not None else (False,) for value in row)
-
-
 def normalized(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=lambda r: repr(r))
