@@ -10,7 +10,7 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality
+from . import mixing, neardup, packing, quality
 from .common import read, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,9 @@ def mix_weighted_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 tokens."""
     return packing.pack(spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op7_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and group of every document."""
+    return neardup.near_duplicates(spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
