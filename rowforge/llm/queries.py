@@ -10,7 +10,7 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, neardup, packing, quality
+from . import embedding_dedup, mixing, neardup, packing, quality
 from .common import read, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,9 @@ def pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set and group of every document."""
     return neardup.near_duplicates(spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_embedding_near_duplicates")
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every embedding."""
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
