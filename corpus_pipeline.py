@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import mixing, packing, quality
+from rowforge.llm import language, mixing, neardup, packing, quality
 from rowforge.llm.common import read
 from rowforge.session import durable
 
@@ -16,6 +16,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.drop_low_quality(docs)
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents close to a language, learned from those that carry one."""
+    return language.drop_rejected(docs, language.train(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -28,6 +38,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("language ID", identify_language),
+    ("near-duplicates", drop_near_duplicates),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -48,18 +48,22 @@ OPEN_MEMBERS = 64
 #: Times an open bucket is split by a further band; afterwards it is compared as it is.
 SPLITS = 2
 
-_SIGNED = "id long, n_shingles long, k1 long, k2 long, bands array<long>"
+_SIGNED = "id long, digest string, n_shingles long, k1 long, k2 long, bands array<long>"
+
+
+def _digest(text):
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """Size of the set, its key and its band keys for every row of ``id, text``."""
+    """Size of the set, its key and its band keys for every row of ``id, digest, text``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sizes, keys, found = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     shingles = shingle_set(text, width)
                     sizes.append(len(shingles))
                     keys.append(set_key(shingles))
@@ -67,12 +71,13 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array(sizes, pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array(found, pa.list_(pa.int64())),
                     ],
-                    ["id", "n_shingles", "k1", "k2", "bands"],
+                    ["id", "digest", "n_shingles", "k1", "k2", "bands"],
                 )
 
     return docs.mapInArrow(sign, _SIGNED)
@@ -197,8 +202,10 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
     threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """``key, n_shingles, component_id, kept`` for every row."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """``key, n_shingles, component_id, kept`` and the digest of the text for every row."""
+    docs = docs.select(
+        F.col(key).cast("long").alias("id"), _digest(F.col(text)).alias("digest"), F.col(text).alias("text")
+    )
     signed = durable(_signed(docs, width, bands, rows))
     classes = durable(
         signed.where("n_shingles > 0")
@@ -238,5 +245,18 @@ def near_duplicates(
             "n_shingles",
             "component_id",
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+            "digest",
         )
     )
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, that with the smallest id, with its columns."""
+    found = near_duplicates(docs, key, text)
+    # rows that share an id are told apart by their texts; equal rows are one document
+    kept = found.where("kept").select(F.col(key).cast("long").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    rows = docs.select(
+        F.col(key).cast("long").alias("__id"), _digest(F.col(text)).alias("__digest"), F.struct("*").alias("row")
+    )
+    same = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__id", "__digest"]).select("row.*")

@@ -10,7 +10,7 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, mixing, neardup, packing, quality
+from . import embedding_dedup, language, mixing, neardup, packing, quality
 from .common import read, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,10 +153,21 @@ def pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set and group of every document."""
-    return neardup.near_duplicates(spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = neardup.near_duplicates(spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.drop("digest")
 
 
 @query("op9_embedding_near_duplicates")
 def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of every embedding."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op1_language_centroids")
+def language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language.held_out(F.col("doc_id"), 3, 1)
+    model = language.train(docs.where(~held))
+    found = language.identify(spread_scan(docs.select("doc_id", "text")), model)
+    return found.select("row.doc_id", "l.*").withColumn("held_out", held)
