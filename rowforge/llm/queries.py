@@ -10,7 +10,7 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, language, mixing, neardup, packing, quality
+from . import embedding_dedup, language, lm, mixing, neardup, packing, quality
 from .common import read, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,12 @@ def language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~held))
     found = language.identify(spread_scan(docs.select("doc_id", "text")), model)
     return found.select("row.doc_id", "l.*").withColumn("held_out", held)
+
+
+@query("op10_lm_bloom_levels")
+def lm_bloom_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of six sevenths of them."""
+    docs = spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.withColumn("held_out", language.held_out(F.col("doc_id"), 7, 2))
+    model, words = lm.train(docs.where("not held_out"))
+    return lm.score(docs, model, words)
