@@ -10,7 +10,7 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, language, lm, mixing, neardup, packing, quality
+from . import embedding_dedup, language, lm, mixing, neardup, packing, quality, warc
 from .common import read, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,28 @@ def lm_bloom_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", language.held_out(F.col("doc_id"), 7, 2))
     model, words = lm.train(docs.where("not held_out"))
     return lm.score(docs, model, words)
+
+
+@query(
+    "op3_warc_members",
+    """
+    with sized as (
+      select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+        sha256(coalesce(html, '')) as payload_digest
+      from pages
+    ),
+    firsts as (select *, min(page_id) over (partition by payload_digest) as first_id from sized),
+    typed as (
+      select *, payload_bytes >= 100 and page_id <> first_id as again from firsts
+    )
+    select page_id, payload_bytes, payload_digest,
+      case when again then 'revisit' else 'response' end as record_type,
+      case when again then first_id end as refers_to
+    from typed
+    """,
+)
+def warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as its record in the normalised archives says."""
+    pages = spread_scan(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.read_archives(warc.archive_pages(spark, pages))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
