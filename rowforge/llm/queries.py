@@ -10,7 +10,7 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, language, lm, mixing, neardup, packing, quality, warc
+from . import embedding_dedup, language, lm, mixing, neardup, packing, quality, warc, wrappers
 from .common import read, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,3 +205,9 @@ def warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread_scan(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     found = warc.read_archives(warc.archive_pages(spark, pages))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_html_wrappers")
+def html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, read through the wrapper of its host."""
+    return wrappers.main_text(spread_scan(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
