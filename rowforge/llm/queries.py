@@ -10,7 +10,7 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, language, lm, mixing, neardup, packing, quality, warc, wrappers
+from . import chat, embedding_dedup, language, lm, mixing, neardup, packing, quality, warc, wrappers
 from .common import read, spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,3 +211,46 @@ def warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, read through the wrapper of its host."""
     return wrappers.main_text(spread_scan(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+#: The one tool of conversations in prose.
+REPLY = {"reply": chat.Tool(required={"prompt": "string", "turn": "integer"})}
+
+
+@query(
+    "op8_chat_tool_links",
+    """
+    with calls as (
+      select *, row_number() over (partition by conv_id, turn order by text) as again
+      from conversations where role = 'user'
+    ),
+    results as (
+      select conv_id, turn - 1 as turn, min(text) as content, count(*) as n
+      from conversations where role = 'assistant' group by 1, 2
+    ),
+    linked as (
+      select c.*, r.content, coalesce(r.n, 0) as n_results,
+        conv_id || ':' || turn as call_id,
+        turn >= 2 and not exists (
+          from calls p where p.conv_id = c.conv_id and p.turn = c.turn - 2) as unmet
+      from calls c left join results r using (conv_id, turn)
+    )
+    select conv_id, turn, row_number() over (partition by conv_id order by turn, text) as position,
+      call_id, 'reply' as tool,
+      case when again > 1 then 'repeated' when n_results > 0 then 'answered' else 'pending' end as status,
+      n_results, cast(unmet as bigint) as n_unmet, false as cyclic, text is not null as valid,
+      case when text is null then 'missing:prompt' else '' end as errors,
+      '{"call":{"arguments":{' || case when text is null then '' else '"prompt":' || to_json(text) || ',' end
+        || '"turn":' || turn || '},"id":' || to_json(call_id) || ',"name":"reply"},"errors":['
+        || case when text is null then '"missing:prompt"' else '' end || ']'
+        || case when n_results > 0 then ',"result":{' || case when content is null then '' else '"content":' || to_json(content) || ',' end
+             || '"turn":' || (turn + 1) || '}' else '' end
+        || '}' as message
+    from linked
+    """,
+)
+def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of a conversation with its answer, as a linked and validated call."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    linked = chat.link_calls(*chat.exchanges(turns), REPLY)
+    return linked.withColumnRenamed("conversation", "conv_id").drop("place")
