@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -105,19 +106,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(build, "v long, shingles binary")
 
 
-@F.pandas_udf("boolean")
-def _alike(left, right, threshold):
+def _alike(threshold: int):
     """Whether the exact Jaccard similarity of two sets reaches the threshold."""
-    import pandas as pd
 
-    found, kept, last = [], None, b""
-    for a, b, t in zip(left, right, threshold):
-        if b is not last and b != last:
-            last, kept = b, np.frombuffer(b, np.uint64)
-        x = np.frombuffer(a, np.uint64)
-        shared = len(np.intersect1d(x, kept, assume_unique=True))
-        found.append(100 * shared >= t * (len(x) + len(kept) - shared))
-    return pd.Series(found, dtype=bool)
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = []
+        for a, b in zip(left, right):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(100 * shared >= threshold * (len(x) + len(y) - shared))
+        return pd.Series(found, dtype=bool)
+
+    return alike
 
 
 def _near_sizes(a: str, b: str, threshold: int) -> str:
@@ -148,7 +149,7 @@ class _Links:
         compared = (
             pairs.join(sets.select(F.col("v").alias("u"), F.col("shingles").alias("left")), "u")
             .join(sets.select("v", F.col("shingles").alias("right")), "v")
-            .where(_alike("right", "left", F.lit(self.threshold)))
+            .where(_alike(self.threshold)("left", "right"))
         )
         edges = durable(compared.select("u", "v"))
         self.edges = edges if self.edges is None else self.edges.union(edges)
