@@ -43,6 +43,17 @@ def coerce_int(value: Column, kind: T.DataType | None = None) -> Column:
     return coerce_float(value, kind).try_cast("bigint")
 
 
+def truncate_number(value: Column, kind: T.DataType | None = None) -> Column:
+    """As ``coerce_int``, but as a double, so that whole numbers beyond 64 bits have a
+    value to test bounds on; null where there is no integer."""
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return value.cast("double")
+    number = coerce_float(value, kind)
+    finite = ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
+    # floor returns 64-bit numbers; a remainder keeps large ones
+    return F.when(finite, number - number % 1.0)
+
+
 def parse_form_float(text: Column) -> Column:
     """The leading decimal number of a form entry, NaN when there is none."""
     found = F.regexp_extract(

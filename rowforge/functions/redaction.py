@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # What marks a key as sensitive, and the mask.
@@ -19,9 +23,42 @@ def _is_sensitive_column(key: Column) -> Column:
     return F.lower(key).rlike("|".join(SENSITIVE_KEYS))
 
 
-def _as_text(value: Column, kind: T.DataType) -> Column:
-    nested = isinstance(kind, (T.StructType, T.MapType, T.ArrayType))
-    return F.to_json(value) if nested else value.cast("string")
+#: Texts, numbers, words and marks of a JSON text.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def mask_json(text: str | None) -> str | None:
+    """A compact JSON text with the values of sensitive keys masked, at any depth."""
+    if text is None:
+        return None
+    tokens, out, at = _JSON_TOKEN.findall(text), [], 0
+    while at < len(tokens):
+        token = tokens[at]
+        out.append(token)
+        at += 1
+        if token[0] == '"' and tokens[at : at + 1] == [":"] and is_sensitive(json.loads(token)):
+            out += [":", json.dumps(MASK)]
+            at += 1
+            depth = 0
+            while True:  # the value, whatever it holds
+                depth += (tokens[at] in "{[") - (tokens[at] in "}]")
+                at += 1
+                if not depth:
+                    break
+    return "".join(out)
+
+
+def _mask_variant(value: Column) -> Column:
+    """VARIANT has no schema to walk over, so its JSON text is; an unmasked value stays."""
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        return texts.map(mask_json)
+
+    plain = F.to_json(value)
+    named = F.lower(plain).rlike("|".join(SENSITIVE_KEYS) + r"|\\\\u")
+    hidden = masked(F.when(named, plain))
+    return F.when(hidden.isNull() | (hidden == plain), value).otherwise(F.parse_json(hidden))
 
 
 def _mask_value(value: Column, kind: T.DataType) -> Column:
@@ -38,18 +75,41 @@ def _mask_value(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda item: _mask_value(item, kind.elementType))
     if isinstance(kind, T.MapType):
-        # all values of a map share a type, so the mask turns them into text
+        # all values of a map share a type: a text can say that it is masked, others go
+        text = isinstance(kind.valueType, T.StringType)
+        hidden = F.lit(MASK) if text else F.lit(None).cast(kind.valueType)
         return F.transform_values(
             value,
-            lambda key, item: F.when(_is_sensitive_column(key), F.lit(MASK)).otherwise(
-                _as_text(_mask_value(item, kind.valueType), kind.valueType)
+            lambda key, item: F.when(_is_sensitive_column(key.cast("string")), hidden).otherwise(
+                _mask_value(item, kind.valueType)
             ),
         )
+    if isinstance(kind, T.VariantType):
+        return _mask_variant(value)
     return value
 
 
+def _hidden_variant(kind: T.DataType, inside: bool = False) -> bool:
+    if isinstance(kind, T.VariantType):
+        return inside
+    if isinstance(kind, T.StructType):
+        return any(_hidden_variant(f.dataType, inside) for f in kind.fields if not is_sensitive(f.name))
+    if isinstance(kind, T.ArrayType):
+        return _hidden_variant(kind.elementType, True)
+    if isinstance(kind, T.MapType):
+        return _hidden_variant(kind.valueType, True)
+    return False
+
+
 def redact_keys(df: DataFrame) -> DataFrame:
-    """Mask every sensitive key, at any depth of structs, arrays and maps."""
+    """Mask every sensitive key, at any depth of structs, arrays, maps and VARIANT.
+
+    A map keeps its type: where its values are not texts, a masked one is null. VARIANT
+    inside an array or a map cannot be masked and is refused.
+    """
+    for f in df.schema.fields:
+        if not is_sensitive(f.name) and _hidden_variant(f.dataType):
+            raise ValueError(f"VARIANT inside an array or a map cannot be masked: {f.name}")
     return df.select(
         *[
             F.lit(MASK).alias(f.name)

@@ -18,6 +18,9 @@ from .ranking import global_index
 #: Rows that a plain top-k or limit may bring to one task.
 MAX_TOP_ROWS = 10_000
 
+_TIE = "__tie"
+_POSITION = "__position"
+
 Clause = tuple[str, str, object]
 
 
@@ -65,13 +68,22 @@ def where_compare(df: DataFrame, field: str, operator: str, value: object) -> Co
     return column.isNotNull() & compared
 
 
+def _listed(operator: str, values: object) -> Sequence[object]:
+    """The values of a list operator; a text is one value and no list of letters."""
+    if isinstance(values, (str, bytes)) or not isinstance(values, Sequence):
+        raise ValueError(f"{operator} needs a list of values, not {values!r}")
+    return values
+
+
 def where_in(df: DataFrame, field: str, values: Sequence[object]) -> Column:
+    values = _listed("in", values)
     column, kind = _resolve(df, field)
     usable = [v for v in values if v is not None and _same_family(kind, v)]
     return column.isNotNull() & column.isin(usable) if usable else F.lit(False)
 
 
 def where_not_in(df: DataFrame, field: str, values: Sequence[object]) -> Column:
+    values = _listed("not-in", values)
     column, kind = _resolve(df, field)
     usable = [v for v in values if v is not None and _same_family(kind, v)]
     present = column.isNotNull()
@@ -86,6 +98,7 @@ def where_array_contains(df: DataFrame, field: str, value: object) -> Column:
 
 
 def where_array_contains_any(df: DataFrame, field: str, values: Sequence[object]) -> Column:
+    values = _listed("array-contains-any", values)
     column, kind = _resolve(df, field)
     if not isinstance(kind, T.ArrayType):
         return F.lit(False)
@@ -147,7 +160,8 @@ def effective_filter(
 
 def where_cli_string(df: DataFrame, text: str, coerce: bool = False) -> Column:
     """A ``field,op,value`` argument. The value stays text, so it only matches text,
-    unless ``coerce`` compares the field's text form with it."""
+    unless ``coerce`` compares the field's text form with it. Operators on lists are
+    refused, as a text is no list."""
     parts = [part.strip() for part in text.split(",")]
     if len(parts) < 3:
         raise ValueError(f"expected field,op,value: {text}")
@@ -249,39 +263,107 @@ def cursor_filter(
     return df
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def page(
     df: DataFrame, keys: Sequence[tuple[str, bool]], offset: int = 0, limit: int = 0
 ) -> DataFrame:
     """Skip ``offset`` rows and keep ``limit`` (0 means all) in the given order.
 
     A short page is a top-k. Anything longer would pass through one task, so the keys
-    of the first and last row are looked up instead and become range predicates.
+    of the first and last row are looked up instead and become range predicates. Rows
+    with equal keys follow each other by a hash of the whole row, so both ways give the
+    same rows; of wholly equal rows the page holds the right number.
     """
-    ordered = df.orderBy(*_order_columns(df, keys))
     if not offset and not limit:
-        return ordered
+        return df.orderBy(*_order_columns(df, keys))
+    whole = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    names = df.columns
+    df = df.withColumn(_TIE, F.xxhash64(*whole) if whole else F.lit(0).cast("long"))
+    keys = [*keys, (_TIE, False)]
     if limit and offset + limit <= MAX_TOP_ROWS:
-        return (ordered.offset(offset) if offset else ordered).limit(limit)
-    names = [name for name, _ in keys]
-    positions = df.select(*[_resolve(df, n)[0].alias(f"k{i}") for i, n in enumerate(names)])
+        ordered = df.orderBy(*_order_columns(df, keys))
+        return (ordered.offset(offset) if offset else ordered).limit(limit).select(*names)
+    kept = _rows_between(df, keys, offset, offset + limit if limit else None)
+    return kept.orderBy(*_order_columns(kept, keys)).select(*names)
+
+
+def _rows_between(
+    df: DataFrame, keys: Sequence[tuple[str, bool]], start: int, end: int | None
+) -> DataFrame:
+    """The rows at positions from ``start`` up to ``end`` in the order of the keys."""
+    fields = [f"k{i}" for i in range(len(keys))]
+    columns = [_resolve(df, name)[0].alias(f) for f, (name, _) in zip(fields, keys)]
     order = [
-        F.col(f"k{i}").desc_nulls_last() if down else F.col(f"k{i}").asc_nulls_first()
-        for i, (_, down) in enumerate(keys)
+        F.col(f).desc_nulls_last() if down else F.col(f).asc_nulls_first()
+        for f, (_, down) in zip(fields, keys)
     ]
-    indexed = global_index(positions, order, "__index")
-    ends = [offset] + ([offset + limit] if limit else [])
-    found = {r["__index"]: r for r in indexed.where(F.col("__index").isin(ends)).collect()}
-    if offset and offset not in found:
-        return ordered.where(F.lit(False))
-    first, last = found.get(offset), found.get(offset + limit) if limit else None
-    kept = df
-    if offset:
-        kept = kept.where(past_cursor(df, keys, [first[f"k{i}"] for i in range(len(keys))], True))
-    if last is not None:
-        kept = kept.where(
-            before_cursor(df, keys, [last[f"k{i}"] for i in range(len(keys))], False)
+    indexed = global_index(df.select(*columns), order, _POSITION)
+    ends = [start] + ([end] if end is not None else [])
+    found = {r[_POSITION]: r for r in indexed.where(F.col(_POSITION).isin(ends)).collect()}
+    if start not in found:
+        return df.where(F.lit(False))
+
+    def equals(row) -> Column:
+        return reduce(
+            and_, [_resolve(df, n)[0].eqNullSafe(F.lit(row[f])) for f, (n, _) in zip(fields, keys)]
         )
-    return kept.orderBy(*_order_columns(kept, keys))
+
+    def begin(row) -> int:
+        """Position of the first row with the same keys."""
+        same = reduce(and_, [F.col(f).eqNullSafe(F.lit(row[f])) for f in fields])
+        return indexed.where(same).agg(F.min(_POSITION)).first()[0]
+
+    def some_of(row, first: int, last: int | None) -> DataFrame:
+        """Of the rows equal to one, those from the first up to the last."""
+        numbered = global_index(df.where(equals(row)), [F.col(_TIE)], _POSITION)
+        wanted = F.col(_POSITION) >= first
+        if last is not None:
+            wanted = wanted & (F.col(_POSITION) < last)
+        return numbered.where(wanted).drop(_POSITION)
+
+    def past(row, forward: bool) -> Column:
+        """Rows whose keys come after those of a row, or before them; nulls have the place
+        that the order gives them."""
+        reached = F.lit(False)
+        for f, (name, down) in reversed(list(zip(fields, keys))):
+            column, value = _resolve(df, name)[0], row[f]
+            lower = down == forward  # the side on which smaller values are
+            if value is None:
+                further = F.lit(False) if lower else column.isNotNull()
+            elif lower:
+                further = (column < F.lit(value)) | column.isNull()
+            else:
+                further = column > F.lit(value)
+            reached = further | (column.eqNullSafe(F.lit(value)) & reached)
+        # the leading key alone is implied, and reaches the scan as a pushed filter
+        (name, down), value = keys[0], row[fields[0]]
+        column = _resolve(df, name)[0]
+        if value is None:
+            return reached
+        if down == forward:
+            return ((column <= F.lit(value)) | column.isNull()) & reached
+        return (column >= F.lit(value)) & reached
+
+    first, last = found[start], found.get(end)
+    at = begin(first)
+    if last is not None and [last[f] for f in fields] == [first[f] for f in fields]:
+        return some_of(first, start - at, end - at)
+    # wholly equal rows at either end are counted out, all others are a range
+    inside = df.where(past(first, True) | equals(first) if start == at else past(first, True))
+    if last is not None:
+        inside = inside.where(past(last, False))
+    if start > at:
+        inside = inside.unionByName(some_of(first, start - at, None))
+    if last is not None and (rest := end - begin(last)):
+        inside = inside.unionByName(some_of(last, 0, rest))
+    return inside
 
 
 def select_fields(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -343,9 +425,11 @@ def from_options(df: DataFrame, options: dict, id_col: str = "id") -> DataFrame:
     )
 
 
-def preview(df: DataFrame, order: Sequence[Column], n: int | None = 5) -> DataFrame:
-    """The first ``n`` rows (all for None) with the number of rows left out."""
+def preview(df: DataFrame, order: Sequence[str], n: int | None = 5) -> DataFrame:
+    """The first ``n`` rows (all for None) in the order of some columns, with the number
+    of rows left out."""
+    keys = [(name, False) for name in order]
     if n is None:
-        return df.orderBy(*order).withColumn("more", F.lit(0).cast("long"))
+        return df.orderBy(*_order_columns(df, keys)).withColumn("more", F.lit(0).cast("long"))
     left = F.greatest(df.select(F.count("*")).scalar() - n, F.lit(0))
-    return df.orderBy(*order).limit(n).withColumn("more", left.cast("long"))
+    return page(df, keys, limit=n).withColumn("more", left.cast("long"))

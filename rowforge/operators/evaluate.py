@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Order in which equal accuracies win, and the accuracy floor.
 MODEL_PRIORITY = ["ensemble", "logistic_regression", "decision_tree"]
@@ -134,7 +134,8 @@ def best_model(accuracies: DataFrame) -> DataFrame:
 def accuracy_gate(accuracies: DataFrame, floor: float = ACCURACY_FLOOR) -> DataFrame:
     """Which models are under the floor; any of them degrades the common status."""
     low = F.col("accuracy") < floor
-    any_low = accuracies.select(F.coalesce(F.bool_or(low), F.lit(False))).scalar()
+    # a few models, so the window over all of them is short
+    any_low = F.coalesce(F.bool_or(low).over(Window.partitionBy()), F.lit(False))
     return accuracies.select(
         "model",
         low.alias("low"),

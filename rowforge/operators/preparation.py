@@ -11,7 +11,6 @@ from .features import derive_features, drop_columns
 from .ranking import global_index
 from .statistics import (
     MAX_TASK_VALUES,
-    approximate_medians,
     median_sizes,
     medians_of,
     modes,
@@ -50,7 +49,10 @@ class NotFittedError(RuntimeError):
 
 
 def fit_categories(counts: DataFrame) -> DataFrame:
-    """Sorted distinct values of each column to codes 0..k-1."""
+    """Sorted distinct values of each column to codes 0..k-1.
+
+    The counts are read twice, so they should be a table (see ``session.durable``).
+    """
     size = counts.groupBy("column").count().agg(F.max("count")).first()[0] or 0
     distinct = counts.select("column", "category")
     if size <= MAX_TASK_VALUES:
@@ -104,7 +106,7 @@ class Preparation:
 
     # -- fit ---------------------------------------------------------------
 
-    def fit(self, df: DataFrame, approximate: bool = False) -> "Preparation":
+    def fit(self, df: DataFrame) -> "Preparation":
         """One pass for sizes, one for the medians (more only for very many values),
         and one that counts the categories."""
         present = set(df.columns)
@@ -119,8 +121,7 @@ class Preparation:
             "columns": float(len(df.columns)),
             "label_rate": totals["label_rate"] if self.label in present else None,
         }
-        search = approximate_medians if approximate else medians_of
-        found = search(df, medians, totals) if medians else {}
+        found = medians_of(df, medians, totals) if medians else {}
         self.stats.update({f"{c}_median": v for c, v in found.items()})
         self._fit_categories(df, categorical)
         skipped = {self.label, *self.key_columns}
@@ -190,8 +191,8 @@ class Preparation:
 
     def _code(self, column: str, unseen_to_first: bool) -> Column:
         names = self.categories.get(column, [])
-        if not names:
-            return F.lit(None).cast("int")
+        if not names:  # as for any other unseen value
+            return F.lit(0) if unseen_to_first else F.lit(None).cast("int")
         pairs = [F.lit(x) for i, name in enumerate(names) for x in (name, i)]
         code = F.try_element_at(F.create_map(*pairs), F.col(column).cast("string"))
         return F.coalesce(code, F.lit(0)) if unseen_to_first else code
@@ -202,8 +203,7 @@ class Preparation:
             if column not in df.columns:
                 continue
             if self.categories is not None:
-                if column in self.categories:
-                    df = df.withColumn(column, self._code(column, unseen_to_first))
+                df = df.withColumn(column, self._code(column, unseen_to_first))
             else:
                 df = encode_lookup(df, self.encodings, column, unseen_to_first, self.small)
         return df
@@ -218,8 +218,8 @@ class Preparation:
             prepared = prepared.withColumn("age_group", F.coalesce("age_group", outside))
         return prepared
 
-    def fit_transform(self, df: DataFrame, approximate: bool = False) -> DataFrame:
-        return self.fit(df, approximate).transform(df)
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
 
     def features(self, df: DataFrame) -> DataFrame:
         """Only the feature columns, in fitted order."""

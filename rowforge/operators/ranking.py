@@ -2,7 +2,7 @@
 
 A window without PARTITION BY, or one whose hottest key holds a third of the rows,
 sorts that many rows in one task. Here a range-partitioned sort spreads them, and
-only one row per partition (or per hot group) is summarised and sent back.
+only one row per partition is summarised and sent back.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from ..session import durable
 #: Rows of one group that a single task sorts without trouble.
 HOT_GROUP_ROWS = 2_000_000
 
-#: Most groups that may be hot at once; their table is broadcast.
-MAX_HOT_GROUPS = 50_000
-
 _SERIAL = "__serial"
 _PART = "__part"
 
@@ -58,16 +55,13 @@ def group_row_number(
     over range partitions instead, so no group has to fit in one task.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    sizes = df.groupBy(*keys).count()
-    summary = sizes.agg(F.sum("count").alias("rows"), F.max("count").alias("largest")).first()
-    if summary["largest"] is None or summary["largest"] <= hot_rows:
+    # only the large groups are kept of the count; usually there are none
+    hot_groups = durable(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
+    if hot_groups.isEmpty():
         return df.withColumn(name, F.row_number().over(window).cast("long"))
-
-    # rows / bound groups can exceed the bound at most, so this keeps the list short
-    bound = max(hot_rows, summary["rows"] // MAX_HOT_GROUPS)
-    hot_groups = durable(sizes.where(F.col("count") > bound).select(*keys))
-    # null-safe, as a window treats null keys as one group
-    left, right = df.alias("rows"), F.broadcast(hot_groups.alias("hot"))
+    # null-safe, as a window treats null keys as one group; a short list is broadcast by its
+    # size, a long one is joined by shuffle, where adaptive execution splits a hot key
+    left, right = df.alias("rows"), hot_groups.alias("hot")
     same = reduce(
         lambda acc, key: acc & F.col(f"rows.{key}").eqNullSafe(F.col(f"hot.{key}")),
         keys,
@@ -87,7 +81,7 @@ def group_row_number(
     )
     ranked = (
         hot.alias("hot")
-        .join(F.broadcast(starts.alias("start")), aligned)
+        .join(starts.alias("start"), aligned)
         .select("hot.*", (F.col("__index") - F.col("__start") + 1).alias(name))
         .drop("__index")
     )

@@ -190,18 +190,6 @@ def _narrow(df: DataFrame, searches: list[_Search]) -> None:
             s.widening *= 4
 
 
-def approximate_medians(df: DataFrame, columns: list[str], sizes: Row) -> dict[str, float | None]:
-    """Medians of a sample: at most about a third of a percent of the rows off."""
-    samples = df.select(
-        *[
-            F.when(F.rand(i) < SAMPLE_ROWS / max(sizes[f"rows{i}"], 1), _number(c)).alias(f"v{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    row = samples.agg(*[F.percentile(f"v{i}", 0.5).alias(c) for i, c in enumerate(columns)])
-    return row.first().asDict()
-
-
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows per column and value, nulls left out, in one pass over all columns."""
     pairs = F.array(

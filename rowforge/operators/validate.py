@@ -12,7 +12,7 @@ from ..functions.numbers import (
     CATEGORIES,
     above,
     coerce_float,
-    coerce_int,
+    truncate_number,
     in_bounds,
     in_category,
 )
@@ -144,7 +144,7 @@ def validate_rows(df: DataFrame) -> DataFrame:
     texts = [f for f in TEXT_FIELDS if f in df.columns]
     numbers = [f for f in NUMERIC_FIELDS if f in df.columns]
     read = {
-        f: (coerce_int if f in INTEGER_FIELDS else coerce_float)(F.col(f), df.schema[f].dataType)
+        f: (truncate_number if f in INTEGER_FIELDS else coerce_float)(F.col(f), df.schema[f].dataType)
         for f in numbers
     }
     cleaned = sanitize_columns(df, {f"__{f}": _as_text(F.col(f)) for f in texts}).withColumns(

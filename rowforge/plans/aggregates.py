@@ -26,6 +26,7 @@ from ..operators.validate import (
     issue_counts,
     validate_rows,
 )
+from ..session import durable
 from ..sources.tables import Tables
 from .common import linear_scores
 from .registry import AGE_GROUP, FITTED, OFF_TIE, PASSENGERS, REQUESTS, SCORED, query
@@ -157,12 +158,12 @@ _CODES = """select '{c}' as "column", {c} as category,
     ),
 )
 def fit_categories_plan(t: Tables) -> DataFrame:
-    return fit_categories(value_counts(t["part"], ["p_name", "p_brand", "p_type"]))
+    return fit_categories(durable(value_counts(t["part"], ["p_name", "p_brand", "p_type"])))
 
 
 @query("category_codes", _CODES.format(c="c_mktsegment", t="customer"))
 def category_codes_plan(t: Tables) -> DataFrame:
-    return fit_categories(value_counts(t["customer"], ["c_mktsegment"]))
+    return fit_categories(durable(value_counts(t["customer"], ["c_mktsegment"])))
 
 
 # ------------------------------------------------------------------ evaluation
@@ -330,16 +331,37 @@ def status_rollup_plan(t: Tables) -> DataFrame:
 @query(
     "startup_gate",
     CHECKS
-    + """select name, arg_max(message, happened) as message from checks
-       where status = 'unhealthy' and name <> 'system_resources' group by name""",
+    + """, failed as (
+         select name, arg_max(message, happened) as message from checks
+         where status = 'unhealthy' and name <> 'system_resources' group by name)
+       select name, message, 'Startup validation failed: Startup checks failed: ' || (
+           select string_agg(name || ': ' || message, '; ' order by case name
+             when 'ml_models' then 1 when 'preprocessor' then 2 when 'configuration' then 3 else 4 end)
+           from failed) as refusal
+       from failed""",
 )
 def startup_gate_plan(t: Tables) -> DataFrame:
-    return health.failed_startup_checks(check_results(t))
+    """The failed checks, and what the gate says when it refuses to start."""
+    checks = check_results(t)
+    refusal = None
+    try:
+        health.startup_gate(checks)
+    except health.StartupError as error:
+        refusal = str(error)
+    return health.failed_startup_checks(checks).withColumn("refusal", F.lit(refusal))
 
 
 @query(
     "check_prep_state",
-    "select 'degraded' as status, cast(1 as bigint) as n_missing, 'fare_median' as missing",
+    PASSENGERS
+    + """, known as (
+         select 'age_median' as name, median(age) as value from passengers
+         union all select 'embarked_mode', count(distinct embarked) from passengers),
+       missing as (
+         select name from (values ('age_median'), ('embarked_mode'), ('fare_median')) r(name)
+         where name not in (select name from known where value > 0))
+       select case when count(*) > 0 then 'degraded' else 'healthy' end as status,
+         count(*) as n_missing, string_agg(name, ', ' order by name) as missing from missing""",
 )
 def check_prep_state_plan(t: Tables) -> DataFrame:
     stats = Preparation().fit(t.passengers.drop("fare")).stats_table(t.spark)

@@ -8,12 +8,18 @@ from ..functions.formats import add_context
 from ..operators import docquery as dq
 from ..operators.features import UNUSED_COLUMNS, drop_columns, family_size, is_alone
 from ..operators.health import diff_names, missing_required
-from ..operators.preparation import Preparation, encode_lookup, fit_categories
+from ..operators.preparation import (
+    MAX_SMALL_CATEGORIES,
+    Preparation,
+    encode_lookup,
+    fit_categories,
+)
 from ..operators.evaluate import pair_label_prediction
 from ..operators.requests import log_tail_filter, slow_predictions, slow_requests
 from ..operators.statistics import value_counts
 from ..operators.validate import required_fields, schema_constraints
 from ..functions.formats import iso_utc
+from ..session import durable
 from ..sources.tables import Tables
 from .common import linear_scores, part_documents, word_documents
 from .registry import FITTED, PASSENGERS, PREPARED, REQUESTS, SCORED, WORDS, query
@@ -303,8 +309,8 @@ def log_tail_filter_plan(t: Tables) -> DataFrame:
 )
 def encode_lookup_plan(t: Tables) -> DataFrame:
     part = t["part"].select("p_partkey", "p_brand")
-    table = fit_categories(value_counts(part, ["p_brand"]))
-    small = table.count() <= 10_000
+    table = durable(fit_categories(durable(value_counts(part, ["p_brand"]))))
+    small = table.count() <= MAX_SMALL_CATEGORIES
     return encode_lookup(part, table, "p_brand", unseen_to_first=False, small=small)
 
 

@@ -16,7 +16,9 @@ from .registry import query
     """select event_id, '[REDACTED]' as session_token, event_type as nested_kind,
          '[REDACTED]' as nested_secret, '[REDACTED]' as map_password,
          cast(user_id as varchar) as map_user, '[REDACTED]' as item_key,
-         event_type as item_kind from events""",
+         event_type as item_kind, value as number_kept, cast(null as double) as number_masked,
+         '{"deep":[{"Api_Key":"[REDACTED]","kind":"' || event_type || '"}],"token":"[REDACTED]","user":'
+           || user_id || '}' as payload from events""",
 )
 def redact_keys_plan(t: Tables) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
@@ -26,6 +28,16 @@ def redact_keys_plan(t: Tables) -> DataFrame:
         F.struct(kind.alias("kind"), F.col("value").alias("Client_Secret")).alias("nested"),
         F.create_map(F.lit("Password"), F.col("props"), F.lit("user"), user).alias("attributes"),
         F.array(F.struct(user.alias("api_key"), kind.alias("kind"))).alias("items"),
+        F.create_map(F.lit("amount"), F.col("value"), F.lit("secret"), F.col("value")).alias("numbers"),
+        F.parse_json(
+            F.to_json(
+                F.struct(
+                    "user_id",
+                    F.struct(F.col("user_id").alias("pin")).alias("token"),
+                    F.array(F.struct(F.col("value").alias("Api_Key"), kind.alias("kind"))).alias("deep"),
+                ).dropFields("user_id").withField("user", F.col("user_id"))
+            )
+        ).alias("payload"),
     )
     return redaction.redact_keys(secretive).select(
         "event_id",
@@ -36,6 +48,9 @@ def redact_keys_plan(t: Tables) -> DataFrame:
         F.col("attributes")["user"].alias("map_user"),
         F.col("items")[0]["api_key"].alias("item_key"),
         F.col("items")[0]["kind"].alias("item_kind"),
+        F.col("numbers")["amount"].alias("number_kept"),
+        F.col("numbers")["secret"].alias("number_masked"),
+        F.to_json("payload").alias("payload"),
     )
 
 

@@ -81,6 +81,14 @@ def _customer_accounts(t: Tables) -> DataFrame:
     )
 
 
+def _nation_accounts(t: Tables) -> DataFrame:
+    return t["nation"].select(
+        F.concat(F.lit("n"), "n_nationkey").alias("id"),
+        F.col("n_name").alias("name"),
+        F.col("n_nationkey").alias("nationkey"),
+    )
+
+
 def _supplier_accounts(t: Tables) -> DataFrame:
     return t["supplier"].select(
         F.concat(F.lit("s"), "s_suppkey").alias("id"),
@@ -97,13 +105,18 @@ union all
 select 's' || s_suppkey, s_name, s_nationkey, s_acctbal, null from supplier"""
 
 
-@query("scan_collection_group", ACCOUNTS)
+@query(
+    "scan_collection_group",
+    ACCOUNTS + " union all select 'n' || n_nationkey, n_name, n_nationkey, null, null from nation",
+)
 def scan_collection_group_plan(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "store")
     _customer_accounts(t).write.parquet(f"{root}/accounts")
     _supplier_accounts(t).write.parquet(f"{root}/partners/wholesale/accounts")
+    deep = "/".join(f"level{i}/doc{i}" for i in range(7))
+    _nation_accounts(t).write.parquet(f"{root}/{deep}/accounts")
     t["nation"].write.parquet(f"{root}/nations")
-    return docs.scan_collection_group(t.spark, root, "accounts")
+    return docs.scan_query(t.spark, root, "accounts", {"collectionGroup": True})
 
 
 @query("union_collections", ACCOUNTS)
@@ -117,7 +130,7 @@ def union_collections_plan(t: Tables) -> DataFrame:
        p_retailprice from part where cast(p_partkey as varchar) = '42'""",
 )
 def point_lookup_plan(t: Tables) -> DataFrame:
-    return docs.point_lookup(part_documents(t), "42")
+    return docs.point_lookup(part_documents(t), "42", key="p_partkey")
 
 
 def _read_import(t: Tables, path: str) -> DataFrame:
@@ -247,7 +260,7 @@ def doc_delete_plan(t: Tables) -> DataFrame:
 )
 def preview_plan(t: Tables) -> DataFrame:
     orders = t["orders"].select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return preview(orders, [F.col("o_orderkey")], 5)
+    return preview(orders, ["o_orderkey"], 5)
 
 
 @query(
@@ -278,16 +291,29 @@ def scan_log_plan(t: Tables) -> DataFrame:
 
 @query(
     "save_prep_state",
-    FITTED
+    PREPARED
     + """select 'age_median' as name, age_median as dvalue, cast(null as varchar) as svalue from fitted
        union all select 'fare_median', fare_median, null from fitted
-       union all select 'embarked_mode', null, embarked_mode from fitted""",
+       union all select 'embarked_mode', null, embarked_mode from fitted
+       union all select 'rows', count(*), null from passengers
+       union all select 'code ' || code, null, 'sex ' || category from sex_codes
+       union all select 'code ' || code, null, 'embarked ' || category from port_codes
+       union all select 'feature ' || pos, null, name from (values (0, 'pclass'), (1, 'sex'), (2, 'age'),
+         (3, 'sibsp'), (4, 'parch'), (5, 'fare'), (6, 'embarked'), (7, 'family_size'), (8, 'is_alone'),
+         (9, 'age_group')) f(pos, name)""",
 )
 def save_prep_state_plan(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "prep")
     Preparation().fit(t.passengers).save(t.spark, path)
-    stats = t.spark.read.parquet(f"{path}/stats")
-    return stats.where(F.col("name").isin(REQUIRED_STATS))
+    none = F.lit(None)
+    stats = t.spark.read.parquet(f"{path}/stats").where(F.col("name").isin([*REQUIRED_STATS, "rows"]))
+    codes = t.spark.read.parquet(f"{path}/encodings").select(
+        F.concat(F.lit("code "), "code"), none.cast("double"), F.concat_ws(" ", "column", "category")
+    )
+    features = t.spark.read.parquet(f"{path}/feature_columns").select(
+        F.concat(F.lit("feature "), "pos"), none.cast("double"), "name"
+    )
+    return stats.select("name", "dvalue", "svalue").union(codes).union(features)
 
 
 @query("load_prep_state", PREPARED + "select * from prepared")
@@ -303,9 +329,18 @@ def _saved_run(t: Tables) -> str:
     return path
 
 
-@query("save_models")
+@query(
+    "save_models",
+    """select model, true as same_accuracy
+       from (values ('logistic_regression'), ('decision_tree'), ('ensemble')) m(model)""",
+)
 def save_models_plan(t: Tables) -> DataFrame:
-    return t.spark.read.parquet(f"{_saved_run(t)}/evaluation_results")
+    """The stored accuracies, read back, against those measured."""
+    measured = list(trained(t).accuracies.items())
+    wanted = t.spark.createDataFrame(measured, "model string, wanted double")
+    stored = t.spark.read.parquet(f"{_saved_run(t)}/evaluation_results")
+    same = (F.col("accuracy") == F.col("wanted")).alias("same_accuracy")
+    return stored.join(wanted, "model", "left").select("model", same)
 
 
 @query("load_models", PASSENGERS + "select passenger_id, true as same_scores from passengers")
@@ -320,7 +355,8 @@ def load_models_plan(t: Tables) -> DataFrame:
 
 @query(
     "artifact_inventory",
-    """select * from (values ('stats', true), ('encodings', true), ('feature_columns', true),
+    """select name, present, present as has_files, present as sized, present as dated
+       from (values ('stats', true), ('encodings', true), ('feature_columns', true),
        ('logistic_model', false)) v(name, present)""",
 )
 def artifact_inventory_plan(t: Tables) -> DataFrame:
@@ -328,4 +364,12 @@ def artifact_inventory_plan(t: Tables) -> DataFrame:
     Preparation().fit(t.passengers).save(t.spark, path)
     required = ["stats", "encodings", "feature_columns", "logistic_model"]
     found = artifact_inventory(t.spark, path, required)
-    return found.select("name", "present")
+    size, mb = F.col("size_bytes"), F.col("size_mb")
+    recent = F.abs(F.unix_timestamp() - F.unix_timestamp("modified")) < 3600
+    return found.select(
+        "name",
+        "present",
+        F.coalesce(F.col("files") > 0, F.lit(False)).alias("has_files"),
+        F.coalesce((size > 0) & (F.abs(mb - size / 1024 / 1024) < 0.01), F.lit(False)).alias("sized"),
+        F.coalesce(recent, F.lit(False)).alias("dated"),
+    )

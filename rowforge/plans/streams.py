@@ -16,13 +16,12 @@ from .filters import log_lines
 from .registry import OFF_TIE, PASSENGERS, REQUESTS, query
 from .scalars import _RAW, _raw
 
-FILES = 4
-
-
-def _as_stream(t: Tables, df: DataFrame, name: str, order: str, files: int = FILES) -> DataFrame:
-    """The rows of ``df`` as a file stream of range-partitioned files."""
+def _as_stream(t: Tables, df: DataFrame, name: str, order: str) -> DataFrame:
+    """The rows of ``df`` as a file stream of range-partitioned files, as many as their
+    size asks for. All are one batch: files of one writer have no order in time, and a
+    watermark between them would drop rows as late."""
     path = scratch_path(t.spark, f"{name}-in")
-    df.repartitionByRange(files, order).write.parquet(path)
+    df.repartitionByRange(order).write.parquet(path)
     return t.spark.readStream.schema(df.schema).parquet(path)
 
 
@@ -64,6 +63,16 @@ def stream_score_plan(t: Tables) -> DataFrame:
     )
 
 
+def _with_open(t: Tables, done: DataFrame, batch, window: str) -> DataFrame:
+    """The closed windows from the sink, and those that the last watermark leaves open from
+    the batch twin over their rows."""
+    rows = _timed(t)
+    watermark = rows.agg(F.max("ts") - F.expr("interval 1 hour")).scalar()
+    open_rows = rows.where(F.window("ts", window)["end"] > watermark)
+    still = batch(open_rows).withColumn("closed", F.lit(False))
+    return done.withColumn("closed", F.lit(True)).unionByName(still)
+
+
 def _timed(t: Tables) -> DataFrame:
     return t.requests.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -74,8 +83,9 @@ def _timed(t: Tables) -> DataFrame:
     + """, w as (select user_id, date_trunc('day', ts) as start, count(*) as n
          from requests group by 1, 2)
        select user_id, strftime(start, '%Y-%m-%d') as day, n, least(n, 3) as accepted,
-         greatest(n - 3, 0) as refused from w
-       where start + interval 1 day <= (select max(ts) from requests) - interval 1 hour""",
+         greatest(n - 3, 0) as refused,
+         start + interval 1 day <= (select max(ts) from requests) - interval 1 hour as closed
+       from w""",
 )
 def stream_rate_counts_plan(t: Tables) -> DataFrame:
     stream = _as_stream(t, _timed(t), "rate", "ts")
@@ -86,8 +96,9 @@ def stream_rate_counts_plan(t: Tables) -> DataFrame:
             stream, out, state, "user_id", 3, "1 day", "1 hour"
         ),
     )
+    shown = _with_open(t, done, lambda rows: jobs.rate_counts(rows, "user_id", 3, "1 day", "1 hour"), "1 day")
     day = F.date_format("window_start", "yyyy-MM-dd").alias("day")
-    return done.select("user_id", day, "n", "accepted", "refused")
+    return shown.select("user_id", day, "n", "accepted", "refused", "closed")
 
 
 @query(
@@ -98,8 +109,9 @@ def stream_rate_counts_plan(t: Tables) -> DataFrame:
          round(avg(case when status_code >= 400 then 1 else 0 end), 6) as error_rate
          from requests group by 1, 2)
        select endpoint, strftime(start, '%Y-%m-%d %H:%M') as window_start, n, mean_ms, max_ms,
-         error_rate from w
-       where start + interval 6 hours <= (select max(ts) from requests) - interval 1 hour""",
+         error_rate,
+         start + interval 6 hours <= (select max(ts) from requests) - interval 1 hour as closed
+       from w""",
 )
 def stream_request_metrics_plan(t: Tables) -> DataFrame:
     stream = _as_stream(t, _timed(t), "metrics", "ts")
@@ -108,8 +120,10 @@ def stream_request_metrics_plan(t: Tables) -> DataFrame:
         "metrics",
         lambda out, state: jobs.stream_request_metrics(stream, out, state, "6 hours", "1 hour"),
     )
-    return done.select(
+    shown = _with_open(t, done, lambda rows: jobs.metrics_per_window(rows, "6 hours", "1 hour"), "6 hours")
+    return shown.select(
         "endpoint",
+        "closed",
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
         "n",
         F.round(F.col("mean_ms") + OFF_TIE, 6).alias("mean_ms"),

@@ -13,13 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.typed import DOCUMENT, document_type, unwrap_documents
 from ..operators.ranking import global_index
+from .files import list_folders
 
 # Fixed value: rows of one import batch.
 BATCH_SIZE = 500
 
-#: Collection groups are looked for down to this many parent documents.
-MAX_NESTING = 5
-
 
 class DocumentNotFound(KeyError):
     """There is no document with this id."""
@@ -57,11 +55,37 @@ def get_document_raw(raw: DataFrame, name: str) -> DataFrame:
     return point_lookup(raw, name, "name")
 
 
-def scan_collection_group(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All collections of this name, at the root or under any document."""
-    patterns = ["*/" * (2 * depth) + name for depth in range(MAX_NESTING + 1)]
-    pattern = f"{root}/{{{','.join(patterns)}}}"
-    return spark.read.option("mergeSchema", True).parquet(pattern)
+def collection_paths(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Folders of all collections of a name: at the root, or below any document at any
+    depth. Only folders are listed, one level of documents at a time."""
+    found, above = [], f"{root}"
+    while True:
+        found += [p for p in list_folders(spark, f"{above}/{name}")]
+        above = f"{above}/*/*"
+        if not list_folders(spark, above):
+            return sorted(found)
+
+
+def scan_collection_group(
+    spark: SparkSession, root: str, name: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """All collections of this name, at the root or under any document.
+
+    With ``schema`` no footer is read; without it the schemas of all files are merged.
+    """
+    paths = collection_paths(spark, root, name)
+    if not paths and schema is not None:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
+    return reader.parquet(*(paths or [f"{root}/{name}"]))
+
+
+def scan_query(spark: SparkSession, root: str, name: str, options: dict) -> DataFrame:
+    """What the option object of a document client reads: one collection, or with
+    ``collectionGroup`` all collections of the name."""
+    if options.get("collectionGroup"):
+        return scan_collection_group(spark, root, name)
+    return scan_collection(spark, root, name)
 
 
 def union_collections(*frames: DataFrame) -> DataFrame:
@@ -69,9 +93,18 @@ def union_collections(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def point_lookup(df: DataFrame, doc_id: str, id_col: str = "id") -> DataFrame:
-    """The document of an id, as a frame of one row or none."""
-    return df.where(F.col(id_col) == doc_id).limit(1)
+def point_lookup(
+    df: DataFrame, doc_id: str, id_col: str = "id", key: str | None = None
+) -> DataFrame:
+    """The document of an id, as a frame of one row or none.
+
+    ``key`` names the column that the id is the text of: compared in its own type it
+    reaches the scan, which a computed text does not.
+    """
+    wanted = F.col(id_col) == doc_id
+    if key:
+        wanted = (F.col(key) == F.lit(doc_id).try_cast(df.schema[key].dataType)) & wanted
+    return df.where(wanted).limit(1)
 
 
 def get_document(df: DataFrame, doc_id: str, id_col: str = "id", strict: bool = True):

@@ -57,6 +57,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a path pattern, on any file system Spark can read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(s.getPath()) for s in system.globStatus(target) or [] if s.isDirectory()]
+
+
 def require_paths(spark: SparkSession, paths: list[str]) -> None:
     missing = [path for path in paths if not path_exists(spark, path)]
     if missing:
@@ -139,11 +146,6 @@ def scan_log(spark: SparkSession, path: str, schema: T.StructType = LOG_EVENT) -
     return spark.read.schema(schema).json(path)
 
 
-def stream_log(spark: SparkSession, path: str, schema: T.StructType = LOG_EVENT) -> DataFrame:
-    """JSON log lines as a stream of events."""
-    return spark.readStream.schema(schema).json(path)
-
-
 def artifact_inventory(spark: SparkSession, folder: str, required: list[str]) -> DataFrame:
     """Required parts of a folder: present or not, files, bytes, MB, last change.
 

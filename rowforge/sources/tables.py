@@ -12,7 +12,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     For work that costs far more than moving rows. Spark cuts any input of more than a
     few megabytes per core into at least as many splits as cores, so a large input is
-    never moved.
+    never moved. Only for scans: the number of partitions of anything else is known only
+    after its shuffles have run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -127,10 +127,10 @@ def test_command_line_filters_stay_text(books):
 
 
 def test_preview(books):
-    rows = dq.preview(books, [F.col("id")], 2).collect()
+    rows = dq.preview(books, ["id"], 2).collect()
     assert [(r["id"], r["more"]) for r in rows] == [("a", 3), ("b", 3)]
-    assert dq.preview(books, [F.col("id")], None).count() == 5
-    assert dq.preview(books, [F.col("id")], 9).first()["more"] == 0
+    assert dq.preview(books, ["id"], None).count() == 5
+    assert dq.preview(books, ["id"], 9).first()["more"] == 0
 
 
 def test_filters_and_columns_reach_the_scan(tables):
@@ -143,3 +143,44 @@ def test_filters_and_columns_reach_the_scan(tables):
     plan = query._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(p_size,10)" in plan and "EqualTo(p_brand,Brand#2)" in plan
     assert "ReadSchema: struct<p_partkey:bigint,p_brand:string,p_size:int>" in plan
+
+
+def test_list_operators_refuse_a_text(books):
+    for operator in ("in", "not-in", "array-contains-any"):
+        with pytest.raises(ValueError):
+            dq.clause(books, "id", operator, "15")
+        with pytest.raises(ValueError):
+            dq.where_cli_string(books, f"id,{operator},15")
+
+
+def test_pages_over_equal_keys_and_ids(spark, monkeypatch):
+    """A long page holds the rows of a short one, also where keys and ids are equal."""
+    rows = [(i % 3 if i % 4 else None, f"d{i % 5}", i // 10) for i in range(60)] + [(1, "d1", 7)] * 9
+    df = spark.createDataFrame(rows, "k int, id string, v int").repartition(5)
+    for keys in ([("k", False), ("id", False)], [("k", True), ("id", True)]):
+        for offset, limit in [(0, 7), (1, 5), (13, 1), (30, 30), (40, 8), (60, 20), (5, 64), (69, 3), (200, 5)]:
+            monkeypatch.setattr(dq, "MAX_TOP_ROWS", 10_000)
+            short = dq.page(df, keys, offset, limit)
+            monkeypatch.setattr(dq, "MAX_TOP_ROWS", 0)
+            long = dq.page(df, keys, offset, limit)
+            assert long.columns == df.columns
+            assert list(map(tuple, short.collect())) == list(map(tuple, long.collect())), (keys, offset, limit)
+        monkeypatch.setattr(dq, "MAX_TOP_ROWS", 0)
+        for offset in (1, 20, 41):
+            assert dq.page(df, keys, offset).count() == 69 - offset
+
+
+def test_lookups_and_cursors_reach_the_scan(spark):
+    from rowforge.plans import QUERIES
+
+    def plan(name):
+        return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+    shown = "spark.sql.maxMetadataStringLength"
+    spark.conf.set(shown, "10000")
+    try:
+        assert "EqualTo(p_partkey,42)" in plan("point_lookup")
+        pushed = plan("cursor_page")
+    finally:
+        spark.conf.unset(shown)
+    assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThanOrEqual(l_shipdate" in pushed

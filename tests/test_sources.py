@@ -179,6 +179,55 @@ def test_redaction_at_depth(spark):
         "id int, m map<string,int>, a array<struct<Password:string,inner:struct<secret:string,ok:string>>>",
     )
     row = redact_keys(df).first()
-    assert row["m"] == {"auth_token": "[REDACTED]", "n": "6"}
+    assert row["m"] == {"auth_token": None, "n": 6}  # a map keeps its type
     assert row["a"][0]["Password"] == "[REDACTED]" and row["a"][0]["inner"]["secret"] == "[REDACTED]"
     assert row["a"][0]["inner"]["ok"] == "o"
+
+
+def test_redaction_of_variant(spark):
+    from rowforge.functions.redaction import mask_json, redact_keys
+
+    texts = [
+        '{"password":"x","a":[{"Api_Key":{"k":[1,{"z":2}]},"n":1.50}],"tokenish":[1,2]}',
+        '{"a":"password","b":{"c":"secret: x"}}',
+        '{"x\\"password":1,"pass\\u0077ord":"y"}',
+        "[1,2]",
+        '"secret"',
+        None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    df = df.selectExpr("id", "parse_json(t) as v", "named_struct('inner', parse_json(t)) as s")
+    rows = redact_keys(df).selectExpr("id", "to_json(v) as v", "to_json(s.inner) as s").collect()
+    got = {r["id"]: r["v"] for r in rows}
+    assert all(r["v"] == r["s"] for r in rows)
+    assert got[0] == '{"a":[{"Api_Key":"[REDACTED]","n":1.5}],"password":"[REDACTED]","tokenish":"[REDACTED]"}'
+    assert got[1] == texts[1] and got[3] == "[1,2]" and got[4] == '"secret"' and got[5] is None
+    assert "y" not in got[2] and got[2].count("[REDACTED]") == 2
+    assert mask_json('{"token":{},"b":[]}') == '{"token":"[REDACTED]","b":[]}'
+
+
+def test_variant_that_cannot_be_masked_is_refused(spark):
+    import pytest
+
+    from rowforge.functions.redaction import redact_keys
+
+    df = spark.sql("select array(parse_json('{\"password\":1}')) as a")
+    with pytest.raises(ValueError):
+        redact_keys(df)
+
+
+def test_collection_groups_at_any_depth(spark, tmp_path):
+    from rowforge.sources import documents as docs
+
+    root = str(tmp_path / "store")
+    for depth in (0, 1, 5, 6, 9):
+        below = "".join(f"/c{i}/d{i}" for i in range(depth))
+        spark.createDataFrame([(depth,)], "depth int").write.parquet(f"{root}{below}/wanted")
+    spark.createDataFrame([(99,)], "depth int").write.parquet(f"{root}/c0/d0/other")
+    found = docs.scan_collection_group(spark, root, "wanted")
+    assert sorted(r["depth"] for r in found.collect()) == [0, 1, 5, 6, 9]
+    typed = docs.scan_collection_group(spark, root, "wanted", found.schema)
+    assert typed.count() == 5
+    assert docs.scan_query(spark, root, "wanted", {"collectionGroup": True}).count() == 5
+    assert docs.scan_query(spark, root, "wanted", {}).count() == 1
+    assert docs.scan_collection_group(spark, root, "absent", found.schema).count() == 0

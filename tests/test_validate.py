@@ -132,3 +132,15 @@ def test_parameters(spark):
         "c": ("fin", None),
         "d": (None, "type"),
     }
+
+
+def test_numbers_beyond_64_bits_are_out_of_range_and_no_type_error(spark):
+    from rowforge.operators.validate import validate_rows
+
+    rows = [("1e30", "1e30"), ("inf", "nan"), ("2.9", "1"), ("-9e25", "7")]
+    df = spark.createDataFrame(rows, "pclass string, sibsp string")
+    got = [r["first_issue"] for r in validate_rows(df).collect()]
+    by_field = [{(i["field"], i["issue"]) for i in r["issues"]} for r in validate_rows(df).collect()]
+    assert by_field[0] == {("pclass", "invalid_value"), ("sibsp", "out_of_range")}
+    assert by_field[1] == {("pclass", "not_integer"), ("sibsp", "not_integer")}
+    assert got[2] is None and by_field[3] == {("pclass", "invalid_value")}
