@@ -30,10 +30,6 @@ EMPTY_ISSUE = "empty_after_sanitization"
 #: Unicode white space, with the four separators that count as space in text code.
 _SPACE = r"[\s\x1c-\x1f]"
 
-SANITIZED = T.StructType(
-    [T.StructField("value", T.StringType()), T.StructField("issue", T.StringType())]
-)
-
 
 def has_control_chars(text: Column) -> Column:
     return text.rlike(CONTROL_PATTERN)
@@ -103,6 +99,12 @@ def content_issue(text: Column) -> Column:
     )
 
 
+def normalize_case(text: Column, upper: bool = False) -> Column:
+    """Trimmed text in lower or upper case."""
+    trimmed = F.trim(text)
+    return F.upper(trimmed) if upper else F.lower(trimmed)
+
+
 def clean_text(text: Column) -> Column:
     """Normalise, escape and squeeze, without any check."""
     return squeeze_whitespace(html_escape(nfkc(text)))

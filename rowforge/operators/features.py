@@ -4,21 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Columns without predictive use, age bands, feature order.
+# Columns without predictive use, age bands.
 UNUSED_COLUMNS = ["name", "ticket", "cabin", "boat", "body", "home.dest"]
 AGE_EDGES = [0, 18, 35, 60, 100]
-FEATURE_COLUMNS = [
-    "pclass",
-    "sex",
-    "age",
-    "sibsp",
-    "parch",
-    "fare",
-    "embarked",
-    "family_size",
-    "is_alone",
-    "age_group",
-]
 
 
 def drop_columns(df: DataFrame, names: list[str] = UNUSED_COLUMNS) -> DataFrame:

@@ -7,7 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Severities, startup checks, resource limits and error codes.
+# Severities, startup checks, resource limits, error codes and messages.
 STATUSES = ["healthy", "degraded", "unhealthy"]
 STARTUP_CHECKS = ["ml_models", "preprocessor", "configuration", "model_files"]
 RESOURCE_LIMITS = {
@@ -29,6 +29,10 @@ ERROR_STATUS = {
     "BUSINESS_LOGIC_ERROR": 422,
 }
 DEFAULT_ERROR_STATUS = 500
+UNHEALTHY_MESSAGE = "Service unhealthy: %d critical issues"
+DEGRADED_MESSAGE = "Service degraded: %d warnings"
+HEALTHY_MESSAGE = "All systems operational"
+STARTUP_MESSAGE = "Startup validation failed: Startup checks failed: "
 
 
 class StartupError(RuntimeError):
@@ -88,10 +92,10 @@ def status_rollup(checks: DataFrame, *by: str) -> DataFrame:
             .otherwise("healthy"),
             "message": F.when(
                 unhealthy > 0,
-                F.format_string("Service unhealthy: %d critical issues", unhealthy),
+                F.format_string(UNHEALTHY_MESSAGE, unhealthy),
             )
-            .when(degraded > 0, F.format_string("Service degraded: %d warnings", degraded))
-            .otherwise("All systems operational"),
+            .when(degraded > 0, F.format_string(DEGRADED_MESSAGE, degraded))
+            .otherwise(HEALTHY_MESSAGE),
         }
     )
 
@@ -114,7 +118,7 @@ def startup_gate(checks: DataFrame) -> DataFrame:
             f"{r['name']}: {r['message']}"
             for r in sorted(rows, key=lambda r: STARTUP_CHECKS.index(r["name"]))
         )
-        raise StartupError(f"Startup validation failed: Startup checks failed: {listed}")
+        raise StartupError(STARTUP_MESSAGE + listed)
     return failed
 
 

@@ -8,6 +8,7 @@ from ..functions.scores import ensemble_mean, linear_score
 from ..functions.text import words
 from ..operators.preparation import Preparation
 from ..operators.training import TrainingRun, split_rows, train
+from ..sources.files import file_state
 from ..sources.tables import Tables
 from .registry import FIRST_INTERCEPT, FIRST_MODEL, SECOND_INTERCEPT, SECOND_MODEL
 
@@ -26,7 +27,7 @@ CODED = [
     "age_group",
 ]
 
-_TRAINED: dict[tuple[str, str], TrainingRun] = {}
+_TRAINED: dict[tuple, TrainingRun] = {}
 
 
 def prepared(t: Tables) -> DataFrame:
@@ -45,9 +46,13 @@ def linear_scores(t: Tables) -> DataFrame:
 
 
 def trained(t: Tables) -> TrainingRun:
-    """The training run of this folder, done once per application."""
-    key = (t.spark.sparkContext.applicationId, t.root)
+    """The training run of these files, done once per application; other files under the
+    same path, or changed ones, are trained on anew."""
+    state = file_state(t.spark, f"{t.root}/orders.parquet")
+    key = (t.spark.sparkContext.applicationId, t.root, state)
     if key not in _TRAINED:
+        for old in [k for k in _TRAINED if k[:2] == key[:2]]:
+            del _TRAINED[old]
         _TRAINED[key] = train(t.passengers)
     return _TRAINED[key]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import formats, numbers, scores
+from ..functions.text import normalize_case
 from ..operators import health
 from ..operators.features import age_group, age_group_legacy, make_passenger_rows
 from ..operators.preparation import Preparation
@@ -535,8 +536,8 @@ def normalize_case_plan(t: Tables) -> DataFrame:
     pad = F.lit("  ")
     return t["customer"].select(
         "c_custkey",
-        F.lower(F.trim(F.concat(pad, "c_mktsegment", pad))).alias("lowered"),
-        F.upper(F.trim(F.concat(pad, "c_name", pad))).alias("uppered"),
+        normalize_case(F.concat(pad, "c_mktsegment", pad)).alias("lowered"),
+        normalize_case(F.concat(pad, "c_name", pad), upper=True).alias("uppered"),
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +73,50 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Scratch paths handed out and not yet removed, per application.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/rowforge/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, removed when the application ends or by
+    ``clean_up``."""
+    application = spark.sparkContext.applicationId
+    if application not in _SCRATCH:
+        _SCRATCH[application] = []
+        # registered after the session's own hooks, so it runs while the session is there
+        atexit.register(_clean_up_at_exit, spark, application)
+    path = f"{shared_dir(spark)}/rowforge/{name}-{uuid.uuid4().hex}"
+    _SCRATCH[application].append(path)
+    return path
+
+
+def clean_up(spark: SparkSession, since: int = 0) -> int:
+    """Removes the scratch paths of this application, from the ``since``-th on, and nothing
+    else; returns their number. Frames that read them must not be used any more."""
+    from .sources.files import remove_paths
+
+    held = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    gone = held[since:]
+    remove_paths(spark, gone)
+    del held[since:]
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what the block has written to scratch paths when it ends. Results have to be
+    written or collected inside the block."""
+    before = len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        clean_up(spark, before)
+
+
+def _clean_up_at_exit(spark: SparkSession, application: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and context.applicationId == application:
+        clean_up(spark)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.formats import bytes_in
 
 CORRUPT = "_corrupt_record"
 
-#: Header names and types of the raw passenger file; the last six are dropped later.
+# The field names and types of the raw passenger file and of log events.
 PASSENGER_CSV = T.StructType(
     [
         T.StructField("passenger_id", T.LongType()),
@@ -64,6 +64,20 @@ def list_folders(spark: SparkSession, pattern: str) -> list[str]:
     return [str(s.getPath()) for s in system.globStatus(target) or [] if s.isDirectory()]
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of a file, or of the files of a folder: changes when they do."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = system.listStatus(target) if system.exists(target) else []
+    return tuple(sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in listed))
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def require_paths(spark: SparkSession, paths: list[str]) -> None:
     missing = [path for path in paths if not path_exists(spark, path)]
     if missing:
