@@ -13,7 +13,8 @@ from .registry import PASSENGERS, query
 @query(
     "order_by",
     PASSENGERS
-    + """select passenger_id, pclass, fare from passengers where fare is not null""",
+    + """select passenger_id, pclass, fare from passengers where fare is not null
+       order by pclass, fare desc, passenger_id""",
 )
 def order_by_plan(t: Tables) -> DataFrame:
     order = [("pclass", "ASC"), ("fare", "desc")]
@@ -98,7 +99,8 @@ def cursor_page_plan(t: Tables) -> DataFrame:
     "cursor_between",
     """select o_orderkey, o_totalprice from orders
        where (o_totalprice < 400000.0 or (o_totalprice = 400000.0 and o_orderkey > 500))
-         and o_totalprice >= 100000.0""",
+         and o_totalprice >= 100000.0
+       order by o_totalprice desc, o_orderkey""",
 )
 def cursor_between_plan(t: Tables) -> DataFrame:
     return dq.doc_query(

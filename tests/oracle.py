@@ -47,9 +47,21 @@ def _plain(value):
     return value
 
 
-def normalized(columns, rows):
+def normalized(columns, rows, ordered=False):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=lambda r: repr(r))
+    plain = [tuple(_plain(row[i]) for i in order) for row in rows]
+    return plain if ordered else sorted(plain, key=lambda r: repr(r))
+
+
+def is_ordered(sql: str) -> bool:
+    """Whether the whole result has an order: an ``order by`` outside all parentheses."""
+    after = sql.lower().rpartition("order by")[2] if "order by" in sql.lower() else ")"
+    depth = 0
+    for char in after:
+        depth += (char == "(") - (char == ")")
+        if depth < 0:
+            return False
+    return True
 
 
 def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
@@ -57,8 +69,9 @@ def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> list[str
     relation = con.execute(sql)
     theirs_columns = [d[0] for d in relation.description]
     theirs_types = {d[0]: str(d[1]) for d in relation.description}
-    theirs = normalized(theirs_columns, relation.fetchall())
-    ours = normalized(df.columns, [tuple(r) for r in df.collect()])
+    ordered = is_ordered(sql)
+    theirs = normalized(theirs_columns, relation.fetchall(), ordered)
+    ours = normalized(df.columns, [tuple(r) for r in df.collect()], ordered)
     problems = []
     if sorted(df.columns) != sorted(theirs_columns):
         return [f"columns {sorted(df.columns)} != {sorted(theirs_columns)}"]
