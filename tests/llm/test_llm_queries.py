@@ -32,10 +32,12 @@ COLUMNS = {
 def test_query_agrees_with_its_sql(spark, name):
     from oracle import compare, connect
 
-    assert compare(QUERIES[name](spark, SMALL), connect(SMALL), ORACLES[name]) == []
+    df = QUERIES[name](spark, SMALL)
+    assert set(COLUMNS[name.split("_")[0]]) <= set(df.columns)
+    assert compare(df, connect(SMALL), ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_has_the_agreed_columns(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert set(COLUMNS[name.split("_")[0]]) <= set(df.columns)
