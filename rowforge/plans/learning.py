@@ -163,11 +163,12 @@ def ensemble_predict_plan(t: Tables) -> DataFrame:
     )
 
 
-def _flat(scored: DataFrame) -> DataFrame:
-    """The score record in columns."""
+def _flat(scored: DataFrame, *kept: str) -> DataFrame:
+    """The score record in columns, behind the id and other columns to keep."""
     models, joint = F.col("score.individual_models"), F.col("score.ensemble_result")
     return scored.select(
         "passenger_id",
+        *kept,
         models["logistic_regression"]["probability"].alias("lr_probability"),
         models["logistic_regression"]["prediction"].alias("lr_prediction"),
         models["decision_tree"]["probability"].alias("dt_probability"),
@@ -189,7 +190,7 @@ _ALL_SCORED = PASSENGERS + "select passenger_id, {} from passengers".format(
 def _record_checks(t: Tables, served: bool) -> DataFrame:
     """Score records against what both probabilities say, rule by rule."""
     scored = trained(t).score(t.spread.passengers, served=served)
-    flat = _flat(scored).join(scored.select("passenger_id", "lr_prob", "dt_prob"), "passenger_id")
+    flat = _flat(scored, "lr_prob", "dt_prob")
     p1, p2 = F.col("lr_prob"), F.col("dt_prob")
     mean = (p1 + p2) / 2
     exact = {"lr": p1, "dt": p2, "": mean}
