@@ -8,8 +8,9 @@ too far from that centroid: beyond the distance that covers nearly all training
 that language by more than ``REACH`` of the way to having nothing in common.
 
 Training reads a bounded sample, ``SAMPLE`` documents of each language in the order of a
-hash of their ids; every language is clustered in a task of its own. Prediction reads whole
-texts of all documents and holds only the centroids: languages x clusters x places.
+hash of their ids, one for each id; every language is clustered in a task of its own.
+Prediction reads whole texts of all documents and holds only the centroids: languages x
+clusters x places.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected, as
 is every text when nothing was learned; a null id is never held out; equal rows are judged
@@ -68,7 +69,9 @@ def grams(text: str | None, places: int = PLACES) -> tuple[np.ndarray, np.ndarra
     # one gap between words, one before and one after the text
     first_gap = ~letter
     first_gap[1:] &= letter[:-1]
-    kept = np.concatenate([[GAP], mapped[letter | first_gap], [GAP]]).astype(np.uint64)
+    inner = mapped[letter | first_gap]
+    inner = inner[int(inner[0] == GAP) : len(inner) - int(inner[-1] == GAP)]
+    kept = np.concatenate([[GAP], inner, [GAP]]).astype(np.uint64)
     found = []
     total = np.zeros(len(kept), np.uint64)
     for n in (1, 2, 3):
@@ -153,12 +156,15 @@ def train(
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     ).withColumn("turn", F.xxhash64("id"))
-    # one row per language
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # one row per language; rows that share an id are drawn as one
+    ids = known.groupBy("lang").agg(F.approx_count_distinct("turn").alias("n"))
+    counts = {r["lang"]: r["n"] for r in ids.collect()}
     if not counts:
         return Centroids([], np.zeros((0, places)), np.zeros(0), np.zeros(places))
     every = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, n // sample))])
     drawn = known.where(F.pmod(F.col("turn"), F.element_at(every, F.col("lang"))) == 0)
+    first = F.min(F.struct("id", "text")).alias("d")
+    drawn = drawn.groupBy("lang", "turn").agg(first).select("lang", "turn", "d.id", "d.text")
 
     @F.pandas_udf("struct<places:array<int>,numbers:array<int>>")
     def count_grams(texts: pd.Series) -> pd.DataFrame:
