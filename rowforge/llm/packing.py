@@ -17,10 +17,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -30,9 +32,14 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 
-#: Words whose ids a Python worker keeps at a time, and the longest of them.
-KEPT_WORDS = 250_000
+#: Fragments whose ids a Python worker keeps at a time, and the longest of them.
+KEPT_WORDS = 500_000
 KEPT_LENGTH = 40
+#: Letters whose lower case does not hang on their neighbours; texts with others are left
+#: to the tokenizer as they are.
+_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+#: A word of lower-case Latin letters with punctuation behind it: two separate tokens runs.
+_WORD_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -45,32 +52,80 @@ class WordIds:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token reaches across a space or a line break,
-    so the ids of a text are those of its fragments in order. Fragments come back often;
-    a bounded number of them is kept.
+    nor from a word to the punctuation behind it, so the ids of a text are those of its
+    fragments in order. Fragments come back often; a bounded number of them is kept, those
+    used last.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
-
-    def _encode(self, fragments: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch(fragments, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, fragments: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(fragments, add_special_tokens=False)
+        return {f: np.array(x.ids, "<u4").tobytes() for f, x in zip(fragments, found)}
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters: a run of them is one text, as each ends with an end."""
+        out: dict[str, bytes] = {}
+        runs = [words[at : at + 256] for at in range(0, len(words), 256)]
+        texts = self.tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False)
+        for run, text in zip(runs, texts):
+            ids = np.array(text.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(run):
+                out |= self._encode(run)
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(run, ends):
+                out[word] = raw[start:end]
+                start = end
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        kept, older = self.kept, self.older
+        found: dict[str, bytes] = {}
+        parts, words, others = {}, set(), set()
+        for fragment in missing:
+            if (ids := older.get(fragment)) is not None:
+                found[fragment] = ids
+            elif match := _WORD_AND_MARKS.fullmatch(fragment):
+                parts[fragment] = match.groups()
+                words.add(match[1])
+                others.add(match[2])
+            else:
+                others.add(fragment)
+        known = {x: kept.get(x) or older.get(x) for x in words | others if x in kept or x in older}
+        known |= self._encode_words([w for w in words if w not in known])
+        known |= self._encode([x for x in others if x not in known])
+        for fragment in missing:
+            if fragment not in found:
+                word, marks = parts.get(fragment, (fragment, ""))
+                found[fragment] = known[word] + known[marks] if marks else known[word]
+        return found
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {"": b""}
+        split = [
+            (text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts
+        ]
+        if len(self.kept) > KEPT_WORDS // 2:
+            self.kept, self.older = {"": b""}, self.kept
         kept = self.kept
-        missing = list({word for words in split for word in words if word not in kept})
-        fresh = dict(zip(missing, self._encode(missing)))
-        kept.update((word, ids) for word, ids in fresh.items() if len(word) <= KEPT_LENGTH)
-        known = kept if all(len(word) <= KEPT_LENGTH for word in fresh) else {**kept, **fresh}
-        return [b"".join([known[word] for word in words]) for words in split]
+        rows = [list(map(kept.get, words)) for words in split]
+        fresh = self._learn(
+            {w for words, ids in zip(split, rows) if None in ids for w, i in zip(words, ids) if i is None}
+        )
+        kept.update((w, ids) for w, ids in fresh.items() if len(w) <= KEPT_LENGTH)
+        return [
+            b"".join([fresh[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
+            for words, ids in zip(split, rows)
+        ]
 
 
 @lru_cache(maxsize=2)
