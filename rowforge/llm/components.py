@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import durable
 
 
-def _fingerprint(edges: DataFrame):
-    return edges.agg(
-        F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    ).first()
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex is a leaf of one edge ``u, v`` or a root, never both."""
+    ends = F.array(
+        F.struct(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("root")),
+        F.struct(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("root")),
+    )
+    roles = edges.select(F.inline(ends)).groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+    return not roles.agg(F.count_if((F.col("leaf") > 1) | (F.col("leaf") + F.col("root") > 1))).first()[0]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,14 +48,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def tidy(found: DataFrame) -> DataFrame:
         return durable(found.where("u != v").distinct())
 
-    edges = tidy(edges.select("u", "v"))
-    before = _fingerprint(edges)
-    while True:
+    # larger to smaller from the start: then stars are all that is left to reach
+    edges = tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    while not _are_stars(edges):
         edges = tidy(_small_star(_large_star(edges)))
-        after = _fingerprint(edges)
-        if after == before:
-            break
-        before = after
     leaves = edges.select("u", F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
     return durable(leaves.union(roots))

@@ -3,11 +3,12 @@
 1. Every text becomes a set of shingles and a signature from two permutations (see
    ``shingles``). Texts with equal sets form a class, so copies are never compared.
 2. Classes meet in buckets, one per band. A bucket is a star: its members are compared
-   with its smallest member, the pivot they share most bands with first.
+   with its smallest member.
 3. What a star leaves open is closed exactly: where members of a bucket are still in
    different components, every member outside the bucket's largest component is compared
-   with all members of other components. A bucket in which too many are outside is first
-   split by a second band, which pairs above the threshold share as well.
+   with all members of other components. Where that would be many pairs, as among copies
+   just below the threshold, members first have to share one of their rarest shingles,
+   which no pair above the threshold can do without.
 4. Comparisons read the full sets; only links confirmed there count. Components of the
    links, taken over classes, are the groups.
 
@@ -44,10 +45,8 @@ THRESHOLD = 85
 BANDS = 40
 ROWS = 6
 
-#: Members outside the largest component up to which a bucket is compared as it is.
-OPEN_MEMBERS = 64
-#: Times an open bucket is split by a further band; afterwards it is compared as it is.
-SPLITS = 2
+#: Pairs of different components up to which a bucket is compared as it is.
+SMALL_BUCKET = 256
 
 _SIGNED = "id long, digest string, n_shingles long, k1 long, k2 long, bands array<long>"
 
@@ -131,30 +130,29 @@ class _Links:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, threshold: int):
         self.docs, self.classes, self.width, self.threshold = docs, classes, width, threshold
-        self.edges: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.components: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Compares the pairs ``u, v`` not yet compared and takes the confirmed ones in."""
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        """Compares the distinct pairs ``u, v`` and takes the confirmed ones in."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
         pairs = durable(pairs)
-        if pairs.isEmpty():
-            return
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct()
-        wanted = self.classes.join(wanted, "v").select("v", "id", "k1", "k2")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("v"))
+        wanted = self.classes.join(wanted, "v", "left_semi").select("v", "id", "k1", "k2")
         sets = durable(_sets(self.docs, wanted, self.width).dropDuplicates(["v"]))
         compared = (
-            pairs.join(sets.select(F.col("v").alias("u"), F.col("shingles").alias("left")), "u")
-            .join(sets.select("v", F.col("shingles").alias("right")), "v")
+            pairs.join(sets.select("v", F.col("shingles").alias("right")), "v")
+            .join(sets.select(F.col("v").alias("u"), F.col("shingles").alias("left")), "u")
             .where(_alike(self.threshold)("left", "right"))
         )
         edges = durable(compared.select("u", "v"))
-        self.edges = edges if self.edges is None else self.edges.union(edges)
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        self.components = connected_components(self.edges)
+        if edges.isEmpty():
+            return
+        if self.components is not None:  # what is linked already, as stars
+            edges = edges.union(self.components.select("u", F.col("component").alias("v")))
+        self.components = connected_components(edges)
 
     def labelled(self, rows: DataFrame, key: str = "v", name: str = "component") -> DataFrame:
         """Adds the component of a class; a class without links is its own."""
@@ -164,39 +162,64 @@ class _Links:
         return rows.join(of, key, "left").withColumn(name, F.coalesce("__c", key)).drop("__c")
 
 
-def _open_pairs(members: DataFrame, links: _Links, threshold: int) -> DataFrame:
-    """Pairs of different components that still meet in a bucket (``key, v, n, bands, i``)."""
-    found = None
-    for split in range(SPLITS + 1):
-        members = durable(links.labelled(members.drop("component")))
-        per_component = members.groupBy("key", "component").agg(F.count("*").alias("many"))
-        buckets = durable(
-            per_component.groupBy("key")
-            .agg(
-                F.sum("many").alias("all"),
-                F.max(F.struct("many", "component")).alias("top"),
-                F.count("*").alias("components"),
-            )
-            .where("components > 1")
-            .select("key", F.col("top.component").alias("largest"), (F.col("all") - F.col("top.many")).alias("outside"))
-        )
-        is_open = F.col("outside") > OPEN_MEMBERS if split < SPLITS else F.lit(False)
-        small = members.join(buckets.where(~is_open), "key")
-        a = small.where("component != largest").select("key", F.col("v").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-        b = small.select("key", "v", "n", "component")
-        pairs = a.join(b, "key").where("cu != component").where(_near_sizes("nu", "n", threshold)).select("u", "v")
-        found = pairs if found is None else found.union(pairs)
-        wide = buckets.where(is_open)
-        if split == SPLITS or wide.isEmpty():
-            return found
-        # members that share a further band stay together, as similar ones do
-        members = (
-            members.join(wide.select("key"), "key")
-            .select("key", "v", "n", "bands", F.posexplode("bands").alias("j", "band"), "i")
-            .where("j > i")
-            .select(F.xxhash64("key", "band").alias("key"), "v", "n", "bands", F.col("j").alias("i"))
+def _cross_pairs(rows: DataFrame, threshold: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``u, v`` of different components that share a key (``key, v, n, component``):
+    members outside the key's largest component with all others. With ``most``, only of keys
+    with so many pairs at most; the second frame holds the other keys."""
+    per_component = rows.groupBy("key", "component").agg(F.count("*").alias("many"))
+    keys = durable(
+        per_component.groupBy("key")
+        .agg(
+            F.sum("many").alias("all"),
+            F.max(F.struct("many", "component")).alias("top"),
+            F.count("*").alias("components"),
         )
-    return found
+        .where("components > 1")
+        .select("key", F.col("top.component").alias("largest"), ((F.col("all") - F.col("top.many")) * F.col("all")).alias("pairs"))
+    )
+    few = F.col("pairs") <= most if most is not None else F.lit(True)
+    here = rows.join(keys.where(few), "key")
+    outside = here.where("component != largest").select(
+        "key", F.col("v").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")
+    )
+    pairs = outside.join(here.select("key", "v", "n", "component"), "key")
+    pairs = pairs.where("cu != component").where(_near_sizes("nu", "n", threshold))
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return pairs, keys.where(~few).select("key")
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``v, key`` for every shingle of a set."""
+    for batch in batches:
+        for v, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), v)), pa.array(keys)], ["v", "key"])
+
+
+def _prefix_pairs(members: DataFrame, links: _Links, threshold: int) -> DataFrame:
+    """Pairs of different components among ``v, n, component`` that can reach the threshold.
+
+    Two such sets share one of the rarest ``n - threshold * n + 1`` shingles of either, so
+    classes meet in these alone, and one that has nearly all of them for itself meets none.
+    """
+    wanted = links.classes.join(members.select("v"), "v").select("v", "id", "k1", "k2")
+    sets = _sets(links.docs, wanted, links.width).dropDuplicates(["v"])
+    single = durable(sets.mapInArrow(_prefixes, "v long, key long"))
+    known = single.groupBy("key").agg(F.count("*").alias("df"))
+    ranked = single.join(known, "key").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ranked"))
+    rarest = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
+    rows = ranked.join(members, "v").select("v", "n", "component", F.inline(rarest)).where("df > 1").drop("df")
+    return _cross_pairs(durable(rows), threshold)[0]
+
+
+def _open_pairs(members: DataFrame, links: _Links, threshold: int) -> DataFrame:
+    """Pairs of different components that still meet in a bucket (``key, v, n``)."""
+    members = durable(links.labelled(members))
+    pairs, wide = _cross_pairs(members, threshold, SMALL_BUCKET)
+    if wide.isEmpty():
+        return pairs.distinct()
+    met = members.join(wide, "key", "left_semi").select("v", "n", "component").distinct()
+    return pairs.union(_prefix_pairs(durable(met), links, threshold)).distinct()
 
 
 def near_duplicates(
@@ -214,26 +237,16 @@ def near_duplicates(
         .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .withColumn("v", F.monotonically_increasing_id())
     )
-    placed = classes.select("v", "n", F.posexplode("bands").alias("i", "key"))
-    buckets = durable(
-        placed.groupBy("key").agg(F.count("*").alias("many"), F.min("v").alias("pivot"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-        .where("many > 1")
-        .select("key", "pivot")
-    )
-    members = durable(placed.join(buckets, "key"))
-    sizes = classes.select(F.col("v").alias("pivot"), F.col("n").alias("np"))
-    stars = durable(
-        members.where("v != pivot").groupBy("v", "pivot").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-        .join(sizes, "pivot").where(_near_sizes("n", "np", threshold))
-        .select("v", "pivot", "shared")
-    )
+    placed = classes.select("v", "n", F.explode("bands").alias("key"))
+    pivot = F.min(F.struct("v", "n"))
+    buckets = placed.groupBy("key").agg(pivot.alias("pivot"), F.count("*").alias("many")).where("many > 1")
+    members = durable(placed.join(buckets.select("key", "pivot"), "key"))
+    # every member with the smallest one of its bucket, once for all buckets they share
+    stars = members.where("v != pivot.v").where(_near_sizes("n", "pivot.n", threshold))
+    stars = stars.select(F.col("pivot.v").alias("u"), "v").distinct()
     links = _Links(docs, classes, width, threshold)
-    nearest = stars.groupBy("v").agg(F.max(F.struct("shared", -F.col("pivot"))).alias("best"))
-    links.confirm(nearest.select(F.col("v").alias("u"), (-F.col("best.col2")).alias("v")))
-    apart = links.labelled(links.labelled(stars.select("v", "pivot"), "v", "cu"), "pivot", "cv").where("cu != cv")
-    links.confirm(apart.select(F.col("v").alias("u"), F.col("pivot").alias("v")))
-    inside = members.select("key", "v", "n", "i").join(classes.select("v", "bands"), "v")
-    links.confirm(_open_pairs(inside, links, threshold))
+    links.confirm(stars)
+    links.confirm(_open_pairs(members.select("key", "v", "n"), links, threshold))
 
     named = links.labelled(classes.select("v", "id", "k1", "k2"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -67,8 +67,8 @@ def corpus():
     return [(i, rows[k]) for i, k in enumerate(order)]
 
 
-def run(spark, rows, **options):
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+def run(spark, data, **options):
+    df = spark.createDataFrame(data, "doc_id long, text string")
     return df, neardup.near_duplicates(df, **options).collect()
 
 
@@ -81,7 +81,7 @@ def test_groups_agree_with_brute_force(spark):
 
 def test_open_buckets_are_closed_exactly(spark, monkeypatch):
     """With one row per band buckets are full of strangers; groups must not change."""
-    monkeypatch.setattr(neardup, "OPEN_MEMBERS", 3)
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
     rows = corpus()
     _, got = run(spark, rows, bands=24, rows=2)
     assert sorted(tuple(r)[:3] for r in got) == sorted(brute(rows))
