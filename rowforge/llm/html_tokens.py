@@ -30,10 +30,12 @@ SECTIONS = frozenset("article aside body footer form header html main nav sectio
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*)(?:>|\Z)",
+    # a quote opens a value after = only, and only if it is closed; no step is ever taken back
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Every attribute, so that the text of a value is not read as one.
+_ATTRIBUTE = re.compile(r"([^\s/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s]*+)))?+")
 #: Numbers in names differ from page to page.
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
@@ -56,7 +58,7 @@ def _label(name: str, attributes: str) -> str:
         value = found[2] or found[3] or found[4] or ""
         if key in ("class", "id", "role"):
             marks += value.lower().split()
-        elif key == "hidden" or "display:none" in value.replace(" ", "").lower():
+        elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
             marks.append("hidden")
     return " ".join([name, *sorted({_DIGITS.sub("0", m) for m in marks})])
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -35,6 +36,22 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize("size", [4096, 4097, 100_000])
+def test_tags_with_long_attributes(size):
+    value = "a>b " * (size // 4) + "c" * (size % 4)
+    assert texts(f'<p>x<img src="{value}">y</p>') == ["xy"]
+    (one, two) = blocks(f"<div data-a='{value}' class=k>x</div><nav data-b=\"{value} class='no' hidden\" id=n>y</nav>")
+    assert (one.path, two.path) == (("div k",), ("nav n",)) and w.outside(two.path)
+
+
+def test_stray_quotes_take_no_text_and_no_time():
+    assert texts("<p class=o'brien>it's</p><p title=\"open>z</p>") == ["it's", "z"]
+    start = time.process_time()
+    texts("<a b=\"c' " * 50_000 + "'")
+    texts("<a <a" * 50_000 + "\"")
+    assert time.process_time() - start < 5
+
+
 def parts(keys):
     from rowforge.llm.html_tokens import Block
 
