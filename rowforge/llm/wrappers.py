@@ -3,9 +3,9 @@
 A page is a stream of blocks, each known by the elements around it. Streams of one host are
 aligned one after another; where they differ, the mismatch becomes a repeated group (equal
 neighbours), an optional part (blocks of one side only) or a text slot (equal places with
-different texts). The wrapper of a host says for each of its slots whether it belongs to
-the article, from the elements around it and from what the pages of the host have there;
-its pages are then read through it.
+different texts). The wrapper of a host says which of the slots that a page fills belong to
+the article, from the elements around them and from what the pages of the host have there;
+its pages are then read through it. Slots of other templates of the host have no say.
 
 Inference covers all pages without gathering a host in one task: pages are first reduced
 to shapes, the folded streams; statistics of equal shapes are summed by a grouped
@@ -14,8 +14,8 @@ host has one wrapper.
 
 Defined cases: a null or empty page has an empty text; a page without an address, or with
 one that has no host, belongs to the host named by an empty text; equal rows are read
-separately; a null id is carried; other columns are not read; a page that its wrapper does
-not accept is read by the elements around its blocks alone; an empty table gives an empty
+separately; a null id is carried; other columns are not read; of a page that its wrapper
+does not accept, blocks count as the slots with the same elements around them; an empty table gives an empty
 table.
 """
 
@@ -230,13 +230,17 @@ def load(text: str, figures: list[list[int]] | None = None) -> list[Part]:
 
 
 def choose(parts: list[Part]) -> list[bool]:
-    """For every slot in order, whether it belongs to the article.
+    """For every slot in order, whether it belongs to the article of a page that fills all."""
+    return chosen([s for p in parts for s in p.slots()])
+
+
+def chosen(slots: list[Slot]) -> list[bool]:
+    """For each of the slots that a page fills, whether it belongs to the article.
 
     The surest sign of an article among the slots decides. Without any, the article is the
     element whose own blocks hold most text that is neither in links nor the same on all
     pages, together with what lies inside it.
     """
-    slots = [s for p in parts for s in p.slots()]
     open_slots = [not outside(s.path) for s in slots]
     rank = max((article_rank(s.path) for s, o in zip(slots, open_slots) if o), default=0)
     if rank:
@@ -253,9 +257,9 @@ def choose(parts: list[Part]) -> list[bool]:
     return [o and s.path[: len(root)] == root for s, o in zip(slots, open_slots)]
 
 
-def read(stream: list[Block], parts: list[Part], chosen: list[bool]) -> list[bool] | None:
-    """Whether each block of a page is article, or None if the wrapper does not accept it."""
-    found: list[bool] = []
+def read(stream: list[Block], parts: list[Part], values: list) -> list | None:
+    """For each block of a page the value of its slot, or None if the wrapper does not accept it."""
+    found: list = []
     first: dict[int, set] = {}
 
     def heads(part: Part) -> set:
@@ -280,7 +284,7 @@ def read(stream: list[Block], parts: list[Part], chosen: list[bool]) -> list[boo
                 return False
             while here(part):
                 if part.slot:
-                    found.append(chosen[number])
+                    found.append(values[number])
                 elif not run(part.inner, number):
                     return False
                 if not part.repeated:
@@ -350,23 +354,39 @@ def infer_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 @lru_cache(maxsize=256)
-def _loaded(text: str) -> tuple[list[Part], list[bool], dict[tuple[str, ...], bool]]:
+def _loaded(text: str) -> tuple[list[Part], list[Slot], dict[tuple[str, ...], Slot]]:
     parts = load(text)
-    chosen = choose(parts)
-    by_path: dict[tuple[str, ...], bool] = {}
-    for slot, keep in zip((s for p in parts for s in p.slots()), chosen):
-        by_path[slot.path] = by_path.get(slot.path, False) or keep
-    return parts, chosen, by_path
+    slots = [s for p in parts for s in p.slots()]
+    by_path: dict[tuple[str, ...], Slot] = {}
+    for slot in slots:
+        by_path[slot.path] = by_path[slot.path].take(slot) if slot.path in by_path else slot
+    return parts, slots, by_path
+
+
+@lru_cache(maxsize=4096)
+def _chosen(text: str, filled: tuple[int, ...]) -> dict[int, bool]:
+    slots = _loaded(text)[1]
+    return dict(zip(filled, chosen([slots[i] for i in filled])))
 
 
 def article(page: str | None, wrapper: str | None) -> tuple[str, bool]:
     """Main text of a page, and whether its wrapper accepts it."""
     stream = blocks(page)
-    parts, chosen, by_path = _loaded(wrapper or "[]")
-    kept = read(stream, parts, chosen)
-    accepted = kept is not None
-    if not accepted:
-        kept = [by_path.get(b.path, not outside(b.path) and article_rank(b.path) > 0) for b in stream]
+    wrapper = wrapper or "[]"
+    parts, slots, by_path = _loaded(wrapper)
+    places = read(stream, parts, list(range(len(slots))))
+    accepted = places is not None
+    if accepted:
+        keep = _chosen(wrapper, tuple(sorted(set(places))))
+        kept = [keep[i] for i in places]
+    else:
+        own: dict[tuple[str, ...], Slot] = {}
+        for b in stream:  # no other page tells whether these are the same on all
+            slot = Slot(b.path, 1, len(b.text), b.linked, 0, 1)
+            own[b.path] = own[b.path].take(slot) if b.path in own else slot
+        filled = {path: by_path.get(path, slot) for path, slot in own.items()}
+        by = dict(zip(filled, chosen(list(filled.values()))))
+        kept = [by[b.path] for b in stream]
     return "\n".join(b.text for b, keep in zip(stream, kept) if keep), accepted
 
 

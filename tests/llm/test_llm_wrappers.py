@@ -123,6 +123,25 @@ def test_main_text_of_templates(spark, template):
         assert got[i]["n_chars"] == len(want) and got[i]["accepted"]
 
 
+def test_templates_of_a_host_do_not_suppress_each_other(spark):
+    rng = random.Random(5)
+    frames = ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div class=a>{}</div>", "<div class=b>{}</div>"]
+    rows, want = [], {}
+    for i in range(50):
+        kind = i % 5
+        words = [f"w{rng.randrange(999)}" for _ in range(20 if kind == 4 else 60)]
+        text = [f"Title {i}", " ".join(words[:10]), " ".join(words[10:])]
+        body = f"<h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p>"
+        top = f"<nav><a href=/>home {i}</a></nav>"
+        rows.append((i, None if i >= 25 else "http://h/x", f"<body>{top}{frames[kind].format(body)}<footer>f {i}</footer></body>"))
+        want[i] = "\n".join(text)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in w.main_text(df).collect()} == want
+    # a wrapper that accepts none of the pages still does not decide for other templates
+    other = w.dump(w.shape_of(blocks("<article><h2>x</h2></article>")))
+    assert all(w.article(html, other) == (want[i], False) for i, _, html in rows)
+
+
 def test_wrappers_do_not_hang_on_the_size_of_groups(spark):
     rng = random.Random(8)
     rows = [("h", page(i, rng, "article")[0]) for i in range(40)]
