@@ -25,6 +25,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import compress
 
 import pandas as pd
 import pyarrow as pa
@@ -40,7 +41,7 @@ GROUP = 200
 LONGEST_GROUP = 6
 
 # Elements and words of class, id or role around what is not the article.
-NOT_ARTICLE = frozenset("nav footer aside form menu dialog button select figure figcaption legend".split())
+NOT_ARTICLE = frozenset("nav footer aside form menu dialog button select legend".split())
 NOT_ARTICLE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs "
     "comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus "
@@ -49,10 +50,23 @@ NOT_ARTICLE_WORDS = frozenset(
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: First parts of class words that only say what a page has or has not, and last parts of
+#: those that name a place or a state of the layout.
+MODIFIERS = frozenset("has no with without is not".split())
+LAYOUT = frozenset(
+    "area free layout left right closed open fixed sticky visible active inactive enabled disabled on off page site wide".split()
+)
 ARTICLE_ELEMENTS = ("article", "main")
 ARTICLE_WORDS = frozenset("article articlebody article-body content entry entry-content main post post-content story".split())
 
 
+def _says_outside(word: str) -> bool:
+    if word in NOT_ARTICLE_WORDS:
+        return True
+    parts = word.replace("_", "-").split("-")
+    return parts[0] not in MODIFIERS and parts[-1] not in LAYOUT and any(p in NOT_ARTICLE_WORDS for p in parts)
+
+
 def outside(path: tuple[str, ...]) -> bool:
     """Whether an element around a block says that it is not the article."""
     inside = False
@@ -60,14 +74,20 @@ def outside(path: tuple[str, ...]) -> bool:
         name, *words = label.split()
         if name in NOT_ARTICLE or name == "header" and not inside:
             return True
-        if name not in ("html", "body", *ARTICLE_ELEMENTS):
-            for word in words:
-                if word in NOT_ARTICLE_WORDS or any(p in NOT_ARTICLE_WORDS for p in word.replace("_", "-").split("-")):
-                    return True
+        if name not in ("html", "body", *ARTICLE_ELEMENTS) and any(map(_says_outside, words)):
+            return True
         inside = inside or name in ARTICLE_ELEMENTS
     return False
 
 
+def inner_path(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path from the first article or main element on, empty if there is none."""
+    for i, label in enumerate(path):
+        if label.split()[0] in ARTICLE_ELEMENTS:
+            return path[i:]
+    return ()
+
+
 def article_rank(path: tuple[str, ...]) -> int:
     """How surely a path is inside the article: 3 by element, 1 by a word, 0 not at all."""
     names = {label.split()[0] for label in path}
@@ -229,6 +249,11 @@ def load(text: str, figures: list[list[int]] | None = None) -> list[Part]:
     return [part(x) for x in json.loads(text)]
 
 
+def _own_text(slot: Slot) -> int:
+    """Characters neither in links nor the same on all pages."""
+    return 0 if slot.texts > 1 and slot.low == slot.high else slot.chars - slot.linked
+
+
 def choose(parts: list[Part]) -> list[bool]:
     """For every slot in order, whether it belongs to the article of a page that fills all."""
     return chosen([s for p in parts for s in p.slots()])
@@ -242,14 +267,19 @@ def chosen(slots: list[Slot]) -> list[bool]:
     pages, together with what lies inside it.
     """
     open_slots = [not outside(s.path) for s in slots]
+    inner = [inner_path(s.path) for s in slots]
+    if not any(o and p for o, p in zip(open_slots, inner)):
+        # all articles are in containers that speak against them: these decide nothing if most text is there
+        freed = [bool(p) and not outside(p) for p in inner]
+        if sum(map(_own_text, compress(slots, freed))) > sum(map(_own_text, compress(slots, open_slots))):
+            open_slots = freed
     rank = max((article_rank(s.path) for s, o in zip(slots, open_slots) if o), default=0)
     if rank:
         return [o and article_rank(s.path) >= rank for s, o in zip(slots, open_slots)]
     weight: dict[tuple[str, ...], int] = {}
     for s, o in zip(slots, open_slots):
         if o:
-            same = s.texts > 1 and s.low == s.high
-            weight[s.path[:-1]] = weight.get(s.path[:-1], 0) + (0 if same else s.chars - s.linked)
+            weight[s.path[:-1]] = weight.get(s.path[:-1], 0) + _own_text(s)
     if not weight:
         return open_slots
     top = max(weight.values())

@@ -142,6 +142,34 @@ def test_templates_of_a_host_do_not_suppress_each_other(spark):
     assert all(w.article(html, other) == (want[i], False) for i, _, html in rows)
 
 
+ORDINARY = ["site has-sidebar", "no-sidebar", "with-header", "ad-free", "widget-area"]
+
+
+@pytest.mark.parametrize("around", [f"<div class='{c}'>" for c in [*ORDINARY, "sidebar", "page-header"]] + ["<form>"])
+def test_containers_of_the_page_do_not_exclude_its_article(around):
+    page = f"{around}<nav>n</nav><article><h1>T</h1><p>text</p><div class=share>s</div></article></div>"
+    wrapper = w.dump(w.shape_of(blocks(page)))
+    assert w.article(page, wrapper) == ("T\ntext", True)
+
+
+@pytest.mark.parametrize("word", ORDINARY)
+def test_layout_words_do_not_exclude(word):
+    page = f"<div class='{word}'><h1>T</h1><p>text</p><div class='cookie-notice'>c</div><div class='related-posts'>r</div></div>"
+    assert w.article(page, w.dump(w.shape_of(blocks(page)))) == ("T\ntext", True)
+
+
+def test_articles_in_excluding_containers_give_way_to_others():
+    page = "<article><p>text</p></article><div class=related><article><p>other</p></article></div>"
+    assert w.article(page, w.dump(w.shape_of(blocks(page)))) == ("text", True)
+    page = "<div class=box><p>the text of the page</p></div><aside><article><p>other</p></article></aside>"
+    assert w.article(page, w.dump(w.shape_of(blocks(page)))) == ("the text of the page", True)
+
+
+def test_figures_belong_to_the_article():
+    page = "<article><p>a</p><figure><table><tr><td>b</td></tr></table><pre>c</pre><figcaption>d</figcaption></figure></article>"
+    assert w.article(page, w.dump(w.shape_of(blocks(page)))) == ("a\nb\nc\nd", True)
+
+
 def test_wrappers_do_not_hang_on_the_size_of_groups(spark):
     rng = random.Random(8)
     rows = [("h", page(i, rng, "article")[0]) for i in range(40)]
