@@ -13,6 +13,8 @@ from dataclasses import dataclass
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Their content is no markup.
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
+#: All that a head holds; anything else ends it.
+HEAD = frozenset("head title meta link base script style noscript template".split())
 #: They mark up words inside a block and begin none.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s "
@@ -82,8 +84,14 @@ def blocks(page: str | None) -> list[Block]:
             pieces.clear()
         linked = 0
 
+    def end_head() -> None:
+        if "head" in open_names:
+            close(open_names.index("head"))
+
     def say(text: str) -> None:
         nonlocal linked
+        if text and not text.isspace():
+            end_head()
         if text and "head" not in open_names:
             pieces.append(text)
             if links:
@@ -101,6 +109,8 @@ def blocks(page: str | None) -> list[Block]:
                 say(html.escape(markup[0][9:].removesuffix("]]>")))
             continue
         name, ending = markup[2].lower(), bool(markup[1])
+        if not ending and name not in HEAD:
+            end_head()
         if name in INLINE:
             if name == "a":
                 links = max(0, links - 1) if ending else links + 1
@@ -125,8 +135,6 @@ def blocks(page: str | None) -> list[Block]:
                 if open_names[depth] in SECTIONS and name not in SECTIONS:
                     break
             continue
-        if name == "body" and "head" in open_names:
-            close(open_names.index("head"))
         if name in ENDS_PARAGRAPH and open_names and open_names[-1] == "p":
             close(len(open_names) - 1)
         if name in ENDS_OWN_KIND and open_names and open_names[-1] == name:

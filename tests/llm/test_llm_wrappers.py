@@ -23,6 +23,10 @@ def texts(page):
         ("<div>x<script>var t='</p><p>no';</script>y</div>", ["xy"]),
         ("<style>p{}</style><!-- <p>no</p> --><p>a &amp;amp; b &eacute;&#233;&#xe9; &lt;p&gt;</p>", ["a &amp; b ééé <p>"]),
         ("<head><title>no</title></head><body><h1>T</h1>", ["T"]),
+        ("<html><head><title>T</title><article><p>a</p></article>", ["a"]),
+        ("<head><meta name=x><script>no</script> <link rel=y><p>a", ["a"]),
+        ("<head><title>T</title><b>a</b> b<p>c", ["a b", "c"]),
+        ("<head><title>T</title>a<p>b", ["a", "b"]),
         ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]),
         ("<p>1 < 2 & 3 > 2</p>", ["1 < 2 & 3 > 2"]),
         ("<p title='a>b' class=\"x>y\">t</p>", ["t"]),
