@@ -10,6 +10,9 @@ from rowforge.llm import language, mixing, neardup, packing, quality
 from rowforge.llm.common import read
 from rowforge.session import durable
 
+#: Per cent of the union that near duplicates share in the pipeline.
+NEAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -23,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, threshold=NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

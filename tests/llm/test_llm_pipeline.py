@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline
@@ -56,6 +57,34 @@ def test_each_stage_takes_effect(spark):
         frame.unpersist()
 
 
+def test_near_duplicates_agree_with_brute_force(spark):
+    """One document of each group of 0.8 or more, also between 0.80 and 0.85."""
+    rng = random.Random(6)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 5, 6, 8):
+            copy = list(words)
+            for at in rng.sample(range(200), edits):
+                copy[at] = f"x{base}-{edits}-{at}"
+            rows.append(" ".join(copy))
+    split = [t.split() for t in rows]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in split]
+    group, between = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            shared, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            between += 80 * union <= 100 * shared < 85 * union
+            if 100 * shared >= 80 * union:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert between > 20
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, DIR)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group))
+
+
 def test_run_gives_the_rows_of_the_stages(spark):
     got = corpus_pipeline.run(spark, DIR)
     again = corpus_pipeline.run(spark, DIR)
