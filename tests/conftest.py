@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-SMALL = "/root/testdata/sf0.001"
+from oracle import SMALL
 
 
 @pytest.fixture(scope="session")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+#: The folder of tables that tests use.
+SMALL = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

@@ -5,8 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SMALL
-from oracle import compare, connect
+from oracle import SMALL, compare, connect
 from rowforge import plans
 
 #: The queries of the training-data subpackage have tests of their own.
