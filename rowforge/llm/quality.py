@@ -135,17 +135,15 @@ def quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES)
     )
     passed = [rule.passes(q).alias(rule.name) for rule in rules]
     verdict = reduce(lambda a, b: a & b, [rule.passes(q) for rule in rules], F.lit(True))
-    return figures.select(
-        "row",
+    judged = (
         q.withField("base_failed", base_failed)
         .withField("passed", F.struct(*passed) if passed else F.lit(None))
         .withField("kept", ~base_failed & verdict)
-        .alias("q"),
     )
+    # explode keeps the optimiser from copying the whole projection into a filter on the result
+    return figures.select("row", F.explode(F.array(judged)).alias("q"))
 
 
 def drop_low_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    # explode keeps the optimiser from pushing the condition below and working twice
-    judged = quality(docs, text, rules).select("row", F.explode(F.array("q")).alias("q"))
-    return judged.where("q.kept").select("row.*")
+    return quality(docs, text, rules).where("q.kept").select("row.*")

@@ -94,7 +94,14 @@ def test_columns_are_carried_whatever_their_names(spark):
     assert q.drop_low_quality(df.limit(0)).collect() == []
 
 
-def test_verdict_is_computed_once(spark):
-    plan = q.drop_low_quality(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("sort_array") == 1
+def test_figures_are_computed_once(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for plan in (q.drop_low_quality(docs), q.quality(docs).where("q.kept and q.n_words > 3 and not q.base_failed")):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("sort_array") == 1 and text.count("regexp_extract_all") == 1
+
+
+def test_filter_on_the_verdict_ends(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    kept = {r[0] for r in q.drop_low_quality(docs).select("doc_id").collect()}
+    assert {r[0] for r in q.quality(docs).where("q.kept").select("row.doc_id").collect()} == kept
