@@ -39,7 +39,7 @@ KEPT_LENGTH = 40
 #: to the tokenizer as they are.
 _PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 #: A word of lower-case Latin letters with punctuation behind it: two separate tokens runs.
-_WORD_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+_WORD_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 

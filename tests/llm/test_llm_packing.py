@@ -36,6 +36,18 @@ def test_ids_of_fragments_are_ids_of_texts():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text[:60])
 
 
+def test_ids_of_letters_of_every_block_before_marks_and_digits():
+    """Letters, marks, digits and combining signs of many blocks, next to each other."""
+    t, words = tokenizer(), packing.WordIds(packing.tokenizer_path())
+    rng = random.Random(9)
+    letters = [chr(c) for c in [*range(0x41, 0x250), *range(0x300, 0x345), *range(0x370, 0x400), *range(0x1E00, 0x1F00)]]
+    texts = [f"{x}, {x}.{x}1 a{x}-" for x in letters] + [
+        "".join(rng.choice(rng.choice([letters, "İiıI", ",.!-'", "09 "])) for _ in range(60)) for _ in range(2000)
+    ]
+    for text, ids in zip(texts, words.of(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_the_store_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 50)
     words, t = packing.WordIds(packing.tokenizer_path()), tokenizer()
