@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from textwrap import dedent
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, embedding_dedup, language, lm, mixing, neardup, packing, quality, warc, wrappers
-from .common import read, spread_scan
+from . import (
+    chat, embedding_dedup, language, lm, mixing, neardup, packing, periodic, quality, secrets, warc, wrappers
+)
+from .common import read, spread_scan, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -254,3 +256,66 @@ def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     linked = chat.link_calls(*chat.exchanges(turns), REPLY)
     return linked.withColumnRenamed("conversation", "conv_id").drop("place")
+
+
+def _placed(spans: Column) -> Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+@query("op11_secret_spans")
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and places of the secrets of every document."""
+    docs = spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [kind.name for kind in secrets.BASE_KINDS]
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return secrets.scan_secrets(docs).select(
+        "row.doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(_placed(of(*base)), 256).alias("base_sha256"),
+        _placed(F.col("spans")).alias("spans"),
+    )
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; where the checksum of the id ends in 0, words repeat from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = F.coalesce(h % 10 == 0, F.lit(False))
+    # words of other texts are not split here
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(planted, words(F.col("text"))).alias("w"))
+    n = F.size("w").cast("long")
+    docs = docs.withColumn("a", F.when(n > 0, F.col("g") % n))
+    docs = docs.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(
+        "w",
+        lambda x, i: F.when(i >= F.col("a"), F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(x),
+    )
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, its longest one, and the text without repeats."""
+    docs = spread_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.periodic_runs(_with_planted_runs(docs)).select("row.doc_id", "p.runs", "p.collapsed")
+    longest = F.array_min(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period")))
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))
+    )
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.n")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(-1000 * F.col("longest.n") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

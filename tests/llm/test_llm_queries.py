@@ -24,6 +24,8 @@ COLUMNS = {
     "op7": ["doc_id", "n_shingles", "component_id", "kept"],
     "op8": ["conv_id", "turn", "call_id", "message"],
     "op9": ["vec_id", "n_links", "component_id", "kept"],
+    "op11": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op12": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op10": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
 }
 
@@ -44,7 +46,7 @@ def test_query_has_the_agreed_columns(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 13))
 
 
 def test_other_queries_do_not_need_this_subpackage(tmp_path):
