@@ -11,8 +11,9 @@ from textwrap import dedent
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    chat, embedding_dedup, language, lm, mixing, neardup, packing, periodic, quality, secrets, warc, wrappers
+    chat, embedding_dedup, language, lm, mixing, neardup, packing, periodic, prefix_trie, quality, secrets, warc, wrappers
 )
+from ..session import durable
 from .common import read, spread_scan, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,3 +320,31 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _with_borrowed_turns(keys: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The turns of rebuilt conversations: the first ones are those of another one."""
+    heads_of, taken = F.col("conv") - F.col("conv") % 20, (F.crc32(F.col("conv").cast("string")) % 4).cast("int")
+    heads = keys.where((F.col("conv") % 20 == 0) & (F.col("place") < 3)).withColumnRenamed("conv", "head")
+    lengths = heads.groupBy("head").agg(F.count("*").alias("there"))
+    plan = conversations.select("conv", heads_of.alias("head"), taken.alias("taken")).join(lengths, "head", "left")
+    plan = durable(plan.withColumn("found", F.least("taken", F.coalesce("there", F.lit(0)))))
+    borrowed = plan.join(heads, "head").where("place < found").select("conv", "place", "key", "words")
+    # where the other conversation is too short, own turns move up
+    short = plan.where("found < taken").select("conv", (F.col("taken") - F.col("found")).alias("less"))
+    own = keys.where(F.col("place") >= taken).join(short, "conv", "left")
+    return borrowed.unionByName(own.select("conv", (F.col("place") - F.coalesce("less", F.lit(0))).alias("place"), "key", "words"))
+
+
+@query("op13_prefix_trie")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    keys = durable(prefix_trie.turn_keys(turns))
+    conversations = durable(turns.where("conv_id is not null").select(F.col("conv_id").alias("conv")).distinct())
+    rebuilt = durable(_with_borrowed_turns(keys, conversations))
+    nodes, ends = prefix_trie.trie_of_keys(rebuilt, conversations)
+    figures = [c for c in nodes.columns if c != "end_key"]
+    hashed = nodes.where("end_key is not null").join(prefix_trie.hashed_ends(ends), "end_key")
+    passed = nodes.where("end_key is null").withColumn("ends_sha256", F.sha2(F.lit(""), 256))
+    return hashed.select(*figures, "ends_sha256").unionByName(passed.select(*figures, "ends_sha256"))

@@ -26,6 +26,9 @@ COLUMNS = {
     "op9": ["vec_id", "n_links", "component_id", "kept"],
     "op11": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op12": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13": [
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    ],
     "op10": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
 }
 
@@ -46,7 +49,7 @@ def test_query_has_the_agreed_columns(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_other_queries_do_not_need_this_subpackage(tmp_path):
