@@ -14,6 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .ranking import global_index
+from .selection import KeyOrder, Place, select_ranks
 
 #: Rows that a plain top-k or limit may bring to one task.
 MAX_TOP_ROWS = 10_000
@@ -298,70 +299,31 @@ def _rows_between(
     df: DataFrame, keys: Sequence[tuple[str, bool]], start: int, end: int | None
 ) -> DataFrame:
     """The rows at positions from ``start`` up to ``end`` in the order of the keys."""
-    fields = [f"k{i}" for i in range(len(keys))]
-    columns = [_resolve(df, name)[0].alias(f) for f, (name, _) in zip(fields, keys)]
-    order = [
-        F.col(f).desc_nulls_last() if down else F.col(f).asc_nulls_first()
-        for f, (_, down) in zip(fields, keys)
-    ]
-    indexed = global_index(df.select(*columns), order, _POSITION)
-    ends = [start] + ([end] if end is not None else [])
-    found = {r[_POSITION]: r for r in indexed.where(F.col(_POSITION).isin(ends)).collect()}
+    order = KeyOrder(df, keys)
+    found = select_ranks(df, order, [start] + ([end] if end is not None else []))
     if start not in found:
         return df.where(F.lit(False))
 
-    def equals(row) -> Column:
-        return reduce(
-            and_, [_resolve(df, n)[0].eqNullSafe(F.lit(row[f])) for f, (n, _) in zip(fields, keys)]
-        )
-
-    def begin(row) -> int:
-        """Position of the first row with the same keys."""
-        same = reduce(and_, [F.col(f).eqNullSafe(F.lit(row[f])) for f in fields])
-        return indexed.where(same).agg(F.min(_POSITION)).first()[0]
-
-    def some_of(row, first: int, last: int | None) -> DataFrame:
+    def some_of(place: Place, first: int, last: int | None) -> DataFrame:
         """Of the rows equal to one, those from the first up to the last."""
-        numbered = global_index(df.where(equals(row)), [F.col(_TIE)], _POSITION)
+        numbered = global_index(df.where(order.equals(place.values)), [F.col(_TIE)], _POSITION)
         wanted = F.col(_POSITION) >= first
         if last is not None:
             wanted = wanted & (F.col(_POSITION) < last)
         return numbered.where(wanted).drop(_POSITION)
 
-    def past(row, forward: bool) -> Column:
-        """Rows whose keys come after those of a row, or before them; nulls have the place
-        that the order gives them."""
-        reached = F.lit(False)
-        for f, (name, down) in reversed(list(zip(fields, keys))):
-            column, value = _resolve(df, name)[0], row[f]
-            lower = down == forward  # the side on which smaller values are
-            if value is None:
-                further = F.lit(False) if lower else column.isNotNull()
-            elif lower:
-                further = (column < F.lit(value)) | column.isNull()
-            else:
-                further = column > F.lit(value)
-            reached = further | (column.eqNullSafe(F.lit(value)) & reached)
-        # the leading key alone is implied, and reaches the scan as a pushed filter
-        (name, down), value = keys[0], row[fields[0]]
-        column = _resolve(df, name)[0]
-        if value is None:
-            return reached
-        if down == forward:
-            return ((column <= F.lit(value)) | column.isNull()) & reached
-        return (column >= F.lit(value)) & reached
-
     first, last = found[start], found.get(end)
-    at = begin(first)
-    if last is not None and [last[f] for f in fields] == [first[f] for f in fields]:
+    at = first.before
+    if last is not None and last.before == first.before:
         return some_of(first, start - at, end - at)
     # wholly equal rows at either end are counted out, all others are a range
-    inside = df.where(past(first, True) | equals(first) if start == at else past(first, True))
+    beyond = order.beyond(first.values, True)
+    inside = df.where(beyond | order.equals(first.values) if start == at else beyond)
     if last is not None:
-        inside = inside.where(past(last, False))
+        inside = inside.where(order.beyond(last.values, False))
     if start > at:
         inside = inside.unionByName(some_of(first, start - at, None))
-    if last is not None and (rest := end - begin(last)):
+    if last is not None and (rest := end - last.before):
         inside = inside.unionByName(some_of(last, 0, rest))
     return inside
 

@@ -72,6 +72,43 @@ def file_state(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in listed))
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = system.listStatus(target) if system.exists(target) else []
+    return [s.getPath().getName() for s in listed if not s.getPath().getName().startswith((".", "_"))]
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file; False if there is one of this name already."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target):
+        return False
+    try:
+        out = system.create(target, False)
+    except Exception as error:  # another writer was faster
+        if system.exists(target):
+            return False
+        raise error
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    source = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def remove_paths(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
