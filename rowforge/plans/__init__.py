@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     records,
     scalars,
     sources,
+    stored,
     streams,
     texts,
 )
