@@ -101,6 +101,27 @@ def stream_rate_counts_plan(t: Tables) -> DataFrame:
     return shown.select("user_id", day, "n", "accepted", "refused", "closed")
 
 
+@query(
+    "stream_rate_decide",
+    REQUESTS
+    + """select request_id, user_id, row_number() over (partition by user_id, date_trunc('day', ts)
+         order by ts, request_id) as nth,
+         row_number() over (partition by user_id, date_trunc('day', ts)
+           order by ts, request_id) <= 3 as allowed from requests""",
+)
+def stream_rate_decide_plan(t: Tables) -> DataFrame:
+    """Requests arrive in three batches, one after the other; each is decided on arrival."""
+    rows = _timed(t).select("request_id", "user_id", "ts")
+    first, last = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    folder, out, state = (scratch_path(t.spark, f"decide-{x}") for x in ("in", "out", "state"))
+    part = F.floor((F.unix_micros("ts") - first) * 3 / (last - first + 1))
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+        jobs.stream_rate_decide(stream, out, state, "user_id", 3, "day", "1 hour").awaitTermination()
+    return t.spark.read.parquet(out).select("request_id", "user_id", "nth", "allowed")
+
+
 @query(
     "stream_request_metrics",
     REQUESTS

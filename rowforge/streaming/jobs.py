@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
 
-from ..functions.formats import normalize_level
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..functions.formats import RATE_UNITS, normalize_level
 from ..functions.redaction import redact_keys
 from ..operators.requests import log_tail_filter, request_measures
 from ..operators.training import TrainingRun
@@ -83,6 +86,76 @@ def stream_rate_counts(
     )
 
 
+class RateDecisions(StatefulProcessor):
+    """Numbers the requests of one key and clock window as they arrive.
+
+    The state is the number of requests so far. A timer drops it when the watermark has
+    passed the end of the window: whatever comes after that is late and never seen here.
+    """
+
+    def __init__(self, limit: int, seconds: int, ts: str, id_col: str):
+        self.limit, self.seconds, self.ts, self.id_col = limit, seconds, ts, id_col
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # a batch of the stream is one instant: its requests count in the order of their times
+        arrived = pd.concat(list(rows)).sort_values([self.ts, self.id_col], kind="stable")
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        if not before:
+            end = arrived["window_start"].iloc[0] + pd.Timedelta(seconds=self.seconds)
+            self.handle.registerTimer(int(end.timestamp() * 1000))
+        self.seen.update((before + len(arrived),))
+        arrived["nth"] = range(before + 1, before + len(arrived) + 1)
+        arrived["allowed"] = arrived["nth"] <= self.limit
+        yield arrived
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_decisions(
+    stream: DataFrame,
+    key: str,
+    limit: int,
+    unit: str,
+    lateness: str,
+    ts: str = "ts",
+    id_col: str = "request_id",
+) -> DataFrame:
+    """One decision per request, in the batch of the stream in which it arrives: its number
+    within its key and clock window, and whether it is allowed.
+
+    A task holds the requests of one key and window that arrive in one batch, so only their
+    id and time are carried; bound a batch with the options of the source.
+    """
+    narrow = stream.select(id_col, key, ts).withWatermark(ts, lateness)
+    narrow = narrow.withColumn("window_start", F.date_trunc(unit, F.col(ts)))
+    decided = T.StructType([*narrow.schema.fields, T.StructField("nth", T.LongType()), T.StructField("allowed", T.BooleanType())])
+    return narrow.groupBy(key, "window_start").transformWithStateInPandas(
+        RateDecisions(limit, RATE_UNITS[unit], ts, id_col), decided, "Append", "EventTime"
+    )
+
+
+def stream_rate_decide(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: str,
+    limit: int,
+    unit: str,
+    lateness: str,
+    **trigger,
+) -> StreamingQuery:
+    return write_files(rate_decisions(stream, key, limit, unit, lateness), path, checkpoint, **trigger)
+
+
 def metrics_per_window(
     stream: DataFrame, window: str, lateness: str, ts: str = "ts"
 ) -> DataFrame:
