@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowforge.llm import language, mixing, neardup, packing, quality
 from rowforge.llm.common import read
-from rowforge.session import durable
+from rowforge.session import configure, durable
 
 #: Per cent of the union that near duplicates share in the pipeline.
 NEAR = 80
@@ -16,6 +16,7 @@ NEAR = 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    configure(spark)
     return quality.drop_low_quality(docs)
 
 
