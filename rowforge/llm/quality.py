@@ -75,15 +75,13 @@ def _with_figures(df: DataFrame, text: Column) -> DataFrame:
     spaces = "[\\x20\\x09-\\x0D]+"
 
     def window(i: Column) -> Column:
-        a, b, c = (F.get("w", i + k) for k in range(3))
-        # the hash only speeds up the comparison; the words decide
-        return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), i.alias("i"))
+        # a number and a place instead of three words: little to hold, little to sort
+        return F.struct(F.xxhash64(*[F.get("w", i + k) for k in range(3)]).alias("h"), i.alias("i"))
 
     def same(x: Column, y: Column) -> Column:
-        return F.coalesce(
-            (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]),
-            F.lit(False),
-        )
+        # the hash only brings windows together; the words decide
+        words_alike = [F.get("w", x["i"] + k) == F.get("w", y["i"] + k) for k in range(3)]
+        return F.coalesce(reduce(lambda a, b: a & b, words_alike, x["h"] == y["h"]), F.lit(False))
 
     starts = F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(
         F.array().cast("array<int>")
