@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 from .components import connected_components
-from .shingles import band_keys, set_key, shingle_set, signature
+from .shingles import SKETCH_WORDS, band_keys, parity_sketch, set_key, shingle_set, signature
 
 WIDTH = 5
 #: Per cent of the union that the intersection must reach.
@@ -46,7 +46,7 @@ BANDS = 40
 ROWS = 6
 
 #: Pairs of different components up to which a bucket is compared as it is.
-SMALL_BUCKET = 256
+SMALL_BUCKET = 16
 
 _SIGNED = "id long, digest string, n_shingles long, k1 long, k2 long, bands array<long>"
 
@@ -84,7 +84,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``v, shingles`` of the wanted classes (``v, id, k1, k2``), from one text of each."""
+    """``v, shingles`` of the wanted classes (``v, id, digest, k1, k2``), from one text of each."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,14 +94,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 keep = [
                     (row["v"], s.tobytes())
                     for row, s in zip(rows, sets)
-                    if set_key(s) == (row["k1"], row["k2"])  # an id may have several texts
+                    if set_key(s) == (row["k1"], row["k2"])
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.binary())],
                     ["v", "shingles"],
                 )
 
-    texts = docs.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id")).select("v", "k1", "k2", "text")
+    # rows of one id are told apart by their texts
+    texts = docs.alias("d").join(wanted.alias("w"), F.expr("d.digest = w.digest and d.id <=> w.id"))
+    texts = texts.select("v", "k1", "k2", "text")
     return texts.mapInArrow(build, "v long, shingles binary")
 
 
@@ -139,7 +141,7 @@ class _Links:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
         pairs = durable(pairs)
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("v"))
-        wanted = self.classes.join(wanted, "v", "left_semi").select("v", "id", "k1", "k2")
+        wanted = self.classes.join(wanted, "v", "left_semi").select("v", "id", "digest", "k1", "k2")
         sets = durable(_sets(self.docs, wanted, self.width).dropDuplicates(["v"]))
         compared = (
             pairs.join(sets.select("v", F.col("shingles").alias("right")), "v")
@@ -162,10 +164,14 @@ class _Links:
         return rows.join(of, key, "left").withColumn(name, F.coalesce("__c", key)).drop("__c")
 
 
-def _cross_pairs(rows: DataFrame, threshold: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _cross_pairs(
+    rows: DataFrame, threshold: int, most: int | None = None, far: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Pairs ``u, v`` of different components that share a key (``key, v, n, component``):
-    members outside the key's largest component with all others. With ``most``, only of keys
-    with so many pairs at most; the second frame holds the other keys."""
+    members outside the key's largest component with all others. ``far`` is a condition on
+    ``a`` and ``b``, the rows of a pair, under which it cannot reach the threshold. With
+    ``most``, only of keys with so many pairs at most; the second frame holds the other
+    keys."""
     per_component = rows.groupBy("key", "component").agg(F.count("*").alias("many"))
     keys = durable(
         per_component.groupBy("key")
@@ -179,15 +185,17 @@ def _cross_pairs(rows: DataFrame, threshold: int, most: int | None = None) -> tu
     )
     few = F.col("pairs") <= most if most is not None else F.lit(True)
     here = rows.join(keys.where(few), "key")
-    outside = here.where("component != largest").select(
-        "key", F.col("v").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")
-    )
-    pairs = outside.join(here.select("key", "v", "n", "component"), "key")
-    pairs = pairs.where("cu != component").where(_near_sizes("nu", "n", threshold))
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    near = F.expr("a.key = b.key and a.component != b.component") & F.expr(_near_sizes("a.n", "b.n", threshold))
+    if far:
+        near = near & ~F.expr(far)
+    pairs = here.where("component != largest").alias("a").join(here.alias("b"), near)
+    pairs = pairs.select(F.expr("least(a.v, b.v)").alias("u"), F.expr("greatest(a.v, b.v)").alias("v"))
     return pairs, keys.where(~few).select("key")
 
 
+_CELLS = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``v, key`` for every shingle of a set."""
     for batch in batches:
@@ -196,20 +204,41 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), v)), pa.array(keys)], ["v", "key"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``v`` and the parity sketch of a set."""
+    for batch in batches:
+        found = [parity_sketch(np.frombuffer(raw, np.uint64)) for raw in batch.column(1).to_pylist()]
+        cells = np.array(found, np.int64).reshape(len(found), SKETCH_WORDS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cells.T]], ["v", *_CELLS])
+
+
 def _prefix_pairs(members: DataFrame, links: _Links, threshold: int) -> DataFrame:
     """Pairs of different components among ``v, n, component`` that can reach the threshold.
 
     Two such sets share one of the rarest ``n - threshold * n + 1`` shingles of either, so
     classes meet in these alone, and one that has nearly all of them for itself meets none.
+
+    Of those that meet, two bounds leave out nearly all below the threshold, and none above
+    it. Rare shingles come first, so all before the first shared one are in one set only; and
+    parity sketches differ in no more cells than there are such shingles.
     """
-    wanted = links.classes.join(members.select("v"), "v").select("v", "id", "k1", "k2")
-    sets = _sets(links.docs, wanted, links.width).dropDuplicates(["v"])
+    wanted = links.classes.join(members.select("v"), "v").select("v", "id", "digest", "k1", "k2")
+    sets = durable(_sets(links.docs, wanted, links.width).dropDuplicates(["v"]))
     single = durable(sets.mapInArrow(_prefixes, "v long, key long"))
+    sketches = sets.mapInArrow(_sketches, "v long, " + ", ".join(f"{c} long" for c in _CELLS))
     known = single.groupBy("key").agg(F.count("*").alias("df"))
     ranked = single.join(known, "key").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ranked"))
     rarest = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
+    rarest = F.transform(rarest, lambda x, at: F.struct(x["df"].alias("df"), x["key"].alias("key"), at.alias("at")))
     rows = ranked.join(members, "v").select("v", "n", "component", F.inline(rarest)).where("df > 1").drop("df")
-    return _cross_pairs(durable(rows), threshold)[0]
+    rows = durable(rows.join(sketches, "v"))
+    # in one set only: at least so many; at the threshold: at most that share of all
+    cells = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in _CELLS)
+    alone = f"greatest(a.n - b.n, b.n - a.n, a.at + b.at, {cells})"
+    left = "least(a.n - a.at, b.n - b.at)"
+    far = f"""(100 + {threshold}) * {alone} > (100 - {threshold}) * (a.n + b.n)
+        or {threshold} * (a.at + b.at) > (100 - {threshold}) * {left}"""
+    return _cross_pairs(rows, threshold, far=far)[0]
 
 
 def _open_pairs(members: DataFrame, links: _Links, threshold: int) -> DataFrame:
@@ -234,7 +263,12 @@ def near_duplicates(
     classes = durable(
         signed.where("n_shingles > 0")
         .groupBy("k1", "k2")
-        .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("id").alias("id"),
+            F.min(F.struct(F.col("id").isNull(), "id", "digest"))["digest"].alias("digest"),
+            F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+        )
         .withColumn("v", F.monotonically_increasing_id())
     )
     placed = classes.select("v", "n", F.explode("bands").alias("key"))

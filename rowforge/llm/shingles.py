@@ -72,3 +72,17 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     by_band = least.reshape(bands, rows).astype(np.uint64)
     total = (by_band * _ODD[8 : 8 + rows]).sum(axis=1, dtype=np.uint64)
     return _mixed(total + np.arange(1, bands + 1, dtype=np.uint64) * _ODD[7]).astype(np.int64)
+
+
+#: 64-bit words of a parity sketch.
+SKETCH_WORDS = 16
+
+
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Which of 1,024 cells hold an odd number of a set's shingles, as 16 integers.
+
+    Sketches of two sets differ in no more cells than there are shingles in one set only:
+    what both have cancels out.
+    """
+    cells = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH_WORDS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)

@@ -130,3 +130,76 @@ def test_components(spark, edges):
             parent[max(a, b)] = min(a, b)
     got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent)
+
+
+def test_agrees_with_brute_force_on_given_documents(spark):
+    """Sets built from word tuples here, links from an inverted index over all of them."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holders = {}, defaultdict(list)
+    for doc_id, text in docs.collect():
+        words = (text or "").encode().lower().split()
+        width = min(5, len(words))
+        sets[doc_id] = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+        for shingle in sets[doc_id]:
+            holders[shingle].append(doc_id)
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, shingles in sets.items():
+        shared = Counter(other for x in shingles for other in holders[x] if other < d)
+        for other, n in shared.items():
+            if 100 * n >= 85 * (len(shingles) + len(sets[other]) - n):
+                a, b = sorted((find(d), find(other)))
+                root[b] = a
+    want = sorted((d, len(s), find(d), find(d) == d) for d, s in sets.items())
+    got = neardup.near_duplicates(docs).drop("digest")
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_bounds_keep_every_pair_at_the_threshold():
+    from rowforge.llm.shingles import parity_sketch
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**64, rng.integers(0, 80), dtype=np.uint64)]))
+        a = np.unique(a)
+        differ = sum(int(x).bit_count() for x in (parity_sketch(a) ^ parity_sketch(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_copies_just_below_the_threshold_share_no_pairs_but_keep_their_links(spark, monkeypatch):
+    """Many copies of one text, each with some words changed: most are below the threshold."""
+    import random
+
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 0)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4])):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
