@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # What marks a key as sensitive, and the mask.
@@ -23,42 +19,53 @@ def _is_sensitive_column(key: Column) -> Column:
     return F.lower(key).rlike("|".join(SENSITIVE_KEYS))
 
 
-#: Texts, numbers, words and marks of a JSON text.
-_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+#: Levels of a VARIANT value that are walked. What lies deeper is masked whole if it names a
+#: sensitive key, so nothing is let through.
+VARIANT_LEVELS = 8
 
 
-def mask_json(text: str | None) -> str | None:
-    """A compact JSON text with the values of sensitive keys masked, at any depth."""
-    if text is None:
-        return None
-    tokens, out, at = _JSON_TOKEN.findall(text), [], 0
-    while at < len(tokens):
-        token = tokens[at]
-        out.append(token)
-        at += 1
-        if token[0] == '"' and tokens[at : at + 1] == [":"] and is_sensitive(json.loads(token)):
-            out += [":", json.dumps(MASK)]
-            at += 1
-            depth = 0
-            while True:  # the value, whatever it holds
-                depth += (tokens[at] in "{[") - (tokens[at] in "}]")
-                at += 1
-                if not depth:
-                    break
-    return "".join(out)
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _mask_variant(value: Column) -> Column:
-    """VARIANT has no schema to walk over, so its JSON text is; an unmasked value stays."""
+def _walk_variant(value: Column, levels: int) -> Column:
+    """A VARIANT value rebuilt from its members and items, each of its own type."""
+    if not levels:
+        key = r'"(?:[^"\\]|\\.)*(?:' + "|".join(SENSITIVE_KEYS) + r')(?:[^"\\]|\\.)*":'
+        return F.when(F.lower(F.to_json(value)).rlike(key), F.lit(MASK).cast("variant")).otherwise(value)
+
+    def rebuilt(parts: Column) -> Column:
+        members, items = parts["members"], parts["items"]
+        named = F.transform(F.map_entries(members), lambda m: F.struct(m["key"].alias("key"), m["value"].alias("value")))
+        plain = F.transform(items, lambda item: F.struct(F.lit(None).cast("string").alias("key"), item.alias("value")))
+        masked = F.transform(
+            F.coalesce(named, plain),
+            lambda m: F.struct(
+                m["key"].alias("key"),
+                F.when(_is_sensitive_column(m["key"]), F.lit(MASK).cast("variant"))
+                .otherwise(_walk_variant(m["value"], levels - 1))
+                .alias("value"),
+            ),
+        )
+        return _let(
+            masked,
+            lambda m: F.when(members.isNotNull(), F.to_variant_object(F.map_from_entries(m)))
+            .when(items.isNotNull(), F.to_variant_object(F.transform(m, lambda x: x["value"])))
+            .otherwise(value),
+        )
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(mask_json)
+    parts = F.struct(
+        F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
+        F.try_variant_get(value, "$", "array<variant>").alias("items"),
+    )
+    return _let(parts, rebuilt)
 
-    plain = F.to_json(value)
-    named = F.lower(plain).rlike("|".join(SENSITIVE_KEYS) + r"|\\\\u")
-    hidden = masked(F.when(named, plain))
-    return F.when(hidden.isNull() | (hidden == plain), value).otherwise(F.parse_json(hidden))
+
+def _mask_variant(value: Column) -> Column:
+    """Only values that name a sensitive word are walked."""
+    named = F.lower(F.to_json(value)).rlike("|".join(SENSITIVE_KEYS))
+    return F.when(named, _walk_variant(value, VARIANT_LEVELS)).otherwise(value)
 
 
 def _mask_value(value: Column, kind: T.DataType) -> Column:
@@ -75,9 +82,9 @@ def _mask_value(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda item: _mask_value(item, kind.elementType))
     if isinstance(kind, T.MapType):
-        # all values of a map share a type: a text can say that it is masked, others go
-        text = isinstance(kind.valueType, T.StringType)
-        hidden = F.lit(MASK) if text else F.lit(None).cast(kind.valueType)
+        # all values of a map share a type: texts and VARIANT can say so, others go
+        says = isinstance(kind.valueType, (T.StringType, T.VariantType))
+        hidden = F.lit(MASK if says else None).cast(kind.valueType)
         return F.transform_values(
             value,
             lambda key, item: F.when(_is_sensitive_column(key.cast("string")), hidden).otherwise(
@@ -89,27 +96,12 @@ def _mask_value(value: Column, kind: T.DataType) -> Column:
     return value
 
 
-def _hidden_variant(kind: T.DataType, inside: bool = False) -> bool:
-    if isinstance(kind, T.VariantType):
-        return inside
-    if isinstance(kind, T.StructType):
-        return any(_hidden_variant(f.dataType, inside) for f in kind.fields if not is_sensitive(f.name))
-    if isinstance(kind, T.ArrayType):
-        return _hidden_variant(kind.elementType, True)
-    if isinstance(kind, T.MapType):
-        return _hidden_variant(kind.valueType, True)
-    return False
-
-
 def redact_keys(df: DataFrame) -> DataFrame:
     """Mask every sensitive key, at any depth of structs, arrays, maps and VARIANT.
 
-    A map keeps its type: where its values are not texts, a masked one is null. VARIANT
-    inside an array or a map cannot be masked and is refused.
+    A map keeps its type: where its values are neither texts nor VARIANT, a masked one is
+    null. What is not masked inside a VARIANT keeps its type.
     """
-    for f in df.schema.fields:
-        if not is_sensitive(f.name) and _hidden_variant(f.dataType):
-            raise ValueError(f"VARIANT inside an array or a map cannot be masked: {f.name}")
     return df.select(
         *[
             F.lit(MASK).alias(f.name)

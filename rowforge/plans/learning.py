@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import agreement_record, margin_record
 from ..operators.models import INVERSE_PENALTY, TREE_DEPTH, TREE_MIN_SPLIT, assemble
 from ..operators.preparation import Preparation
 from ..operators.training import split_rows
+from ..operators.tree import grow_tree
 from ..sources.tables import PASSENGER_FIELDS, Tables
 from .common import CODED, held_out, linear_scores, prepared, trained
 from .registry import PASSENGERS, PREPARED, SCORED, query
@@ -315,3 +316,46 @@ def model_info_plan(t: Tables) -> DataFrame:
     info = run.models.info(t.spark, run.accuracies)
     same = (F.col("value") == F.col("wanted")).alias("plausible")
     return info.join(wanted, "name", "left").select("name", same)
+
+
+@query(
+    "train_tree_exact",
+    PREPARED
+    + """, stacked as (
+         select survived, unnest([cast(pclass as double), cast(sex as double), age, cast(sibsp as double),
+             cast(parch as double), fare, cast(embarked as double), cast(family_size as double),
+             cast(is_alone as double), cast(age_group as double)]) as value, generate_subscripts(
+             [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 1) - 1 as feature
+         from prepared where age_group is not null),
+       counts as (select feature, value, count(*) as n, sum(survived) as p from stacked group by 1, 2),
+       sums as (
+         select feature, value, sum(n) over w as n, sum(p) over w as p,
+           sum(n) over (partition by feature) as n_all, sum(p) over (partition by feature) as p_all,
+           lead(value) over (partition by feature order by value) as above
+         from counts window w as (partition by feature order by value rows unbounded preceding)),
+       gains as (
+         select *, (cast(p as double) * p + cast(n - p as double) * (n - p)) / n
+             + (cast(p_all - p as double) * (p_all - p)
+                + cast(n_all - n - p_all + p as double) * (n_all - n - p_all + p)) / (n_all - n) as gain
+         from sums where n < n_all)
+       select cast(n_all as bigint) as n, cast(p_all as bigint) as positives, cast(feature as int) as feature,
+         round(value / 2 + above / 2, 6) as threshold, cast(n as bigint) as n_left,
+         cast(p as bigint) as positives_left
+       from gains order by gain desc, feature, value limit 1""",
+)
+def train_tree_exact_plan(t: Tables) -> DataFrame:
+    """The first split of the exact tree over all rows with an age band."""
+    rows = prepared(t).where("age_group is not null")
+    tree = grow_tree(rows, CODED[2:], "survived", max_depth=1)
+
+    def of(node: int, name: str) -> Column:
+        return F.max(F.when(F.col("node") == node, F.col(name)))
+
+    return tree.table(t.spark).agg(
+        of(1, "n").alias("n"),
+        of(1, "positives").alias("positives"),
+        of(1, "feature").alias("feature"),
+        F.round(of(1, "threshold"), 6).alias("threshold"),
+        of(2, "n").alias("n_left"),
+        of(2, "positives").alias("positives_left"),
+    )

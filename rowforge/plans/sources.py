@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.typed import encode_typed
 from ..operators.docquery import preview
@@ -10,7 +10,14 @@ from ..operators.preparation import REQUIRED_STATS, Preparation
 from ..operators.training import TrainingRun
 from ..session import scratch_path
 from ..sources import documents as docs
-from ..sources.files import PASSENGER_CSV, artifact_inventory, scan_csv, scan_json_array, scan_log
+from ..sources.files import (
+    PASSENGER_CSV,
+    artifact_inventory,
+    scan_csv,
+    scan_json_array,
+    scan_large_json_array,
+    scan_log,
+)
 from ..sources.tables import Tables
 from ..functions.redaction import to_sorted_json
 from ..functions.formats import iso_utc
@@ -39,6 +46,27 @@ def scan_json_array_plan(t: Tables) -> DataFrame:
     return scan_json_array(t.spark, path, customer.schema, multi_line=False)
 
 
+@query(
+    "scan_large_json_array",
+    "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer",
+)
+def scan_large_json_array_plan(t: Tables) -> DataFrame:
+    """One array over many lines in every file, read in parts."""
+    customer = t["customer"]
+    path = scratch_path(t.spark, "customers-array")
+    texts = customer.select(
+        F.spark_partition_id().alias("part"),
+        F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("c_custkey")).alias("nth"),
+        F.to_json(F.struct(*customer.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"),
+    )
+    counted = texts.withColumn("of", F.count("*").over(Window.partitionBy("part")))
+    opened = F.when(F.col("nth") == 1, "[").otherwise("")
+    closed = F.when(F.col("nth") == F.col("of"), "]").otherwise(",")
+    lines = counted.sortWithinPartitions("part", "nth").select("part", F.concat(opened, "value", closed).alias("value"))
+    lines.write.partitionBy("part").text(path)
+    return scan_large_json_array(t.spark, path, customer.schema)
+
+
 @query(
     "scan_collection",
     """select cast(c_custkey as varchar) as id, c_custkey, c_name, c_nationkey, c_acctbal,
@@ -119,6 +147,20 @@ def scan_collection_group_plan(t: Tables) -> DataFrame:
     return docs.scan_query(t.spark, root, "accounts", {"collectionGroup": True})
 
 
+@query(
+    "scan_catalogued_group",
+    ACCOUNTS + " union all select 'n' || n_nationkey, n_name, n_nationkey, null, null from nation",
+)
+def scan_catalogued_group_plan(t: Tables) -> DataFrame:
+    root = scratch_path(t.spark, "catalogued")
+    docs.write_collection(_customer_accounts(t), root, "accounts")
+    docs.write_collection(_supplier_accounts(t), root, "partners/wholesale/accounts")
+    deep = "/".join(f"level{i}/doc{i}" for i in range(7))
+    docs.write_collection(_nation_accounts(t), root, f"{deep}/accounts")
+    docs.write_collection(t["nation"], root, "nations")
+    return docs.scan_catalogued_group(t.spark, root, "accounts")
+
+
 @query("union_collections", ACCOUNTS)
 def union_collections_plan(t: Tables) -> DataFrame:
     return docs.union_collections(_customer_accounts(t), _supplier_accounts(t))

@@ -7,13 +7,15 @@ the files it is reading.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.typed import DOCUMENT, document_type, unwrap_documents
 from ..operators.ranking import global_index
-from .files import list_folders
+from .files import create_text, list_folders, path_exists
 
 # Fixed value: rows of one import batch.
 BATCH_SIZE = 500
@@ -80,6 +82,44 @@ def scan_collection_group(
     return reader.parquet(*(paths or [f"{root}/{name}"]))
 
 
+# Fixed value: the folder of a root that says which collections there are.
+CATALOGUE = "_catalogue"
+
+
+def register_collection(spark: SparkSession, root: str, path: str, schema: T.StructType) -> None:
+    """Notes a collection (``path`` below the root) and its schema; again with another
+    schema, the note is of the fields of both."""
+    name = path.rstrip("/").split("/")[-1]
+    entry = json.dumps({"path": path.strip("/"), "schema": schema.json()}, sort_keys=True)
+    # the same note has the same name, so writing it twice is no harm
+    note = f"{root}/{CATALOGUE}/{name}/{hashlib.md5(entry.encode()).hexdigest()}.json"
+    create_text(spark, note, entry)
+
+
+def write_collection(df: DataFrame, root: str, path: str, mode: str = "append") -> None:
+    """Writes documents to a collection and notes it."""
+    df.write.mode(mode).parquet(f"{root}/{path}")
+    register_collection(df.sparkSession, root, path, df.schema)
+
+
+def scan_catalogued_group(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All noted collections of a name, wherever they are: one listing, however deep they
+    lie, and no footer read. A field that a collection lacks is null there."""
+    folder = f"{root}/{CATALOGUE}/{name}"
+    if not path_exists(spark, folder):
+        raise FileNotFoundError(f"no collection of this name is noted: {name}")
+    notes = spark.read.schema("path string, schema string").json(folder)
+    schemas = [T.StructType.fromJson(json.loads(r["schema"])) for r in notes.select("schema").distinct().collect()]
+    fields: dict[str, T.StructField] = {}
+    for field in (f for schema in schemas for f in schema.fields):
+        known = fields.setdefault(field.name, T.StructField(field.name, field.dataType))
+        if known.dataType != field.dataType:
+            raise ValueError(f"{field.name} is {known.dataType.simpleString()} and {field.dataType.simpleString()}")
+    paths = sorted(r["path"] for r in notes.select("path").distinct().collect())
+    merged = T.StructType([fields[n] for n in sorted(fields)])
+    return spark.read.schema(merged).parquet(*[f"{root}/{p}" for p in paths])
+
+
 def scan_query(spark: SparkSession, root: str, name: str, options: dict) -> DataFrame:
     """What the option object of a document client reads: one collection, or with
     ``collectionGroup`` all collections of the name."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.formats import bytes_in
+from ..session import durable
 
 CORRUPT = "_corrupt_record"
 
@@ -191,6 +192,96 @@ def scan_json_array(
     return rows.drop(CORRUPT)
 
 
+def json_array_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, record, value``: the text of every item of JSON array files, whatever their
+    lines; a file is read by as many tasks as it has splits. Records count from 1.
+
+    The reader cuts at commas, of which those between two items matter. A comma is one of
+    them if it lies in no text, and only the outer array is open there. Both follow from what
+    came before: the number of quotes says whether a text is open, then brackets outside of
+    texts are counted. Both are sums over the pieces of a file, taken inside each split and
+    carried over by one row per split.
+    """
+    require_paths(spark, [path])
+    # an escaped character is neither a quote nor a bracket
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    pieces = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        F.col("value"),
+        plain.alias("plain"),
+        (F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))).cast("long").alias("quotes"),
+    )
+    pieces = _carried(durable(pieces), "quotes")  # places must not change
+    in_text = F.col("before") % 2 == 1
+    outer = F.when(in_text, F.regexp_replace("plain", r'(?s)^[^"]*("|$)', "")).otherwise(F.col("plain"))
+    outer = F.regexp_replace(outer, r'(?s)"[^"]*("|$)', "")
+    opened = F.length(F.translate(outer, "]}", "")) - F.length(F.translate(outer, "[{", ""))
+    pieces = pieces.select("file", "block", "place", "value", in_text.alias("in_text"), opened.cast("long").alias("opened"))
+    pieces = _carried(pieces, "opened")
+    # the first piece of a file starts its first item
+    starts = (~F.col("in_text") & (F.col("before") <= 1)).cast("long").alias("starts")
+    pieces = _carried(pieces.select("file", "block", "place", "value", starts), "starts")
+    parts = F.sort_array(F.collect_list(F.struct("block", "place", "value")))
+    return (
+        pieces.withColumn("record", F.col("before") + F.col("starts"))
+        .groupBy("file", "record")
+        .agg(parts.alias("parts"))
+        .select("file", "record", F.array_join("parts.value", ",").alias("value"))
+    )
+
+
+def _carried(rows: DataFrame, name: str) -> DataFrame:
+    """Adds ``before``: the sum of a column over all rows of a file ahead of a row."""
+    totals = rows.groupBy("file", "block").agg(F.sum(name).alias("total"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per split
+    totals = totals.select("file", "block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("carried"))
+    here = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("inside", F.coalesce(F.sum(name).over(here), F.lit(0)))
+    return summed.join(totals, ["file", "block"]).withColumn("before", F.col("inside") + F.col("carried")).drop("inside", "carried")
+
+
+def scan_large_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of JSON array files of any size and layout; each file must hold an array of
+    objects, not empty. No file is read by one task alone (see ``json_array_records``)."""
+    found = durable(json_array_records(spark, path))
+    last = found.groupBy("file").agg(F.max("record").alias("last"))
+    text = F.regexp_replace("value", r"(?s)^\s+|\s+$", "")
+    items = found.join(last, "file").withColumns(
+        {"text": text, "is_first": F.col("record") == 1, "is_last": F.col("record") == F.col("last")}
+    )
+    framed = (~F.col("is_first") | F.col("text").startswith("[")) & (~F.col("is_last") | F.col("text").endswith("]"))
+    item = F.when(F.col("is_first"), F.substring("text", 2, 2**31 - 1)).otherwise(F.col("text"))
+    item = F.when(F.col("is_last"), F.regexp_replace(item, r"(?s)\]$", "")).otherwise(item)
+    items = items.withColumns({"framed": framed, "item": F.regexp_replace(item, r"(?s)^\s+|\s+$", "")})
+    kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = durable(
+        items.select(
+            "framed",
+            (F.col("is_first") & F.col("is_last") & (F.col("item") == "")).alias("empty"),
+            (F.col("item").startswith("{") & F.col("item").endswith("}")).alias("is_object"),
+            F.from_json("item", kept, options).alias("row"),
+        )
+    )
+    good = F.col("is_object") & F.col("row").isNotNull() & F.col("row")[CORRUPT].isNull()
+    state = rows.agg(
+        F.count("*").alias("n"),
+        F.count_if(~F.col("framed")).alias("open"),
+        F.count_if("empty").alias("empty"),
+        F.count_if(~good).alias("bad"),
+    ).first()
+    if state["open"]:
+        raise ValueError(f"not a JSON array of objects: {path}")
+    if state["empty"] or not state["n"]:
+        raise ValueError(f"empty array: {path}")
+    if state["bad"]:
+        raise ValueError(f"{state['bad']} records are not valid objects: {path}")
+    return rows.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
+
+
 def scan_log(spark: SparkSession, path: str, schema: T.StructType = LOG_EVENT) -> DataFrame:
     """JSON log lines as events."""
     require_paths(spark, [path])

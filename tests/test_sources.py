@@ -76,6 +76,59 @@ def test_missing_json(spark, tmp_path):
         scan_json_array(spark, str(tmp_path / "none.json"))
 
 
+LARGE = [
+    {"id": i, "name": f'a, "b" [{{\\ ,]}} {i}', "tags": ["x,y", "]", "{"], "in": {"k": [i, {"z": "\\"}]}}
+    for i in range(400)
+]
+
+
+@pytest.mark.parametrize("indent", [None, 1, 4])
+def test_large_json_arrays_are_read_by_many_tasks(spark, tmp_path, indent):
+    from rowforge.sources.files import json_array_records, scan_large_json_array
+
+    write(tmp_path / "a.json", " \n" + json.dumps(LARGE, indent=indent, ensure_ascii=False) + "\n ")
+    write(tmp_path / "b.json", json.dumps(LARGE[:1], indent=indent))
+    schema = "id long, name string, tags array<string>, in struct<k:array<string>>"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        splits = spark.read.option("lineSep", ",").text(str(tmp_path / "a.json")).rdd.getNumPartitions()
+        from pyspark.sql.types import _parse_datatype_string as parse
+
+        rows = scan_large_json_array(spark, str(tmp_path), parse(schema)).collect()
+        items = json_array_records(spark, str(tmp_path / "a.json")).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert splits > 8 and items == 400
+    want = sorted([*LARGE, LARGE[0]], key=lambda r: r["id"])
+    got = sorted(rows, key=lambda r: r["id"])
+    assert [(r["id"], r["name"], r["tags"]) for r in got] == [(w["id"], w["name"], w["tags"]) for w in want]
+    assert [json.loads(r["in"]["k"][1]) for r in got] == [w["in"]["k"][1] for w in want]
+
+
+@pytest.mark.parametrize(
+    "text, message",
+    [
+        ('{"a": 1}', "not a JSON array"),
+        ("[]", "empty array"),
+        (" [ ] ", "empty array"),
+        ('[{"a": 1}, 5]', "not valid objects"),
+        ('[{"a": 1}, [2]]', "not valid objects"),
+        ('[{"a": 1}, null]', "not valid objects"),
+        ('[{"a": 1}', "not a JSON array"),
+        ('[{"a": 1},]', "not valid objects"),
+    ],
+)
+def test_bad_large_json_arrays(spark, tmp_path, text, message):
+    from pyspark.sql.types import _parse_datatype_string as parse
+    from rowforge.sources.files import scan_large_json_array
+
+    with pytest.raises(ValueError, match=message):
+        scan_large_json_array(spark, write(tmp_path / "bad.json", text), parse("a int"))
+
+
 def test_log_lines(spark, tmp_path):
     path = write(tmp_path / "log.jsonl", '{"event":"x","duration_ms":1.5,"new":1}\n{"event":"y"}\n')
     assert [(r["event"], r["duration_ms"]) for r in scan_log(spark, path).collect()] == [("x", 1.5), ("y", None)]
@@ -185,8 +238,6 @@ def test_redaction_at_depth(spark):
 
 
 def test_redaction_of_variant(spark):
-    from rowforge.functions.redaction import mask_json, redact_keys
-
     texts = [
         '{"password":"x","a":[{"Api_Key":{"k":[1,{"z":2}]},"n":1.50}],"tokenish":[1,2]}',
         '{"a":"password","b":{"c":"secret: x"}}',
@@ -203,17 +254,50 @@ def test_redaction_of_variant(spark):
     assert got[0] == '{"a":[{"Api_Key":"[REDACTED]","n":1.5}],"password":"[REDACTED]","tokenish":"[REDACTED]"}'
     assert got[1] == texts[1] and got[3] == "[1,2]" and got[4] == '"secret"' and got[5] is None
     assert "y" not in got[2] and got[2].count("[REDACTED]") == 2
-    assert mask_json('{"token":{},"b":[]}') == '{"token":"[REDACTED]","b":[]}'
+    assert "Python" not in redact_keys(df)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_variant_that_cannot_be_masked_is_refused(spark):
-    import pytest
+def test_masked_variant_keeps_the_types_of_its_leaves(spark):
+    df = spark.sql(
+        """select to_variant_object(named_struct('at', timestamp'2024-01-02 03:04:05', 'n', 1.50BD, 'raw', X'0102',
+             'token', 5, 'in', array(named_struct('secret', 'x', 'day', date'2024-01-02', 'none', cast(null as int))),
+             'e', cast(array() as array<int>), 'text', 'a secret word')) as v"""
+    )
+    row = redact_keys(df).selectExpr("to_json(v) as j", "schema_of_variant(v) as s").first()
+    assert row["s"] == (
+        "OBJECT<at: TIMESTAMP, e: ARRAY<VOID>, in: ARRAY<OBJECT<day: DATE, none: VOID, secret: STRING>>, "
+        "n: DECIMAL(2,1), raw: BINARY, text: STRING, token: STRING>"
+    )
+    assert '"secret":"[REDACTED]"' in row["j"] and '"token":"[REDACTED]"' in row["j"] and "a secret word" in row["j"]
+
+
+def test_variant_inside_arrays_and_maps_is_masked(spark):
+    df = spark.sql(
+        """select array(parse_json('{"password":1,"n":2}'), parse_json('[1]')) as a,
+             map('k', parse_json('{"b":[{"Api_Key":{"z":1}}]}'), 'token', parse_json('7')) as m,
+             array(named_struct('s', parse_json('{"x":{"private_key":[1]}}'))) as d"""
+    )
+    row = redact_keys(df).selectExpr(
+        "to_json(a[0]) a0", "to_json(a[1]) a1", "to_json(m['k']) mk", "to_json(m['token']) mt", "to_json(d[0].s) d"
+    ).first()
+    assert list(row) == [
+        '{"n":2,"password":"[REDACTED]"}', "[1]", '{"b":[{"Api_Key":"[REDACTED]"}]}', '"[REDACTED]"',
+        '{"x":{"private_key":"[REDACTED]"}}',
+    ]
 
-    from rowforge.functions.redaction import redact_keys
 
-    df = spark.sql("select array(parse_json('{\"password\":1}')) as a")
-    with pytest.raises(ValueError):
-        redact_keys(df)
+def test_variant_nested_deeper_than_it_is_walked_lets_nothing_through(spark):
+    from rowforge.functions import redaction
+
+    def nested(depth, inner):
+        return '{"a":' * depth + inner + "}" * depth
+
+    deep = redaction.VARIANT_LEVELS + 5
+    texts = [nested(deep, '{"token":"s3"}'), nested(deep, '"token"'), nested(3, '[[{"token":"s3"}]]')]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").selectExpr("id", "parse_json(t) as v")
+    got = {r["id"]: r["j"] for r in redact_keys(df).selectExpr("id", "to_json(v) as j").collect()}
+    assert got[0] == nested(redaction.VARIANT_LEVELS, '"[REDACTED]"')
+    assert got[1] == texts[1] and got[2] == nested(3, '[[{"token":"[REDACTED]"}]]')
 
 
 def test_collection_groups_at_any_depth(spark, tmp_path):
@@ -231,3 +315,22 @@ def test_collection_groups_at_any_depth(spark, tmp_path):
     assert docs.scan_query(spark, root, "wanted", {"collectionGroup": True}).count() == 5
     assert docs.scan_query(spark, root, "wanted", {}).count() == 1
     assert docs.scan_collection_group(spark, root, "absent", found.schema).count() == 0
+
+
+def test_catalogued_groups_need_no_listing_of_folders(spark, tmp_path, monkeypatch):
+    from rowforge.sources import documents as docs
+
+    root = str(tmp_path / "store")
+    docs.write_collection(spark.createDataFrame([(1, "a")], "n int, t string"), root, "wanted")
+    docs.write_collection(spark.createDataFrame([(2, 0.5)], "n int, d double"), root, "c/d/e/f/wanted")
+    docs.write_collection(spark.createDataFrame([(3, 1.5)], "n int, d double"), root, "c/d/e/f/wanted")
+    docs.write_collection(spark.createDataFrame([(9,)], "n int"), root, "c/d/other")
+    monkeypatch.setattr(docs, "list_folders", None)
+    found = docs.scan_catalogued_group(spark, root, "wanted")
+    assert found.columns == ["d", "n", "t"]
+    assert sorted(tuple(r) for r in found.select("n", "t", "d").collect()) == [(1, "a", None), (2, None, 0.5), (3, None, 1.5)]
+    with pytest.raises(FileNotFoundError):
+        docs.scan_catalogued_group(spark, root, "unknown")
+    docs.register_collection(spark, root, "x/y/other", spark.createDataFrame([("s",)], "n string").schema)
+    with pytest.raises(ValueError, match="n is"):
+        docs.scan_catalogued_group(spark, root, "other")
