@@ -8,10 +8,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import agreement_record, margin_record
-from ..operators.models import INVERSE_PENALTY, TREE_DEPTH, TREE_MIN_SPLIT, assemble
+from ..operators.models import INVERSE_PENALTY, TREE_DEPTH, TREE_MIN_SPLIT, assemble, load_accuracies
 from ..operators.preparation import Preparation
 from ..operators.training import split_rows
 from ..operators.tree import grow_tree
+from ..session import scratch_path
 from ..sources.tables import PASSENGER_FIELDS, Tables
 from .common import CODED, held_out, linear_scores, prepared, trained
 from .registry import PASSENGERS, PREPARED, SCORED, query
@@ -301,16 +302,24 @@ def evaluate_models_plan(t: Tables) -> DataFrame:
          ('accuracy_decision_tree'), ('accuracy_ensemble')) i(name)""",
 )
 def model_info_plan(t: Tables) -> DataFrame:
-    """Figures of the models against the models and the accuracies measured."""
+    """Figures of the models against what is stored of them: nodes, features, weights, and
+    the accuracies."""
     run = trained(t)
-    features = float(len(run.preparation.feature_columns))
+    path = scratch_path(t.spark, "described")
+    run.save(t.spark, path)
+    stored = t.spark.read.parquet(f"{path}/decision_tree_model/data").select("id", "leftChild", "rightChild")
+    children = {r["id"]: [c for c in (r["leftChild"], r["rightChild"]) if c >= 0] for r in stored.collect()}
+    depth, level = 0, children[0]
+    while level:
+        depth, level = depth + 1, [c for k in level for c in children[k]]
+    matrix = t.spark.read.parquet(f"{path}/logistic_model/data").first()["coefficientMatrix"]
     expected = {
-        "tree_depth": float(run.models.tree.depth),
-        "tree_nodes": float(run.models.tree.numNodes),
-        "n_features": features,
-        "coefficient_rows": 1.0,
-        "coefficient_columns": features,
-        **{f"accuracy_{name}": value for name, value in run.accuracies.items()},
+        "tree_depth": float(depth),
+        "tree_nodes": float(len(children)),
+        "n_features": float(t.spark.read.parquet(f"{path}/model_features").count()),
+        "coefficient_rows": float(matrix.numRows),
+        "coefficient_columns": float(matrix.numCols),
+        **{f"accuracy_{name}": value for name, value in load_accuracies(t.spark, path).items()},
     }
     wanted = t.spark.createDataFrame(list(expected.items()), "name string, wanted double")
     info = run.models.info(t.spark, run.accuracies)
