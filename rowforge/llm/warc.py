@@ -47,6 +47,28 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Schemes that Arrow opens, by their names in Spark.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def arrow_address(address: str) -> str:
+    """An address as Arrow names it; a scheme that it cannot open is an error."""
+    scheme, _, rest = address.partition(":")
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives cannot be written to {address}: use one of {', '.join(SCHEMES)}")
+    return f"{SCHEMES[scheme]}:{rest}"
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder on the file system that Spark means by it: without a scheme that is the
+    default one of the cluster, and no disk of an executor."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    address = arrow_address(str(system.makeQualified(target)))
+    # a path stays one where the default is the local disk, as in tests
+    return address if "://" in folder or not address.startswith("file:") else folder
+
+
 def locate(address: str) -> tuple[fs.FileSystem, str]:
     """File system and path of an address, with or without a scheme."""
     if "://" in address:
@@ -309,7 +331,7 @@ def _row(archive: str, entry: dict, data: bytes) -> dict:
 
 def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None, **names: str) -> DataFrame:
     """Writes, normalises and lists: ``archive, sidecar, records`` in the shared folder."""
-    folder = folder or scratch_path(spark, "warc")
+    folder = qualified(spark, folder or scratch_path(spark, "warc"))
     index = write_streams(pages, f"{folder}/streams", **names)
     archives = normalise(index, f"{folder}/archives")
     # the streams have served; the archives are on disk and listed

@@ -97,3 +97,17 @@ def test_broken_streams_raise():
     assert [b for _, b in warc.split_records(iter([data[:9], data[9:], data]))] == [b"block", b"block"]
     with pytest.raises(ValueError):
         list(warc.split_records(iter([data[:-20]])))
+
+
+def test_folders_without_a_scheme_are_on_the_default_file_system(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == str(tmp_path)
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://127.0.0.1:9")
+    try:
+        assert warc.qualified(spark, "/user/x") == "hdfs://127.0.0.1:9/user/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert warc.arrow_address("s3a://bucket/x") == "s3://bucket/x"
+    with pytest.raises(ValueError, match="viewfs"):
+        warc.arrow_address("viewfs://store/x")
