@@ -45,11 +45,13 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block, the elements around it, and how much of it is in links."""
+    """Text of one block, the elements around it, how much of it is in links, and the numbers
+    of the elements around it on its page, which tell equal neighbours apart."""
 
     path: tuple[str, ...]
     text: str
     linked: int
+    elements: tuple[int, ...] = ()
 
 
 def _label(name: str, attributes: str) -> str:
@@ -72,6 +74,8 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     open_names: list[str] = []
     labels: list[str] = []
+    numbers: list[int] = []
+    opened = 0
     pieces: list[str] = []
     links, linked = 0, 0
 
@@ -80,7 +84,7 @@ def blocks(page: str | None) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                found.append(Block(tuple(labels), text, linked))
+                found.append(Block(tuple(labels), text, linked, tuple(numbers)))
             pieces.clear()
         linked = 0
 
@@ -98,7 +102,7 @@ def blocks(page: str | None) -> list[Block]:
                 linked += len(text.strip())
 
     def close(depth: int) -> None:
-        del open_names[depth:], labels[depth:]
+        del open_names[depth:], labels[depth:], numbers[depth:]
 
     at = 0
     while markup := _MARKUP.search(page, at):
@@ -141,6 +145,8 @@ def blocks(page: str | None) -> list[Block]:
             close(len(open_names) - 1)
         open_names.append(name)
         labels.append(_label(name, markup[3]))
+        opened += 1
+        numbers.append(opened)
     say(page[at:])
     end_block()
     return found

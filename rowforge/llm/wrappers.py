@@ -3,9 +3,13 @@
 A page is a stream of blocks, each known by the elements around it. Streams of one host are
 aligned one after another; where they differ, the mismatch becomes a repeated group (equal
 neighbours), an optional part (blocks of one side only) or a text slot (equal places with
-different texts). The wrapper of a host says which of the slots that a page fills belong to
-the article, from the elements around them and from what the pages of the host have there;
-its pages are then read through it. Slots of other templates of the host have no say.
+different texts). The pages of a host are read through its wrapper, which says of every block
+what the pages of the host have in its slot. Slots of other templates of the host have no say.
+
+Where elements or their words name an article among the slots that a page fills, it is the
+main text. On all other pages the slots decide: text that is in links, or the same on all pages
+of the host, counts for nothing, and the container whose slots hold most of the rest on all
+pages is the article (``by_text``). Neighbours with equal names are different containers.
 
 Inference covers all pages without gathering a host in one task: pages are first reduced
 to shapes, the folded streams; statistics of equal shapes are summed by a grouped
@@ -25,7 +29,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import compress
+from itertools import compress, pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +43,8 @@ from .html_tokens import Block, blocks
 GROUP = 200
 #: Longest repeated group that folding looks for.
 LONGEST_GROUP = 6
+#: How many times the text of a container its parent must hold to be the article instead.
+SPREAD = 1.5
 
 # Elements and words of class, id or role around what is not the article.
 NOT_ARTICLE = frozenset("nav footer aside form menu dialog button select legend".split())
@@ -104,7 +110,7 @@ def article_rank(path: tuple[str, ...]) -> int:
 @dataclass(slots=True)
 class Slot:
     """A place for text: how many texts, their characters, those in links, and whether
-    they are all the same (``low == high``)."""
+    they are all the same (``low == high``). ``begins`` says that a container begins with it."""
 
     path: tuple[str, ...]
     texts: int = 0
@@ -112,11 +118,12 @@ class Slot:
     linked: int = 0
     low: int = 0
     high: int = 0
+    begins: bool = False
 
     def take(self, other: Slot) -> Slot:
         return Slot(
             self.path, self.texts + other.texts, self.chars + other.chars, self.linked + other.linked,
-            min(self.low, other.low), max(self.high, other.high),
+            min(self.low, other.low), max(self.high, other.high), self.begins,
         )
 
 
@@ -132,7 +139,7 @@ class Part:
     def key(self) -> str:
         """What it matches, whether repeated, optional or neither."""
         if self.slot:
-            return " > ".join(self.slot.path)
+            return " > ".join(self.slot.path) + " ^" * self.slot.begins
         return "(" + " | ".join(p.key() for p in self.inner) + ")"
 
     def slots(self) -> Iterator[Slot]:
@@ -214,11 +221,26 @@ def align(a: list[Part], b: list[Part]) -> list[Part]:
     return fold(out)
 
 
+def begins(stream: list[Block]) -> list[bool]:
+    """For every block whether it opens more than its own element: neighbours of equal names
+    in different containers are told apart by the first of them."""
+    out, before = [], ()
+    for block in stream:
+        common = 0
+        for a, b in zip(before, block.elements):
+            if a != b:
+                break
+            common += 1
+        out.append(len(block.elements) - common > 1)
+        before = block.elements
+    return out
+
+
 def shape_of(stream: list[Block]) -> list[Part]:
     out = []
-    for block in stream:
+    for block, first in zip(stream, begins(stream)):
         h = xxhash.xxh3_64_intdigest(block.text.encode("utf-8", "surrogatepass")) >> 1
-        out.append(Part(slot=Slot(block.path, 1, len(block.text), block.linked, h, h)))
+        out.append(Part(slot=Slot(block.path, 1, len(block.text), block.linked, h, h, first)))
     return fold(out)
 
 
@@ -229,7 +251,7 @@ def dump(parts: list[Part], figures: bool = True) -> str:
         mark = "?" * part.optional + "+" * part.repeated
         if part.slot:
             s = part.slot
-            return [mark, list(s.path), *([s.texts, s.chars, s.linked, s.low, s.high] if figures else [])]
+            return [mark + "^" * s.begins, list(s.path), *([s.texts, s.chars, s.linked, s.low, s.high] if figures else [])]
         return [mark, [plain(p) for p in part.inner], "group"]
 
     return json.dumps([plain(p) for p in parts], ensure_ascii=False, separators=(",", ":"))
@@ -243,7 +265,7 @@ def load(text: str, figures: list[list[int]] | None = None) -> list[Part]:
         if x[-1] == "group":
             inner, slot = [part(p) for p in x[1]], None
         else:
-            inner, slot = [], Slot(tuple(x[1]), *(next(rest) if figures is not None else x[2:]))
+            inner, slot = [], Slot(tuple(x[1]), *(next(rest) if figures is not None else x[2:]), begins="^" in x[0])
         return Part(inner, slot, "?" in x[0], "+" in x[0])
 
     return [part(x) for x in json.loads(text)]
@@ -255,17 +277,13 @@ def _own_text(slot: Slot) -> int:
 
 
 def choose(parts: list[Part]) -> list[bool]:
-    """For every slot in order, whether it belongs to the article of a page that fills all."""
-    return chosen([s for p in parts for s in p.slots()])
-
+    """For every slot in order, whether names leave it to the article of a page that fills all."""
+    return by_names([s for p in parts for s in p.slots()])[0]
 
-def chosen(slots: list[Slot]) -> list[bool]:
-    """For each of the slots that a page fills, whether it belongs to the article.
 
-    The surest sign of an article among the slots decides. Without any, the article is the
-    element whose own blocks hold most text that is neither in links nor the same on all
-    pages, together with what lies inside it.
-    """
+def by_names(slots: list[Slot]) -> tuple[list[bool], bool]:
+    """For each of the slots that a page fills, whether names leave it to the article, and
+    whether some name an article: the surest sign among the slots then decides."""
     open_slots = [not outside(s.path) for s in slots]
     inner = [inner_path(s.path) for s in slots]
     if not any(o and p for o, p in zip(open_slots, inner)):
@@ -274,28 +292,56 @@ def chosen(slots: list[Slot]) -> list[bool]:
         if sum(map(_own_text, compress(slots, freed))) > sum(map(_own_text, compress(slots, open_slots))):
             open_slots = freed
     rank = max((article_rank(s.path) for s, o in zip(slots, open_slots) if o), default=0)
-    if rank:
-        return [o and article_rank(s.path) >= rank for s, o in zip(slots, open_slots)]
-    weight: dict[tuple[str, ...], int] = {}
-    for s, o in zip(slots, open_slots):
-        if o:
-            weight[s.path[:-1]] = weight.get(s.path[:-1], 0) + _own_text(s)
-    if not weight:
-        return open_slots
-    top = max(weight.values())
-    root = min((p for p, w in weight.items() if w == top), key=lambda p: (len(p), p))
-    return [o and s.path[: len(root)] == root for s, o in zip(slots, open_slots)]
+    return [o and article_rank(s.path) >= rank for s, o in zip(slots, open_slots)], rank > 0
+
+
+def by_text(stream: list[Block], slots: list[Slot], allowed: list[bool]) -> list[bool]:
+    """For each block of a page whether it belongs to the article, from the slots of the blocks.
+
+    A block weighs its part of the text that its slot holds on all pages of the host, links
+    and constant texts not counted. The article is the container whose own blocks weigh most,
+    or one around it as long as that holds ``SPREAD`` times as much: the text is spread over
+    several containers then. Blocks of others in it need text of their own.
+    """
+    around = {e for b in stream for e in b.elements[:-1]}
+    outer: dict[int, int] = {}
+    homes = []
+    for b in stream:
+        chain = (0, *b.elements)
+        outer.update((inner, e) for e, inner in pairwise(chain))
+        # text beside other blocks of an element is in that element, other text is the element's content
+        homes.append(chain[-1] if len(chain) == 1 or chain[-1] in around else chain[-2])
+    times: dict[int, int] = {}
+    for s in slots:
+        times[id(s)] = times.get(id(s), 0) + 1
+    own: dict[int, float] = {}
+    whole: dict[int, float] = {}
+    for b, s, home, ok in zip(stream, slots, homes, allowed):
+        weight = _own_text(s) / times[id(s)] if ok else 0.0
+        own[home] = own.get(home, 0.0) + weight
+        for e in (0, *b.elements):
+            whole[e] = whole.get(e, 0.0) + weight
+    if not any(own.values()):
+        return allowed
+    first = root = min(own, key=lambda e: (-own[e], e))
+    while root in outer and whole[outer[root]] >= SPREAD * whole[root]:
+        root = outer[root]
+    return [
+        ok and root in (0, *b.elements) and (home == first or _own_text(s) > 0)
+        for b, s, home, ok in zip(stream, slots, homes, allowed)
+    ]
 
 
 def read(stream: list[Block], parts: list[Part], values: list) -> list | None:
     """For each block of a page the value of its slot, or None if the wrapper does not accept it."""
     found: list = []
     first: dict[int, set] = {}
+    tokens = list(zip((b.path for b in stream), begins(stream)))
 
     def heads(part: Part) -> set:
         if id(part) not in first:
             if part.slot:
-                first[id(part)] = {part.slot.path}
+                first[id(part)] = {(part.slot.path, part.slot.begins)}
             else:
                 first[id(part)] = set()
                 for inner in part.inner:
@@ -305,7 +351,7 @@ def read(stream: list[Block], parts: list[Part], values: list) -> list | None:
         return first[id(part)]
 
     def here(part: Part) -> bool:
-        return len(found) < len(stream) and stream[len(found)].path in heads(part)
+        return len(found) < len(tokens) and tokens[len(found)] in heads(part)
 
     def run(some: list[Part], number: int) -> bool:
         for part in some:
@@ -394,9 +440,10 @@ def _loaded(text: str) -> tuple[list[Part], list[Slot], dict[tuple[str, ...], Sl
 
 
 @lru_cache(maxsize=4096)
-def _chosen(text: str, filled: tuple[int, ...]) -> dict[int, bool]:
+def _by_names(text: str, filled: tuple[int, ...]) -> tuple[dict[int, bool], bool]:
     slots = _loaded(text)[1]
-    return dict(zip(filled, chosen([slots[i] for i in filled])))
+    allowed, named = by_names([slots[i] for i in filled])
+    return dict(zip(filled, allowed)), named
 
 
 def article(page: str | None, wrapper: str | None) -> tuple[str, bool]:
@@ -407,16 +454,21 @@ def article(page: str | None, wrapper: str | None) -> tuple[str, bool]:
     places = read(stream, parts, list(range(len(slots))))
     accepted = places is not None
     if accepted:
-        keep = _chosen(wrapper, tuple(sorted(set(places))))
-        kept = [keep[i] for i in places]
+        allowed_slots, named = _by_names(wrapper, tuple(sorted(set(places))))
+        filled = [slots[i] for i in places]
+        kept = [allowed_slots[i] for i in places]
     else:
         own: dict[tuple[str, ...], Slot] = {}
         for b in stream:  # no other page tells whether these are the same on all
             slot = Slot(b.path, 1, len(b.text), b.linked, 0, 1)
             own[b.path] = own[b.path].take(slot) if b.path in own else slot
-        filled = {path: by_path.get(path, slot) for path, slot in own.items()}
-        by = dict(zip(filled, chosen(list(filled.values()))))
+        of_path = {path: by_path.get(path, slot) for path, slot in own.items()}
+        allowed, named = by_names(list(of_path.values()))
+        by = dict(zip(of_path, allowed))
+        filled = [of_path[b.path] for b in stream]
         kept = [by[b.path] for b in stream]
+    if not named:
+        kept = by_text(stream, filled, kept)
     return "\n".join(b.text for b, keep in zip(stream, kept) if keep), accepted
 
 

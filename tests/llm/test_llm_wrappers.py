@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 import time
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from oracle import SMALL
 from rowforge.llm import wrappers as w
 from rowforge.llm.html_tokens import blocks
 
@@ -198,3 +202,47 @@ def test_odd_tables(spark, rows):
         assert r["n_chars"] == len(r["text"])
         if r["url"] and r["url"].startswith("http"):
             assert r["text"].startswith(("a", "long text"))
+
+
+def neutral(html):
+    """Containers without a name or a word of their own."""
+    html = re.sub(r"<(/?)(?:nav|article|footer|aside|main|section|header)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"<(\w+) (?:class|id|role)=[^>]*>", r"<\1>", html)
+
+
+def test_neutral_names_on_the_given_pages(spark):
+    """Blocks of renamed pages against the articles of the pages as they are."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    hosts = pages.groupBy(w.host_of(F.col("url")).alias("h")).count().where("count >= 3")
+    pages = pages.join(hosts, w.host_of(F.col("url")) == F.col("h"), "left_semi").toPandas()
+    renamed = pages.assign(html=[neutral(h) for h in pages["html"]])
+    got = {r["page_id"]: r["text"].split("\n") for r in w.main_text(spark.createDataFrame(renamed)).collect()}
+    right = returned = wanted = 0
+    for key, html in zip(pages["page_id"], pages["html"]):
+        want = [b.text for b in blocks(html) if "article" in b.path]
+        right += sum((Counter(want) & Counter(got[key])).values())
+        returned, wanted = returned + len(got[key]), wanted + len(want)
+    assert wanted and right >= 0.95 * returned and right >= 0.95 * wanted
+
+
+def test_the_wrapper_decides(spark):
+    """A notice that all pages have outweighs short articles, but only page by page."""
+    notice = "<div>" + "<p>we use cookies on this site and you agree to all of them</p>" * 4 + "</div>"
+    made = [(i, "http://h/x", f"<body><div><a href=/>home</a></div><div><h1>Title {i}</h1><p>short {i}</p></div>{notice}</body>") for i in range(5)]
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    for r in w.main_text(df).collect():
+        assert r["text"] == f"Title {r['page_id']}\nshort {r['page_id']}" and r["accepted"]
+    assert all("cookies" in w.article(html, None)[0] for _, _, html in made)
+
+
+def test_article_spread_over_containers():
+    part = "<div><h2>{0}</h2><p>the text of part {0} of this page</p></div>"
+    page = f"<body><div><a href=/>home</a></div><div>{''.join(map(part.format, range(4)))}</div><div>bye</div></body>"
+    text = w.article(page, w.dump(w.shape_of(blocks(page))))[0].split("\n")
+    assert text == [t for i in range(4) for t in (str(i), f"the text of part {i} of this page")]
+
+
+def test_text_beside_blocks_is_in_their_container():
+    page = "<body><div>menu</div><div>the first words <p>of a text</p> and the last</div></body>"
+    assert w.article(page, w.dump(w.shape_of(blocks(page))))[0] == "the first words\nof a text\nand the last"
+    assert w.article("plain text", "[]")[0] == "plain text" and w.article("", "[]") == ("", True)
