@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,3 +81,47 @@ def test_grams_cover_whole_texts():
     assert n.sum() == 7 + 6 + 5  # gap a b gap a b gap
     assert language.grams("!!")[0].size == 0
     assert language.grams("𐐀b")[0].size > 0
+
+
+def brute_force(m, text):
+    """Language and cosine of the closest centroid, gram by gram and place by place."""
+    words = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text).split()
+    if not words:
+        return "und", 0.0
+    line = " " + " ".join(words) + " "
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            total = 0
+            for c in line[i : i + n]:
+                total = (total * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            counts[(total + n) * 0xD6E8FEB86659FD93 % 2**64 >> 40 & language.PLACES - 1] += 1
+    weights = {p: (1 + math.log(n)) * m.idf[p] for p, n in counts.items()}
+    length = math.sqrt(sum(x * x for x in weights.values()))
+    cosines = [sum(x * float(mean[p]) for p, x in weights.items()) / length for mean in m.means]
+    best = max(range(len(cosines)), key=lambda k: cosines[k])
+    return m.languages[best], cosines[best], 1 - cosines[best] > m.radii[best]
+
+
+def test_query_agrees_with_brute_force(spark):
+    """Every 40th document of the query's result against all centroids, without vectors."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang")
+    m = language.train(docs.where(~language.held_out(docs["doc_id"], 3, 1)))
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id % 40 = 0").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op1_language_centroids"](spark, path).collect()}
+    assert len(texts) > 20
+    for key, text in texts.items():
+        lang, cosine, *_ = brute_force(m, text or "")
+        assert got[key]["lang_pred"] == lang and abs(got[key]["score"] - cosine) < 1e-4, key
+
+
+def test_predictions_agree_with_brute_force(spark):
+    m = model(spark, corpus())
+    some = ["the dogs", "Die Hunde, der Fluß!", "река и GOROD", "il tempo era bello e la gente della città camminava lungo il fiume",
+            "x", "a1b2", "İstanbul ǅ ß", "这是 一个", "the " * 5000]
+    found = m.predict(some)
+    for text, row in zip(some, found.itertuples()):
+        lang, cosine, rejected = brute_force(m, text)
+        assert abs(row.score - max(0.0, cosine)) < 1e-4 and row.rejected == rejected, text
+        assert row.lang_pred == lang or cosine < 1e-4, text
