@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -87,30 +88,39 @@ def stream_rate_counts(
 
 
 class RateDecisions(StatefulProcessor):
-    """Numbers the requests of one key and clock window as they arrive.
+    """Numbers the requests of the keys of one bucket and clock window as they arrive.
 
-    The state is the number of requests so far. A timer drops it when the watermark has
-    passed the end of the window: whatever comes after that is late and never seen here.
+    The state is the number of requests of every key so far. A timer drops it when the
+    watermark has passed the end of the window: whatever comes after that is late and never
+    seen here.
     """
 
-    def __init__(self, limit: int, seconds: int, ts: str, id_col: str):
-        self.limit, self.seconds, self.ts, self.id_col = limit, seconds, ts, id_col
+    def __init__(self, limit: int, seconds: int, key: str, ts: str, id_col: str, names: list[str]):
+        self.limit, self.seconds, self.key, self.ts, self.id_col, self.names = limit, seconds, key, ts, id_col, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n long")
+        self.seen = handle.getValueState("seen", "keys array<string>, n array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # a batch of the stream is one instant: its requests count in the order of their times
         arrived = pd.concat(list(rows)).sort_values([self.ts, self.id_col], kind="stable")
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        if not before:
+        keys, before = self.seen.get() if self.seen.exists() else ([], [])
+        if not len(keys):
             end = arrived["window_start"].iloc[0] + pd.Timedelta(seconds=self.seconds)
             self.handle.registerTimer(int(end.timestamp() * 1000))
-        self.seen.update((before + len(arrived),))
-        arrived["nth"] = range(before + 1, before + len(arrived) + 1)
+        # places of the keys: first those of the state, then new ones
+        codes, found = pd.factorize(arrived[self.key].fillna("").to_numpy(object))
+        place = pd.Index(list(keys), dtype=object).get_indexer(found)
+        fresh = place < 0
+        place[fresh] = len(keys) + np.arange(fresh.sum())
+        n = np.concatenate([np.array(before, "int64"), np.zeros(fresh.sum(), "int64")])
+        place = place[codes]
+        arrived["nth"] = n[place] + arrived.groupby(place).cumcount().to_numpy() + 1
         arrived["allowed"] = arrived["nth"] <= self.limit
-        yield arrived
+        n += np.bincount(place, minlength=len(n))
+        self.seen.update(([*keys, *found[fresh].tolist()], n.tolist()))
+        yield arrived[self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
@@ -120,6 +130,10 @@ class RateDecisions(StatefulProcessor):
         pass
 
 
+#: Buckets that the keys of a window are dealt to.
+RATE_BUCKETS = 64
+
+
 def rate_decisions(
     stream: DataFrame,
     key: str,
@@ -128,19 +142,26 @@ def rate_decisions(
     lateness: str,
     ts: str = "ts",
     id_col: str = "request_id",
+    buckets: int = RATE_BUCKETS,
 ) -> DataFrame:
     """One decision per request, in the batch of the stream in which it arrives: its number
     within its key and clock window, and whether it is allowed.
 
-    A task holds the requests of one key and window that arrive in one batch, so only their
-    id and time are carried; bound a batch with the options of the source.
+    A call costs far more than a row, so one call decides for a bucket of the keys of a
+    window; null is a key of its own. A task holds the requests of one bucket and window that
+    arrive in one batch, so only their id and time are carried; bound a batch with the options
+    of the source, or take more buckets. A checkpoint keeps the buckets it began with.
     """
     narrow = stream.select(id_col, key, ts).withWatermark(ts, lateness)
-    narrow = narrow.withColumn("window_start", F.date_trunc(unit, F.col(ts)))
+    key_type = narrow.schema[key].dataType
+    # as text, since pandas has integers next to null as doubles
+    narrow = narrow.withColumns({key: F.col(key).cast("string"), "window_start": F.date_trunc(unit, F.col(ts))})
     decided = T.StructType([*narrow.schema.fields, T.StructField("nth", T.LongType()), T.StructField("allowed", T.BooleanType())])
-    return narrow.groupBy(key, "window_start").transformWithStateInPandas(
-        RateDecisions(limit, RATE_UNITS[unit], ts, id_col), decided, "Append", "EventTime"
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    numbered = narrow.withColumn("__bucket", bucket).groupBy("window_start", "__bucket").transformWithStateInPandas(
+        RateDecisions(limit, RATE_UNITS[unit], key, ts, id_col, decided.names), decided, "Append", "EventTime"
     )
+    return numbered.withColumn(key, F.col(key).cast(key_type))
 
 
 def stream_rate_decide(

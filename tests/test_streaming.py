@@ -84,6 +84,28 @@ def test_decisions_of_several_batches_are_those_of_one(spark, source, tmp_path):
     assert run()[len(decided):] == [(12, 1, True), (14, 2, True)]
 
 
+def test_decisions_of_many_keys_take_few_states(spark, source, tmp_path):
+    """A call per key and window costs more than the batch of a day; one per bucket does not."""
+    from rowforge.operators.requests import rate_limit_decide
+
+    data = source(REQUEST)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    big = 2**53  # keys next to each other that a double cannot tell apart
+    users = [None, *range(700), *range(big, big + 300)]
+    batches = [
+        [request(10_000 * b + 3 * i + j, 20 * b + (7 * i + 11 * j) % 20, user=u) for i, u in enumerate(users) for j in range(3 - i % 2)]
+        for b in range(2)
+    ]
+    for batch in batches:
+        data.add(*batch)
+        run = jobs.stream_rate_decide(data.stream(), out, state, "user_id", 4, "day", "30 minutes")
+        run.awaitTermination()
+        assert 0 < run.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 3 * (jobs.RATE_BUCKETS + 1)
+    whole = rate_limit_decide(spark.createDataFrame(batches[0] + batches[1], REQUEST), "user_id", 4, "day")
+    decided = lambda df: sorted((r["request_id"], r["nth"], r["allowed"]) for r in df.collect())
+    assert decided(spark.read.parquet(out)) == decided(whole)
+
+
 def test_metrics_per_window(spark, source, tmp_path):
     data = source(REQUEST)
     data.add(
