@@ -58,3 +58,32 @@ def test_nulls_and_repeats(spark):
     rows = [(1, ["a", "a", None]), (1, ["a"]), (2, None), (None, ["a"]), (3, [])]
     lists = posting_lists(spark.createDataFrame(rows, "id long, words array<string>"), "id", F.col("words"))
     assert [(r["word"], r["ids"]) for r in lists.collect()] == [("a", [1])]
+
+
+def test_lists_are_whole_and_full_and_made_once(spark, made_up, tmp_path):
+    """However the ids are sliced, a word has its ids in order in full lists; the words of a
+    text are split once, not for every step that counts, samples or writes the lists."""
+    splits = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        splits.add(1)
+        return text.split(" ")
+
+    # ids come twice, in no order, with the same words and with others
+    rows = [(7 * i % 500 - 250, " ".join(made_up[i])) for i in range(500)]
+    rows += [(i, " ".join(made_up[j])) for j, (i, _) in enumerate(rows[:60])]
+    expected = {}
+    for i, text in rows:
+        for word in text.split(" "):
+            expected.setdefault(word, set()).add(i)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    index = Postings.create(docs, str(tmp_path), "id", split(F.col("text")), list_ids=16, rows_per_file=100)
+    assert splits.value == len(rows)
+    found = {}
+    for r in index.store.rows().orderBy("word", "first_id").collect():
+        assert r["first_id"] == r["ids"][0] and r["n"] == len(r["ids"])
+        found.setdefault(r["word"], []).append(r["ids"])
+    assert {w: [i for ids in lists for i in ids] for w, lists in found.items()} == {w: sorted(ids) for w, ids in expected.items()}
+    assert all(len(ids) == 16 for lists in found.values() for ids in lists[:-1])
+    assert all(len(lists[-1]) <= 16 for lists in found.values())
