@@ -90,12 +90,11 @@ class WordIds:
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         kept, older = self.kept, self.older
-        found: dict[str, bytes] = {}
+        found = {f: older[f] for f in missing if f in older}
         parts, words, others = {}, set(), set()
-        for fragment in missing:
-            if (ids := older.get(fragment)) is not None:
-                found[fragment] = ids
-            elif match := _WORD_AND_MARKS.fullmatch(fragment):
+        fresh = [f for f in missing if f not in found] if found else missing
+        for fragment in fresh:
+            if match := _WORD_AND_MARKS.fullmatch(fragment):
                 parts[fragment] = match.groups()
                 words.add(match[1])
                 others.add(match[2])
@@ -104,10 +103,9 @@ class WordIds:
         known = {x: kept.get(x) or older.get(x) for x in words | others if x in kept or x in older}
         known |= self._encode_words([w for w in words if w not in known])
         known |= self._encode([x for x in others if x not in known])
-        for fragment in missing:
-            if fragment not in found:
-                word, marks = parts.get(fragment, (fragment, ""))
-                found[fragment] = known[word] + known[marks] if marks else known[word]
+        for fragment in fresh:
+            word, marks = parts.get(fragment, (fragment, ""))
+            found[fragment] = known[word] + known[marks] if marks else known[word]
         return found
 
     def of(self, texts: list[str]) -> list[bytes]:
@@ -117,15 +115,14 @@ class WordIds:
         if len(self.kept) > KEPT_WORDS // 2:
             self.kept, self.older = {"": b""}, self.kept
         kept = self.kept
-        rows = [list(map(kept.get, words)) for words in split]
-        fresh = self._learn(
-            {w for words, ids in zip(split, rows) if None in ids for w, i in zip(words, ids) if i is None}
-        )
-        kept.update((w, ids) for w, ids in fresh.items() if len(w) <= KEPT_LENGTH)
-        return [
-            b"".join([fresh[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
-            for words, ids in zip(split, rows)
-        ]
+        # words are looked for once a batch, so that all that is done per word is one look-up
+        fresh = self._learn({w for w in set().union(*split) if w not in kept})
+        kept.update(fresh)
+        joined = [b"".join(map(kept.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > KEPT_LENGTH:
+                del kept[w]
+        return joined
 
 
 @lru_cache(maxsize=2)
