@@ -17,13 +17,17 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import durable
@@ -35,11 +39,17 @@ TOKENIZER = "word_bpe_49k.json"
 #: Fragments whose ids a Python worker keeps at a time, and the longest of them.
 KEPT_WORDS = 500_000
 KEPT_LENGTH = 40
+#: Characters of texts that are split at a time, or one longer text.
+BATCH_CHARS = 1 << 22
 #: Letters whose lower case does not hang on their neighbours; texts with others are left
-#: to the tokenizer as they are.
+#: to the tokenizer as they are, and so are texts that may hold one of its special tokens.
 _PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
-#: A word of lower-case Latin letters with punctuation behind it: two separate tokens runs.
-_WORD_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+_SPECIAL = "<|"
+#: Lower-case Latin letters, and the punctuation that never shares a token with a letter
+#: before it.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+_WORD = re.compile(f"[{_LETTERS}]+")
+_WORD_BEFORE_MARK = f"([{_LETTERS}])([!-&(-/:-@\\[-`{{-~])"
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -53,11 +63,14 @@ class WordIds:
 
     The tokenizer drops white space and no token reaches across a space or a line break,
     nor from a word to the punctuation behind it, so the ids of a text are those of its
-    fragments in order. Fragments come back often; a bounded number of them is kept, those
-    used last.
+    fragments in order. Fragments come back often: those of a batch of texts are numbered,
+    only the distinct ones are looked up, and a bounded number of them is kept, those used
+    last.
     """
 
     def __init__(self, path: str):
+        # a task has one core; threads of the tokenizer would only wait for work on others
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -88,41 +101,52 @@ class WordIds:
                 start = end
         return out
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        kept, older = self.kept, self.older
-        found = {f: older[f] for f in missing if f in older}
-        parts, words, others = {}, set(), set()
-        fresh = [f for f in missing if f not in found] if found else missing
-        for fragment in fresh:
-            if match := _WORD_AND_MARKS.fullmatch(fragment):
-                parts[fragment] = match.groups()
-                words.add(match[1])
-                others.add(match[2])
-            else:
-                others.add(fragment)
-        known = {x: kept.get(x) or older.get(x) for x in words | others if x in kept or x in older}
-        known |= self._encode_words([w for w in words if w not in known])
-        known |= self._encode([x for x in others if x not in known])
-        for fragment in fresh:
-            word, marks = parts.get(fragment, (fragment, ""))
-            found[fragment] = known[word] + known[marks] if marks else known[word]
-        return found
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        found = {f: self.older[f] for f in missing if f in self.older}
+        words, others = [], []
+        for fragment in missing:
+            if fragment not in found:
+                (words if _WORD.fullmatch(fragment) else others).append(fragment)
+        return found | self._encode_words(words) | self._encode(others)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [
-            (text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts
-        ]
+        return list(self.each(texts))
+
+    def each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of one text after the other; those of a batch are held at a time."""
+        batch: list[str] = []
+        size = 0
+        for text in texts:
+            if batch and size + len(text) > BATCH_CHARS:
+                yield from self._of_batch(batch)
+                batch, size = [], 0
+            batch.append(text)
+            size += len(text)
+        if batch:
+            yield from self._of_batch(batch)
+
+    def _of_batch(self, texts: list[str]) -> list[bytes]:
+        lower = pa.array(
+            [t if _SPECIAL in t or _PLAIN.search(t) else t.lower() for t in texts], pa.large_string()
+        )
+        apart = pc.if_else(
+            pc.match_substring(lower, _SPECIAL), lower, pc.replace_substring_regex(lower, _WORD_BEFORE_MARK, r"\1 \2")
+        )
+        split = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
+        numbered = split.values.dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.kept) > KEPT_WORDS // 2:
             self.kept, self.older = {"": b""}, self.kept
         kept = self.kept
-        # words are looked for once a batch, so that all that is done per word is one look-up
-        fresh = self._learn({w for w in set().union(*split) if w not in kept})
+        fresh = self._learn([w for w in words if w not in kept])
         kept.update(fresh)
-        joined = [b"".join(map(kept.__getitem__, words)) for words in split]
+        ids = pa.array([kept[w] for w in words], pa.large_binary()).take(numbered.indices)
         for w in fresh:
             if len(w) > KEPT_LENGTH:
                 del kept[w]
-        return joined
+        _, places, raw = ids.buffers()
+        ends = np.frombuffer(places, np.int64)[split.offsets.to_numpy()].tolist()
+        return [raw[start:end].to_pybytes() for start, end in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -156,10 +180,7 @@ def pieces(
     @F.pandas_udf(PIECES)
     def cut_texts(texts: pd.Series) -> pd.Series:
         encoder, end = _word_ids(tokenizer or tokenizer_path()), end_id.to_bytes(4, "little")
-        out = []
-        for at in range(0, len(texts), 64):  # few long texts at a time
-            out += [cut(ids + end, capacity) for ids in encoder.of(list(texts[at : at + 64]))]
-        return pd.Series(out, dtype=object)
+        return pd.Series([cut(ids + end, capacity) for ids in encoder.each(texts)], dtype=object)
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.select(F.col("key").alias(key), F.inline(cut_texts("text")))

@@ -57,6 +57,33 @@ def test_the_store_of_words_is_bounded(monkeypatch):
         assert len(words.kept) + len(words.older) <= 50 + 2 * 41 + 2
 
 
+def test_a_word_is_encoded_once_whatever_marks_follow_it(monkeypatch):
+    words, asked = packing.WordIds(packing.tokenizer_path()), []
+    encode_words = words._encode_words
+    monkeypatch.setattr(words, "_encode_words", lambda w: asked.extend(w) or encode_words(w))
+    t = tokenizer()
+    for text in ["Thelorn, oughtier!", "thelorn. Oughtier;", "(thelorn) thelorn's oughtier***"]:
+        assert np.frombuffer(words.of([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["oughtier", "thelorn"]
+
+
+def test_special_tokens_are_those_written_in_lower_case():
+    t, words = tokenizer(), packing.WordIds(packing.tokenizer_path())
+    texts = ["<|ENDOFTEXT|> A,b", "a<|StartOfText|>b", "Ab<|endoftext|>Cd, e", "<|endoftext |> x|>", "A<|b, C<"]
+    for text, ids in zip(texts, words.of(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_ids_do_not_hang_on_the_batches_of_texts(monkeypatch):
+    t, words = tokenizer(), packing.WordIds(packing.tokenizer_path())
+    texts = ["", "one, two\nthree", "", "", "x" * 50, "four. five", "", "one two"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for size in (1, 15, 60, 1 << 20):
+        monkeypatch.setattr(packing, "BATCH_CHARS", size)
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.of(texts)] == want
+    assert words.of([]) == [] and words.of([""]) == [b""]
+
+
 def placed(slots, counts, capacity):
     bins = {}
     for length in counts:
