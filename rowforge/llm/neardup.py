@@ -301,10 +301,12 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group, that with the smallest id, with its columns."""
     found = near_duplicates(docs, key, text, threshold=threshold)
-    # rows that share an id are told apart by their texts; equal rows are one document
-    kept = found.where("kept").select(F.col(key).cast("long").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    rows = docs.select(
-        F.col(key).cast("long").alias("__id"), _digest(F.col(text)).alias("__digest"), F.struct("*").alias("row")
-    )
-    same = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__id", "__digest"]).select("row.*")
+    # rows that share an id are told apart by their texts; equal rows are one document.
+    # Keys without nulls: texts that meet their verdict by them lie as duplicates need them,
+    # so they are moved and sorted once
+    def keys(digest):
+        return F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")).alias("__id"), digest.alias("__digest")
+
+    kept = found.where("kept").select(*keys(F.col("digest"))).distinct()
+    rows = docs.select(*keys(_digest(F.col(text))), F.struct("*").alias("row"))
+    return rows.join(kept, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select("row.*")

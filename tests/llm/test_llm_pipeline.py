@@ -6,6 +6,8 @@ import random
 import re
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
 from rowforge.llm import mixing, quality
 
 DIR = "/root/testdata/sf0.001"
@@ -101,3 +103,38 @@ def test_odd_rows_and_other_columns(spark):
     assert [(r["doc_id"], r["row"]) for r in frames[3].collect()] == [(1, "x")]
     empty = stages(spark, docs.limit(0))
     assert [f.count() for f in empty] == [0] * 6
+
+
+def test_texts_go_to_python_by_a_few_megabytes(spark):
+    """Every stage sees to it, as each may be the first one of a session."""
+    text = F.repeat(F.lit("abcd "), 1000)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    few = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        for key in corpus_pipeline.LEAN_CONF:
+            spark.conf.unset(key)
+        stage(spark, few, DIR)
+        most = docs.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0]
+        assert most < 5_000_000
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+
+
+def test_near_duplicates_move_texts_once(spark):
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (1, "g h i j k l", 2), (None, "m n o p q r", 3), (None, "m n o p q r", 3), (2, None, 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, DIR)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = [r["n"] for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    # nothing is dealt anew between the join with the kept ids and the choice among equal rows
+    assert "Exchange" not in plan[: plan.index("LeftSemi")]
+    assert sorted(found) == [1, 2, 3, 4, 5]
