@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable
+from ..session import durable_narrow
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
 
     def tidy(found: DataFrame) -> DataFrame:
-        return durable(found.where("u != v").distinct())
+        return durable_narrow(found.where("u != v").distinct())
 
     # larger to smaller from the start: then stars are all that is left to reach
     edges = tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
@@ -54,4 +54,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = tidy(_small_star(_large_star(edges)))
     leaves = edges.select("u", F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
-    return durable(leaves.union(roots))
+    return durable_narrow(leaves.union(roots))

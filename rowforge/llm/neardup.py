@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable
+from ..session import durable, durable_narrow
 from .components import connected_components
 from .shingles import SKETCH_WORDS, band_keys, parity_sketch, set_key, shingle_set, signature
 
@@ -139,7 +139,7 @@ class _Links:
         """Compares the distinct pairs ``u, v`` and takes the confirmed ones in."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
-        pairs = durable(pairs)
+        pairs = durable_narrow(pairs)
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("v"))
         wanted = self.classes.join(wanted, "v", "left_semi").select("v", "id", "digest", "k1", "k2")
         sets = durable(_sets(self.docs, wanted, self.width).dropDuplicates(["v"]))
@@ -173,7 +173,7 @@ def _cross_pairs(
     ``most``, only of keys with so many pairs at most; the second frame holds the other
     keys."""
     per_component = rows.groupBy("key", "component").agg(F.count("*").alias("many"))
-    keys = durable(
+    keys = durable_narrow(
         per_component.groupBy("key")
         .agg(
             F.sum("many").alias("all"),
@@ -243,12 +243,12 @@ def _prefix_pairs(members: DataFrame, links: _Links, threshold: int) -> DataFram
 
 def _open_pairs(members: DataFrame, links: _Links, threshold: int) -> DataFrame:
     """Pairs of different components that still meet in a bucket (``key, v, n``)."""
-    members = durable(links.labelled(members))
+    members = durable_narrow(links.labelled(members))
     pairs, wide = _cross_pairs(members, threshold, SMALL_BUCKET)
     if wide.isEmpty():
         return pairs.distinct()
     met = members.join(wide, "key", "left_semi").select("v", "n", "component").distinct()
-    return pairs.union(_prefix_pairs(durable(met), links, threshold)).distinct()
+    return pairs.union(_prefix_pairs(durable_narrow(met), links, threshold)).distinct()
 
 
 def near_duplicates(
@@ -274,7 +274,7 @@ def near_duplicates(
     placed = classes.select("v", "n", F.explode("bands").alias("key"))
     pivot = F.min(F.struct("v", "n"))
     buckets = placed.groupBy("key").agg(pivot.alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    members = durable(placed.join(buckets.select("key", "pivot"), "key"))
+    members = durable_narrow(placed.join(buckets.select("key", "pivot"), "key"))
     # every member with the smallest one of its bucket, once for all buckets they share
     stars = members.where("v != pivot.v").where(_near_sizes("n", "pivot.n", threshold))
     stars = stars.select(F.col("pivot.v").alias("u"), "v").distinct()

@@ -6,6 +6,8 @@ import os
 import shutil
 
 from rowforge import session
+from rowforge.llm.components import connected_components
+from rowforge.session import durable_narrow
 from rowforge.sources.files import file_state
 
 
@@ -38,3 +40,20 @@ def test_file_state_follows_the_files(spark, tmp_path):
     spark.range(6).write.parquet(path)
     assert file_state(spark, path) != first
     assert file_state(spark, str(tmp_path / "absent")) == ()
+
+
+def test_narrow_steps_write_few_files(spark):
+    """However many partitions a shuffle has, and with every row in one of them."""
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        edges = spark.range(0, 4000, 2).selectExpr("id + 1 u", "id v")
+        for found in (durable_narrow(edges.distinct()), connected_components(edges)):
+            assert 8 <= len(found.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, found.collect())) == sorted((i, i - i % 2) for i in range(4000))
+        assert durable_narrow(edges.limit(0)).collect() == []
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
