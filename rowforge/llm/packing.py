@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import durable
+from ..session import durable, durable_narrow
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,8 +39,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Fragments whose ids a Python worker keeps at a time, and the longest of them.
 KEPT_WORDS = 500_000
 KEPT_LENGTH = 40
-#: Characters of texts that are split at a time, or one longer text.
-BATCH_CHARS = 1 << 22
+#: Characters of texts that are split at a time, or one longer text; Arrow holds
+#: several times as much, and every core of an executor has a worker of its own.
+BATCH_CHARS = 1 << 21
 #: Letters whose lower case does not hang on their neighbours; texts with others are left
 #: to the tokenizer as they are, and so are texts that may hold one of its special tokens.
 _PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
@@ -124,6 +125,8 @@ class WordIds:
             size += len(text)
         if batch:
             yield from self._of_batch(batch)
+        # the next texts may be long in coming, and the worker keeps what its pool has grown to
+        pa.default_memory_pool().release_unused()
 
     def _of_batch(self, texts: list[str]) -> list[bytes]:
         lower = pa.array(
@@ -232,7 +235,7 @@ def pack(
     dealt = cut_pieces.withColumn(
         "bucket", F.pmod(F.xxhash64(F.col(key), "piece"), F.lit(n_buckets)).cast("int")
     )
-    counts = durable(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")))
+    counts = durable_narrow(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     # one row per length, so at most ``capacity`` rows
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slot_table(spark, plan_slots(histogram, capacity))
@@ -267,6 +270,7 @@ def pack(
 
 
 def _slot_table(spark: SparkSession, slots: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(
-        slots, "slot_length long, first long, last long, sequence long, per_sequence long, at long"
-    )
+    # an Arrow table is a local relation; a list of rows would start a second set of Python workers
+    names = ["slot_length", "first", "last", "sequence", "per_sequence", "at"]
+    columns = np.array(slots, np.int64).reshape(len(slots), len(names)).T
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names))

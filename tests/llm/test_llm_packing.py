@@ -74,6 +74,25 @@ def test_special_tokens_are_those_written_in_lower_case():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_two_million_characters_are_split_at_a_time(monkeypatch):
+    """A worker holds several Arrow arrays of what it splits."""
+    words, seen = packing.WordIds(packing.tokenizer_path()), []
+    monkeypatch.setattr(words, "_of_batch", lambda texts: seen.append(texts) or [b""] * len(texts))
+    texts = ["word " * 50_000] * 20 + ["word " * 500_000] + ["a"] * 3
+    assert words.of(texts) == [b""] * len(texts) and sum(seen, []) == texts
+    assert all(len(batch) == 1 or sum(map(len, batch)) <= 1 << 21 for batch in seen)
+
+
+def test_slots_need_no_python_workers(spark):
+    slots = packing.plan_slots({2048: 3, 1000: 5, 7: 2})
+    frame = packing._slot_table(spark, slots)
+    assert [tuple(r) for r in frame.collect()] == slots
+    assert [t for _, t in frame.dtypes] == ["bigint"] * 6
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    assert packing._slot_table(spark, []).collect() == []
+
+
 def test_ids_do_not_hang_on_the_batches_of_texts(monkeypatch):
     t, words = tokenizer(), packing.WordIds(packing.tokenizer_path())
     texts = ["", "one, two\nthree", "", "", "x" * 50, "four. five", "", "one two"]
